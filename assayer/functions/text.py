@@ -12,9 +12,6 @@ through one Arrow UDF; ASCII rows reach Python as nulls.
 
 from __future__ import annotations
 
-import re
-import unicodedata
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,30 +21,25 @@ from assayer import constants as K
 
 _SPACES = r"[\t-\r\x1c-\x20]+"
 _NON_ASCII = r"[^\x00-\x7F]"
-_DASHES = re.compile("[‐‑‒–—−]")
-
-
-def _regulatory(value: str) -> str:
-    value = unicodedata.normalize("NFKC", value).casefold().replace("�", "")
-    return " ".join(_DASHES.sub("-", value).split())
-
-
-def _catalogue(value: str) -> str:
-    return " ".join(unicodedata.normalize("NFKC", value).casefold().split())
-
-
-def _grid(value: str) -> str:
-    return " ".join(value.split()).casefold()
-
-
-_FOLDS = {"regulatory": _regulatory, "catalogue": _catalogue, "grid": _grid}
 
 
 def _fold_udf(kind: str):
-    fold = _FOLDS[kind]
+    """Arrow UDF of one key. All helpers are local, so executors need no copy of this package."""
 
     @F.pandas_udf(T.StringType())
     def folded(values: pd.Series) -> pd.Series:
+        import unicodedata
+
+        dashes = dict.fromkeys(map(ord, "‐‑‒–—−"), "-")
+
+        def fold(value: str) -> str:
+            if kind != "grid":
+                value = unicodedata.normalize("NFKC", value)
+            value = value.casefold()
+            if kind == "regulatory":
+                value = value.replace("\ufffd", "").translate(dashes)
+            return " ".join(value.split())
+
         return values.map(fold, na_action="ignore")
 
     return folded

@@ -9,6 +9,7 @@ from assayer import constants as K
 from assayer.functions import labels
 from assayer.functions.text import is_structured_identifier, present, text_key, trimmed
 from assayer.operators import lookup, resolve, screen, xref
+from assayer.session import materialize
 
 
 def validate_formulations(formulations: DataFrame, ingredients: DataFrame) -> DataFrame:
@@ -174,19 +175,35 @@ def dataset_identity(
 
 
 def prepared_snapshot(rules: DataFrame, substances: DataFrame) -> dict[str, DataFrame]:
-    """Lookup views of a snapshot, shared by all screening jobs."""
-    cross_references = xref.compare_snapshots(rules)
-    links = xref.cross_reference_rules(rules, cross_references)
+    """Lookup views of a snapshot, written once and shared by all screening jobs."""
+    cross_references = materialize(xref.compare_snapshots(rules), "cross-references")
+    links = materialize(xref.cross_reference_rules(rules, cross_references), "cross-reference-rules")
     return {
         "cross_references": cross_references,
         "links": links,
-        "bridge": xref.snapshot_bridge(links),
-        "lookup": lookup.substance_lookup(substances),
-        "contexts": lookup.product_contexts(rules),
-        "nested_rules": screen.applicable_rules(rules),
+        "bridge": materialize(xref.snapshot_bridge(links), "bridge"),
+        "lookup": materialize(lookup.substance_lookup(substances), "lookup"),
+        "contexts": materialize(lookup.product_contexts(rules), "contexts"),
+        "nested_rules": materialize(screen.applicable_rules(rules), "nested-rules"),
     }
 
 
+def evaluated_requests(
+    ingredients: DataFrame,
+    views: dict[str, DataFrame],
+    catalogue: DataFrame | None,
+    catalogue_error: str | None = None,
+) -> DataFrame:
+    """Everything about the distinct submissions that does not depend on an amount."""
+    requests = materialize(screen.screening_requests(ingredients), "screening-requests")
+    resolved = resolve.resolve(
+        resolve.identity_requests(requests), views["lookup"], views["bridge"], catalogue, catalogue_error
+    )
+    return materialize(
+        screen.evaluate_requests(requests, resolved, views["nested_rules"], views["contexts"]), "evaluated-requests"
+    )
+
+
 def screen_formulations(
     ingredients: DataFrame,
     rules: DataFrame,
@@ -197,9 +214,4 @@ def screen_formulations(
 ) -> DataFrame:
     """Per-row results of all submitted formulations."""
     views = snapshot or prepared_snapshot(rules, substances)
-    requests = resolve.identity_requests(ingredients)
-    resolved = resolve.resolve(requests, views["lookup"], views["bridge"], catalogue, catalogue_error)
-    evaluated = screen.evaluate_requests(
-        screen.screening_requests(ingredients), resolved, views["nested_rules"], views["contexts"]
-    )
-    return screen.screen_ingredients(ingredients, evaluated)
+    return screen.screen_ingredients(ingredients, evaluated_requests(ingredients, views, catalogue, catalogue_error))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions.text import identifier_checksum, text_key
+from assayer.session import materialize
 
 REQUEST_COLUMNS = ("name", "cas_number", "product_context", "unit", "basis", "preparation_stage")
 DIRECT_SOURCE = "singapore_regulatory_source"
@@ -300,10 +301,20 @@ def resolve(
     catalogue: DataFrame | None,
     catalogue_error: str | None = None,
 ) -> DataFrame:
-    """Full resolution of distinct requests."""
-    matches, candidates = candidates_for(requests, lookup, bridge)
-    summary = candidate_summary(candidates, matches)
+    """Full resolution of distinct requests.
+
+    The key-level tables are written between the steps; all of them are as small as the number of
+    distinct submitted keys.
+    """
+    requests = materialize(requests, "identity-requests")
+    matches = materialize(
+        match_by_name(requests, lookup).unionByName(match_by_identifier(requests, lookup)), "matches"
+    )
+    candidates = materialize(merge_candidates(bridge_matches(matches, bridge)), "candidates")
+    summary = materialize(candidate_summary(candidates, matches), "candidate-summary")
     resolved = resolve_identity(requests, summary, common_candidates(requests, summary, candidates))
     if catalogue is None:
-        return degraded_catalogue(resolved, catalogue_error)
-    return catalogue_fallback(resolved, catalogue)
+        resolved = degraded_catalogue(resolved, catalogue_error)
+    else:
+        resolved = catalogue_fallback(resolved, catalogue)
+    return materialize(resolved, "resolved")

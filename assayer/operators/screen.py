@@ -348,9 +348,13 @@ def supporting(results: DataFrame) -> Column:
     e = F.col("evaluations")
     primary = F.filter(e, lambda x: x["finding"] == F.col("primary_finding"))
     support = primary
+
+    def deterministic(finding: str) -> Column:
+        return F.filter(e, lambda x: (x["evaluation_status"] == "deterministic") & (x["finding"] == finding))
+
     for finding in reversed(K.SUPPORT_ORDER):
         # first confirmed finding, in precedence order, that has a deterministic evaluation
-        rows = F.filter(e, lambda x, f=finding: (x["evaluation_status"] == "deterministic") & (x["finding"] == f))
+        rows = deterministic(finding)
         usable = F.array_contains("confirmed_findings", F.lit(finding)) & (F.size(rows) > 0)
         support = F.when(usable, rows).otherwise(support)
     return F.when(F.size(primary) > 0, primary).otherwise(support)

@@ -150,7 +150,7 @@ def compare_snapshots(
         F.bool_or(F.col("acd_count") != F.col("singapore_count")).alias("_cases_differ"),
         F.bool_or((F.size("differences") > 0) | F.col("repeated_case_differs")).alias("_fields_differ"),
         *[
-            F.bool_or(F.exists("differences", lambda d, name=name: d["field"] == name)).alias(f"_differs_{name}")
+            F.bool_or(F.array_contains(F.transform("differences", lambda d: d["field"]), name)).alias(f"_differs_{name}")
             for name in fields
         ],
     )

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -46,3 +46,15 @@ def ensure_checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(
             spark.conf.get("spark.checkpoint.dir", None) or shared_folder(spark, "checkpoints")
         )
+
+
+def materialize(df: DataFrame, purpose: str) -> DataFrame:
+    """Write a stage to the shared folder and read it back.
+
+    Stages used several times (snapshot views, distinct requests) are cut here: later plans stay
+    small, a lost executor never recomputes them, and the reader knows their real size, which is
+    what decides whether a join may broadcast them.
+    """
+    path = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
