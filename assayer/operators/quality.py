@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer import constants as K
@@ -60,27 +60,22 @@ def page_table_counts(diagnostics: DataFrame, stitched: DataFrame) -> DataFrame:
     )
 
 
-def sequence_gaps(rows: DataFrame, column: str) -> DataFrame:
+def sequence_gaps(rows: DataFrame, column: str, chunk: int = 100_000) -> DataFrame:
     """Gaps in a numbering that must run 1..n: each hole as a range.
 
-    A number opens a hole when its successor is absent; the hole ends before the next number, found
-    among the numbers that lack a predecessor. Both lists are as short as the damage.
+    The next number is found within chunks of the number line; only the chunk's edges are ordered
+    across chunks.
     """
-    numbers = rows.select(F.col(column).cast("bigint").alias("n")).distinct()
-    bounds = numbers.agg(F.max("n"))
-    previous = numbers.select((F.col("n") + 1).alias("n"))
-    # starts: first missing number after a present one (or 1); ends: last missing before a present one
-    starts = previous.join(numbers, "n", "left_anti").filter(F.col("n") <= bounds.scalar())
-    first = numbers.agg(F.min("n").alias("m")).filter("m > 1").select(F.lit(1).cast("bigint").alias("n"))
-    ends = numbers.filter("n > 1").join(previous, "n", "left_anti").select((F.col("n") - 1).alias("n"))
-    marks = starts.unionByName(first).select("n", F.lit(1).alias("s")).unionByName(ends.select("n", F.lit(-1).alias("s")))
-    ordered = marks.orderBy("n", F.desc("s"))
-    # starts and ends alternate, so equal ranks belong together
-    from pyspark.sql import Window
-
-    ranked = ordered.withColumn("i", F.row_number().over(Window.partitionBy("s").orderBy("n")))
-    holes = ranked.groupBy("i").agg(F.max(F.when(F.col("s") == 1, F.col("n"))).alias("a"), F.max(F.when(F.col("s") == -1, F.col("n"))).alias("b"))
-    return issues(holes, "sequence_gap", "a", F.concat_ws("-", "a", "b"))
+    numbers = rows.select(F.col(column).cast("bigint").alias("n")).filter("n is not null").distinct()
+    numbers = numbers.withColumn("_chunk", F.floor(F.col("n") / chunk).cast("bigint"))
+    edges = numbers.groupBy("_chunk").agg(F.min("n").alias("_first"))
+    edges = edges.select("_chunk", "_first", F.lead("_first").over(Window.orderBy("_chunk")).alias("_next_first"))
+    within = Window.partitionBy("_chunk").orderBy("n")
+    following = numbers.withColumn("_next", F.lead("n").over(within)).join(edges.select("_chunk", "_next_first"), "_chunk")
+    holes = following.select("n", F.coalesce("_next", "_next_first").alias("_next")).filter(F.col("_next") > F.col("n") + 1)
+    start = numbers.agg(F.min("n").alias("_next")).filter("_next > 1").select(F.lit(0).cast("bigint").alias("n"), "_next")
+    holes = holes.unionByName(start)
+    return issues(holes, "sequence_gap", F.col("n") + 1, F.concat_ws("-", F.col("n") + 1, F.col("_next") - 1))
 
 
 def missing_provenance(df: DataFrame, key: str, required: list[str], code: str) -> DataFrame:

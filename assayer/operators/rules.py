@@ -188,7 +188,9 @@ def attach_footnotes(records: DataFrame, footnotes: DataFrame) -> DataFrame:
 
 def contributing_pages(records: DataFrame, attached: DataFrame, supporting: DataFrame | None = None) -> DataFrame:
     """Distinct (raw_record_id, source_page) over record, footnote and supporting-text pages."""
-    pages = records.select("raw_record_id", F.explode("source_pages").cast("bigint").alias("source_page")).unionByName(
+    pages = records.select(
+        "raw_record_id", F.explode(F.col("source_pages").cast("array<bigint>")).alias("source_page")
+    ).unionByName(
         attached.select("raw_record_id", F.col("source_page").cast("bigint").alias("source_page"))
     )
     if supporting is not None:

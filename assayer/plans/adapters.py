@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.session import materialize
+from assayer.sources.extraction import note_lines
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -147,6 +148,54 @@ ENTITIES: dict[str, tuple[tuple[str, ...], str]] = {
         FROM entries
         """,
     ),
+    # Raw table records with lettered cases, odd identifiers, several limits and deleted entries.
+    "records": (
+        ("entries",),
+        """
+        SELECT raw_record_id, side, source_document, section, reference_number, original_substance_name, cas_number_raw,
+               original_field_of_use_text, original_concentration_text, original_conditions_text, original_warning_text,
+               original_substance_name || ' | ' || cas_number_raw || chr(10) || coalesce(original_concentration_text, '')
+                 || CASE WHEN p_brand IN ('Brand#22', 'Brand#23') THEN chr(10) || '  In Singapore only' || chr(10) || 'Thailand: see note ' ELSE '' END AS source_text,
+               flag_list, note_list, source_page
+        FROM (
+          SELECT 'raw-' || side || '-' || lower(reference_number) AS raw_record_id, side, reference_number, p_brand,
+                 CASE WHEN side = 'ctl' THEN 'controlling_regulations' ELSE 'advisory_annexes' END AS source_document,
+                 CASE WHEN side = 'ctl' AND is_prohibited THEN 'Third Schedule Part I'
+                      WHEN side = 'ctl' THEN 'Third Schedule Part II'
+                      WHEN is_prohibited THEN 'Annex II Part 1'
+                      ELSE 'Annex III Part 1' END AS section,
+                 CASE WHEN p_size = 48 AND p_brand < 'Brand#2' THEN 'Entry  Deleted'
+                      WHEN p_size = 48 THEN 'Moved or deleted (see annex)'
+                      WHEN p_brand = 'Brand#24' THEN substance_name || ', unless rinsed off'
+                      WHEN p_brand = 'Brand#25' THEN substance_name || ' including but NOT limited to the specified CAS numbers'
+                      ELSE substance_name END AS original_substance_name,
+                 CASE WHEN p_brand = 'Brand#11' THEN cas || ' / 607-285-6'
+                      WHEN p_brand = 'Brand#12' THEN replace(cas, '-', ' - ') || ', 50-00-0'
+                      ELSE cas END AS cas_number_raw,
+                 CASE WHEN is_prohibited THEN NULL
+                      WHEN p_brand = 'Brand#5' THEN '(a) Hair products' || chr(10) || '(b) Nail products'
+                      ELSE 'All products' END AS original_field_of_use_text,
+                 CASE WHEN is_prohibited OR p_brand = 'Brand#8' THEN NULL
+                      WHEN p_brand = 'Brand#5' THEN '(a) 1.5 %' || chr(10) || '(b) ' || CAST(p_size AS STRING) || ' % after mixing'
+                      WHEN p_brand = 'Brand#6' THEN '2 % or 3 %'
+                      WHEN p_brand = 'Brand#15' THEN CAST(p_size AS STRING) || ' mg / kg (as zinc)'
+                      WHEN p_brand = 'Brand#16' THEN 'Less than ' || CAST(p_size AS STRING) || ' ppm calculated as NH3; in the finished product'
+                      WHEN p_brand = 'Brand#17' THEN 'GREATER THAN or equal ' || CAST(p_size AS STRING) || '% as ingredient'
+                      ELSE CAST(p_size AS STRING) || '.5% ready for use' END AS original_concentration_text,
+                 CASE WHEN p_brand = 'Brand#8' AND p_size > 25 THEN 'Not more than 0.5 % of the mass'
+                      WHEN p_brand = 'Brand#8' THEN 'Between 0.5 % and 1 %'
+                      WHEN p_brand = 'Brand#9' THEN 'At most 50 µg/kg nitrosamine'
+                      WHEN p_brand = 'Brand#10' THEN 'a) for adults' || chr(10) || 'b) for 10% solutions' END AS original_conditions_text,
+                 CASE WHEN p_brand = 'Brand#5' AND p_size > 25 THEN '(a) Wear gloves' || chr(10) || '(b)' END AS original_warning_text,
+                 CASE WHEN p_brand = 'Brand#14' THEN 'nonstandard_reference_fragment:x'
+                      WHEN p_brand IN ('Brand#15', 'Brand#18') THEN 'entry_spans_multiple_pages' ELSE '' END AS flag_list,
+                 CASE WHEN p_brand = 'Brand#16' THEN CAST(p_partkey AS STRING) || ',' || CAST(p_partkey + 1 AS STRING)
+                      WHEN p_brand = 'Brand#17' THEN CAST(p_partkey AS STRING) ELSE '' END AS note_list,
+                 3 + CAST(floor(p_partkey / 36) AS BIGINT) AS source_page
+          FROM entries
+        ) x
+        """,
+    ),
     "glossary": (
         (),
         """
@@ -268,6 +317,13 @@ def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
                 ),
             ),
         )
+    if name == "records":
+        df = (
+            df.withColumn("extraction_flags", _list("flag_list"))
+            .withColumn("footnote_references", _list("note_list"))
+            .withColumn("jurisdiction_notes", note_lines(F.col("source_text")))
+            .withColumn("source_pages", F.array("source_page"))
+        )
     if name == "ingredients":
         df = df.withColumn(
             "concentration",

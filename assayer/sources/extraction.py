@@ -203,7 +203,7 @@ def _footnotes(body: Column, marker: str) -> Column:
 def extract_footnotes(pages: DataFrame, dialect: str = "parenthesized") -> DataFrame:
     """Footnotes of page texts (key columns kept). Two dialects: ``(n) text`` and ``n text``.
 
-    The bare dialect starts at the phrase ``1 These substances`` and ends before ``PART III``.
+    The bare dialect starts at the extracted phrase ``1 Thesesubstances`` and ends before ``PART III``.
     """
     text = F.col("text")
     if dialect == "parenthesized":
