@@ -8,7 +8,7 @@ use, and substrings only for queries that still lack results.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer import constants as K
@@ -21,27 +21,32 @@ def search_queries(queries: DataFrame, kind: str) -> DataFrame:
     return usable.select(text_key(F.col("query"), kind).alias("query_key")).filter("query_key <> ''").distinct()
 
 
-def _lengths(keys: DataFrame) -> Column:
-    """Lengths in use, as one small scalar array (at most the longest query's length)."""
-    return keys.agg(F.collect_set(F.length("query_key"))).scalar()
+def _with_lengths(entries: DataFrame, keys: DataFrame) -> DataFrame:
+    """Entries with the query lengths in use that fit the key, as ``_lengths``.
+
+    The lengths are one small scalar: at most as many as the longest query has characters.
+    """
+    lengths = keys.agg(F.collect_set(F.length("query_key"))).scalar()
+    return entries.withColumn("_all", lengths).withColumn(
+        "_lengths", F.filter("_all", lambda n: n <= F.length("key"))
+    ).drop("_all")
 
 
 def _prefixes(entries: DataFrame, keys: DataFrame) -> DataFrame:
-    lengths = F.filter(_lengths(keys), lambda n: n <= F.length("key"))
-    return entries.select("*", F.explode(F.transform(lengths, lambda n: F.substr("key", F.lit(1), n))).alias("query_key"))
+    pieces = F.transform("_lengths", lambda n: F.substr("key", F.lit(1), n))
+    return _with_lengths(entries, keys).withColumn("query_key", F.explode(pieces)).drop("_lengths")
 
 
 def _pieces(entries: DataFrame, keys: DataFrame) -> DataFrame:
-    lengths = F.filter(_lengths(keys), lambda n: n <= F.length("key"))
     pieces = F.array_distinct(
         F.flatten(
             F.transform(
-                lengths,
+                "_lengths",
                 lambda n: F.transform(F.sequence(F.lit(1), F.length("key") - n + 1), lambda i: F.substr("key", i, n)),
             )
         )
     )
-    return entries.select("*", F.explode(pieces).alias("query_key"))
+    return _with_lengths(entries, keys).withColumn("query_key", F.explode(pieces)).drop("_lengths")
 
 
 def _top(df: DataFrame, order: list[str], k: int) -> DataFrame:

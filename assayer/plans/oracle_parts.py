@@ -12,7 +12,7 @@ def cas_ok(expr: str) -> str:
     body = f"reverse(split_part({expr}, '-', 1) || split_part({expr}, '-', 2))"
     return (
         f"(regexp_full_match({expr}, '[0-9]+-[0-9]+-[0-9]+') AND "
-        f"list_sum(list_transform(range(1, length({body}) + 1), lambda i: CAST(substr({body}, i, 1) AS BIGINT) * i)) % 10"
+        f"list_sum(list_transform(range(1, length({body}) + 1), lambda i: TRY_CAST(substr({body}, i, 1) AS BIGINT) * i)) % 10"
         f" = TRY_CAST(split_part({expr}, '-', 3) AS BIGINT))"
     )
 
