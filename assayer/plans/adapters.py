@@ -240,6 +240,23 @@ ENTITIES: dict[str, tuple[tuple[str, ...], str]] = {
         LEFT JOIN orders o ON o.o_orderkey = l.l_orderkey
         """,
     ),
+    # Upload files: one per formulation, a header row and one line per submitted ingredient.
+    "grid_rows": (
+        ("ingredients",),
+        """
+        SELECT formulation_id AS file_id, row_number AS row_id, line_no + 1 AS source_row,
+               coalesce(name, cas_number) AS name_cell,
+               CASE WHEN value IS NULL THEN CASE WHEN cas_number IS NULL THEN 'q.s.' ELSE '' END
+                    WHEN basis IS NOT NULL THEN CAST(CAST(round(value) AS INT) AS STRING)
+                    WHEN unit = 'ppm' THEN CAST(CAST(round(value) AS INT) AS STRING) || ' ppm'
+                    ELSE CAST(CAST(round(value) AS INT) AS STRING) || '%' END AS amount_cell,
+               coalesce(cas_number, '') AS cas_cell,
+               CASE WHEN preparation_stage = 'after_mixing' THEN 'After mixing' ELSE '' END AS stage_cell,
+               'lot ' || CAST(line_no AS STRING) AS note_cell,
+               CAST(round(value) AS DOUBLE) AS amount, basis, preparation_stage, cas_number, product_context
+        FROM (SELECT i.*, CAST(row_number() OVER (PARTITION BY formulation_id ORDER BY row_number) AS INT) AS line_no FROM ingredients i) x
+        """,
+    ),
 }
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("q_screening", "q_rules", "q_sources", "q_checks")
+MODULES = ("q_screening", "q_rules", "q_sources", "q_checks", "q_uploads")
 
 
 def _merged(attribute: str) -> dict:
