@@ -311,8 +311,14 @@ def forget_stages() -> None:
     _STAGES.clear()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores when the input file gives fewer partitions than there are cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def entity(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return stage(spark, sf_dir, name, lambda: materialize(derive(spark, sf_dir, name), name))
+    return stage(spark, sf_dir, name, lambda: materialize(spread(derive(spark, sf_dir, name)), name))
 
 
 def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

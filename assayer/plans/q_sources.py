@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from assayer.plans.adapters import entity, oracle, stage, table
+from assayer.plans.adapters import entity, oracle, spread, stage, table
 from assayer.session import shared_folder
 from assayer.sources import extraction as E
 from assayer.sources import snapshots as S
@@ -302,7 +302,7 @@ def _(spark, d):
             F.concat_ws(":", F.count("*").cast("string"), F.sum("n_chars").cast("string")).alias("fingerprint")
         )
 
-    retired = docs.limit(1).select(F.lit("retired").alias("item"), F.lit("0:0").alias("fingerprint"))
+    retired = spark.range(1).select(F.lit("retired").alias("item"), F.lit("0:0").alias("fingerprint"))
     return S.content_fingerprint(prints(docs), prints(docs.filter("lang <> 'de'")).unionByName(retired))
 
 
@@ -335,7 +335,7 @@ def uploads(spark, d):
         .otherwise(F.concat(F.lit('{"rows": [["Ingredient", "Amount"], ["GLYCERIN", '), price, F.lit('], ["AQUA", true], [null]]}')))
     )
     suffix = F.when(F.col("o_orderstatus") == "F", ".csv").when(F.col("o_orderstatus") == "P", ".TSV").otherwise(".json")
-    return orders.select("o_orderkey", F.col("o_orderkey").alias("file_id"), F.concat(F.lit("formula"), suffix).alias("filename"), U.content_of(content).alias("content"))
+    return spread(orders).select("o_orderkey", F.col("o_orderkey").alias("file_id"), F.concat(F.lit("formula"), suffix).alias("filename"), U.content_of(content).alias("content"))
 
 
 @register(

@@ -18,28 +18,39 @@ HEADER_PART = "fieldofapplicationand/oruse"
 
 
 def carry_forward(df: DataFrame, group: list[str], chunk: str, order: list[Column], mark: Column, out: str) -> DataFrame:
-    """Latest non-null ``mark`` at or before each row of a group.
+    """Latest non-null ``mark`` at or before each row of a group; ``chunk`` is a whole number.
 
-    Windows run within a chunk; the last mark of each earlier chunk reaches the next ones through a
-    window over chunk summaries only.
+    Windows run within a chunk. What reaches a chunk from earlier ones is found on chunk summaries,
+    and those again in blocks, so that the largest window of a group with n chunks has about
+    max(block, n / block) rows.
     """
     within = Window.partitionBy(*group, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = df.withColumn("_mark", mark).withColumn("_local", F.last("_mark", ignorenulls=True).over(within))
-    ends = (
-        local.filter("_mark is not null")
-        .groupBy(*group, chunk)
-        .agg(F.max_by("_mark", F.struct(*order)).alias("_end"))
+    # chunks without a mark are kept, with a null end
+    ends = local.groupBy(*group, chunk).agg(
+        F.max_by("_mark", F.when(F.col("_mark").isNotNull(), F.struct(*order))).alias("_end")
     )
-    chunks = df.select(*group, chunk).distinct().join(ends, [*group, chunk], "left")
-    before = Window.partitionBy(*group).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    carried = chunks.select(*group, chunk, F.last("_end", ignorenulls=True).over(before).alias("_carried"))
     return (
-        local.join(carried, [*group, chunk], "left")
+        local.join(_carried_in(ends, group, chunk), [*group, chunk], "left")
         .withColumn(out, F.coalesce("_local", "_carried"))
         .drop("_mark", "_local", "_carried")
     )
 
 
+def _carried_in(ends: DataFrame, group: list[str], chunk: str, block: int = 1000) -> DataFrame:
+    """(group, chunk, _carried): latest end of any earlier chunk."""
+    blocked = ends.withColumn("_block", F.floor(F.col(chunk) / block).cast("bigint"))
+    earlier = (Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*group, "_block").orderBy(chunk).rowsBetween(*earlier)
+    near = blocked.withColumn("_near", F.last("_end", ignorenulls=True).over(inside))
+    blocks = blocked.groupBy(*group, "_block").agg(
+        F.max_by("_end", F.when(F.col("_end").isNotNull(), F.col(chunk))).alias("_block_end")
+    )
+    across = Window.partitionBy(*group).orderBy("_block").rowsBetween(*earlier)
+    far = blocks.select(*group, "_block", F.last("_block_end", ignorenulls=True).over(across).alias("_far"))
+    return near.join(far, [*group, "_block"]).select(*group, chunk, F.coalesce("_near", "_far").alias("_carried"))
+
+
 def stitch_continuation_rows(rows: DataFrame, reference_index: int = 0) -> DataFrame:
     """Table rows assigned to the record they belong to.
 
