@@ -74,6 +74,16 @@ def present(value: Column) -> Column:
     return F.coalesce(F.btrim(F.regexp_replace(value, _SPACES, " ")) != "", F.lit(False))
 
 
+def absent_apart(key: Column, *others: Column) -> Column:
+    """A join key whose absent values ('' or null) are told apart by other columns.
+
+    Absent keys match nothing, but they would all be sent to one task. With a leading NUL they still
+    match nothing and are spread over all tasks.
+    """
+    apart = F.concat(F.lit("\x00"), F.concat_ws("\x00", *[o.cast("string") for o in others]))
+    return F.when(F.coalesce(key, F.lit("")) != "", key).otherwise(apart)
+
+
 def slug(value: Column) -> Column:
     return F.btrim(F.regexp_replace(F.lower(value), "[^a-z0-9]+", "-"), F.lit("-"))
 

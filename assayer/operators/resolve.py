@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.functions.text import identifier_checksum, text_key
+from assayer.functions.text import absent_apart, identifier_checksum, text_key
 from assayer.session import materialize
 
 REQUEST_COLUMNS = ("name", "cas_number", "product_context", "unit", "basis", "preparation_stage")
@@ -147,9 +147,12 @@ def _of(summary: DataFrame, key_type: str, key: str, prefix: str) -> DataFrame:
 
 def resolve_identity(requests: DataFrame, summary: DataFrame, common: DataFrame) -> DataFrame:
     """The decision table over names and numbers, one row per request."""
+    keyed = requests.withColumn("_name_join", absent_apart(F.col("name_key"), F.col("cas"))).withColumn(
+        "_cas_join", absent_apart(F.when(F.col("cas_valid"), F.col("cas")), F.col("name_key"), F.col("cas"))
+    )
     df = (
-        requests.join(_of(summary, "name", "name_key", "n_"), "name_key", "left")
-        .join(_of(summary, "cas", "cas", "c_"), "cas", "left")
+        keyed.join(_of(summary, "name", "_name_join", "n_"), "_name_join", "left")
+        .join(_of(summary, "cas", "_cas_join", "c_"), "_cas_join", "left")
         .join(common, ["name_key", "cas"], "left")
     )
     has_name, has_cas = F.col("name_key") != "", F.col("cas") != ""
@@ -237,9 +240,10 @@ def catalogue_fallback(resolved: DataFrame, catalogue: DataFrame) -> DataFrame:
     The catalogue has no registry numbers, so a number given with the name leaves a review.
     """
     known = catalogue.select(
-        F.col("search_name").alias("catalogue_key"), "ingredient_id", F.col("canonical_name").alias("catalogue_name")
+        F.col("search_name").alias("_name_join"), "ingredient_id", F.col("canonical_name").alias("catalogue_name")
     )
-    joined = resolved.join(known, "catalogue_key", "left")
+    keyed = resolved.withColumn("_name_join", absent_apart(F.col("catalogue_key"), F.col("cas")))
+    joined = keyed.join(known, "_name_join", "left")
     hit = (F.col("status") == "unresolved") & (F.col("name_key") != "") & F.col("ingredient_id").isNotNull()
     numbered = F.col("cas") != ""
     return joined.select(

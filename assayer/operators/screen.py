@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer import constants as K
-from assayer.functions.text import present, text_key
+from assayer.functions.text import absent_apart, present, text_key
 from assayer.operators import resolve as R
 
 NO_STRINGS = "array<string>"
@@ -204,7 +204,8 @@ def evaluate_requests(requests: DataFrame, resolved: DataFrame, nested_rules: Da
         null_safe_join(keyed, identity, ("name", "cas_number"), "inner")
         .join(known, "_context", "left")
         .withColumn("_context_known", F.col("_context").isNull() | F.coalesce("_known", F.lit(False)))
-        .join(nested_rules, "substance_id", "left")
+        .withColumn("_rule_join", absent_apart(F.col("substance_id"), F.col("name"), F.col("cas_number"), F.col("unit")))
+        .join(nested_rules.withColumnRenamed("substance_id", "_rule_join"), "_rule_join", "left")
     )
     rules = F.when(F.col("status") == "resolved", F.col("rules"))
     steps = F.transform(
@@ -368,9 +369,11 @@ def supporting_evaluations(results: DataFrame) -> DataFrame:
 
 def finding_display_name(results: DataFrame, substances: DataFrame) -> DataFrame:
     """Name shown for a result: supporting rule, resolved substance, catalogue, else as submitted."""
-    names = substances.select("substance_id", F.col("original_substance_name").alias("_resolved"))
-    df = results.withColumn("_support", F.get(supporting(results), F.lit(0))["substance_name"]).join(
-        names, "substance_id", "left"
+    names = substances.select(F.col("substance_id").alias("_name_join"), F.col("original_substance_name").alias("_resolved"))
+    df = (
+        results.withColumn("_support", F.get(supporting(results), F.lit(0))["substance_name"])
+        .withColumn("_name_join", absent_apart(F.col("substance_id"), F.col("formulation_id"), F.col("row_number")))
+        .join(names, "_name_join", "left")
     )
     backed = F.coalesce("_support", "_resolved", "catalogue_name")
     at = F.instr(F.lower(backed), " (except ")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from assayer import constants as K
 from assayer.functions.text import text_key
+from assayer.session import materialize
 
 PROHIBITED_FIELDS = ("substance_name",)
 RESTRICTED_FIELDS = (
@@ -164,7 +165,8 @@ def compare_snapshots(
         .when(F.col("acd_rules") > 0, "acd_only")
         .otherwise("singapore_only")
     )
-    headers = headers.withColumn("comparison_status", status)
+    # used twice below: for its one-sided references and for the result
+    headers = materialize(headers.withColumn("comparison_status", status), "comparison-headers")
     candidates = rename_candidates(headers, rules, mappings)
     headers = headers.join(
         candidates.groupBy("regulatory_mapping", "reference_key").agg(

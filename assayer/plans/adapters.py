@@ -312,9 +312,9 @@ def forget_stages() -> None:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores when the input file gives fewer partitions than there are cores."""
+    """Use all cores when there are fewer input files than cores, as with the small test tables."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def entity(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -98,11 +98,25 @@ def stitch_continuation_rows(rows: DataFrame, reference_index: int = 0) -> DataF
     )
 
 
-def finalize_raw_record(stitched: DataFrame, columns: list[str]) -> DataFrame:
+MAX_TEXT_ROWS = 1_000_000
+
+
+def texts_by_group(df: DataFrame, keys: list[str], aggregates: list[Column], limit: int = MAX_TEXT_ROWS) -> DataFrame:
+    """Aggregates that join texts, for groups of checked size only; ``fragments`` counts every group.
+
+    A text cell cannot hold more than two gigabytes. A group with more rows than ``limit`` keeps its
+    row and its count, with null texts; its rows stay whole in the long input table.
+    """
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("fragments"))
+    usable = sizes.filter(F.col("fragments") <= limit).select(*keys)
+    texts = df.join(usable, keys, "left_semi").groupBy(*keys).agg(*aggregates)
+    return sizes.join(texts, keys, "left")
+
+
+def finalize_raw_record(stitched: DataFrame, columns: list[str], limit: int = MAX_TEXT_ROWS) -> DataFrame:
     """One row per record: cell texts joined per column, row texts joined, distinct pages and flags.
 
-    ``columns`` names the table's cells. A record's rows are its own output text, so joining them is
-    bounded by the size of the record that is written.
+    ``columns`` names the table's cells. See ``texts_by_group`` for records of extreme size.
     """
     row_text = F.array_join("cells", " | ")
     order = F.struct("source_page", "row_index")
@@ -113,16 +127,14 @@ def finalize_raw_record(stitched: DataFrame, columns: list[str]) -> DataFrame:
             F.array_join(F.filter(F.transform(ordered, lambda s: s["text"]), lambda t: t != ""), "\n")
         )
 
-    grouped = stitched.filter("kind <> 'unassigned'").groupBy(
-        "source_document", "section", "reference_number", "island_page", "island_row"
-    )
-    out = grouped.agg(
+    keys = ["source_document", "section", "reference_number", "island_page", "island_row"]
+    aggregates = [
         *[joined(F.coalesce(F.get("cells", F.lit(i)), F.lit(""))).alias(name) for i, name in enumerate(columns)],
         joined(row_text).alias("source_text"),
         F.array_sort(F.collect_set("source_page")).alias("source_pages"),
         F.array_sort(F.collect_set("flag")).alias("_flags"),
-        F.count("*").alias("fragments"),
-    )
+    ]
+    out = texts_by_group(stitched.filter("kind <> 'unassigned'"), keys, aggregates, limit)
     spans = F.when(F.size("source_pages") > 1, F.array(F.lit("entry_spans_multiple_pages"))).otherwise(
         F.array().cast("array<string>")
     )
@@ -334,9 +346,13 @@ def extract_provisions(
         "source_document", "source_page", "line_no",
         F.explode(F.array_compact(F.array(*[part(i) for i in range(len(clauses))]))).alias("p"),
     ).select("source_document", "source_page", "line_no", "p.provision_id", "p.line")
-    texts = tagged.groupBy("source_document", "provision_id").agg(
-        F.array_sort(F.collect_list(F.struct("source_page", "line_no", "line"))).alias("l"),
-        F.array_sort(F.collect_set("source_page")).alias("source_pages"),
+    texts = texts_by_group(
+        tagged,
+        ["source_document", "provision_id"],
+        [
+            F.array_sort(F.collect_list(F.struct("source_page", "line_no", "line"))).alias("l"),
+            F.array_sort(F.collect_set("source_page")).alias("source_pages"),
+        ],
     ).select(
         "source_document", "provision_id", "source_pages",
         trimmed(F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("source_text"),
@@ -398,7 +414,7 @@ def entry_lines(placed: DataFrame) -> DataFrame:
             ),
         ).otherwise(F.concat(acc, F.array(F.struct(w["y"].alias("y"), w["text"].alias("line"))))),
     )
-    grouped = placed.groupBy("page", "entry_number", "marker_top").agg(ordered.alias("_words"))
+    grouped = texts_by_group(placed, ["page", "entry_number", "marker_top"], [ordered.alias("_words")])
     return grouped.select(
         "page", "entry_number", "marker_top",
         F.transform(lines, lambda l: F.btrim(l["line"])).alias("source_lines"),

@@ -50,6 +50,20 @@ def test_words_between_two_markers_belong_to_both(spark):
     assert got == {7: ("ALPHA BETA GAMMA EDGE", ["ALPHA BETA", "GAMMA", "EDGE"]), 8: ("EDGE DELTA", ["EDGE DELTA"])}
 
 
+def test_a_record_of_extreme_size_keeps_its_row_and_count(spark):
+    rows = [("d", "s", 1, i, ["7" if i == 0 else "", f"t{i}"]) for i in range(9)] + [("d", "s", 2, 0, ["8", "x"])]
+    df = spark.createDataFrame(rows, "source_document string, section string, source_page bigint, row_index int, cells array<string>")
+    got = {r["reference_number"]: (r["fragments"], r["source_text"]) for r in E.finalize_raw_record(E.stitch_continuation_rows(df), ["r", "t"], limit=5).collect()}
+    assert got == {"7": (9, None), "8": (1, "8 | x")}
+
+
+def test_top_k_is_limited_before_the_shuffle(spark):
+    catalogue = spark.createDataFrame([("i", "AQUA", "aqua")], "ingredient_id string, canonical_name string, search_name string")
+    df = Q.ranked_catalogue_search(spark.createDataFrame([("aq",)], "query string"), catalogue, 3)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
 def test_small_markers_are_footnotes(spark):
     text = "Acid(12)x(3)"
     chars = [(1, i, ch, 10.0 + i, 100.0, 4.0 if 4 <= i <= 7 else 10.0) for i, ch in enumerate(text)]

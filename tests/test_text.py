@@ -65,10 +65,25 @@ def test_limits(spark, value, expected):
     assert (got and tuple(got)[:5]) == expected
 
 
-def test_cases_need_two_labels_and_no_text_before(spark):
-    rows = [("(a) one\nmore\n b) two",), ("text (a) one\n(b) two",), ("(a) one",), ("(a) x\n(a) y",), (None,)]
-    got = [r["cases"] for r in X.split_cases(spark.createDataFrame(rows, "v string"), "v").collect()]
-    assert got == [{"a": "one\nmore", "b": "two"}, None, None, None, None] or got[1] is None and got[0] == {"a": "one\nmore", "b": "two"}
+@pytest.mark.parametrize(
+    "value,expected",
+    [
+        ("(a) one\nmore\n b) two", {"a": "one\nmore", "b": "two"}),
+        ("text (a) one\n(b) two", None),
+        ("text\n(a) one\n(b) two", None),
+        ("(a) one", None),
+        ("(a) x\n(a) y", None),
+        (None, None),
+    ],
+)
+def test_cases_need_two_labels_and_no_text_before(spark, value, expected):
+    assert one(spark, value, X.case_map) == expected
+
+
+def test_absent_keys_are_told_apart(spark):
+    df = spark.createDataFrame([("k", "a"), ("", "a"), (None, "b")], "k string, o string")
+    got = [r["j"] for r in df.select(X.absent_apart(F.col("k"), F.col("o")).alias("j")).collect()]
+    assert got == ["k", "\x00a", "\x00b"]
 
 
 @pytest.mark.parametrize(
