@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from assayer import constants as K
 from assayer.functions.text import derived_name, display_name, text_key, trimmed
+from assayer.session import materialize
 
 
 def search_queries(queries: DataFrame, kind: str) -> DataFrame:
@@ -49,38 +50,51 @@ def _pieces(entries: DataFrame, keys: DataFrame) -> DataFrame:
     return _with_lengths(entries, keys).withColumn("query_key", F.explode(pieces)).drop("_lengths")
 
 
-def _top(df: DataFrame, order: list[str], k: int) -> DataFrame:
-    """First k rows per query; Spark limits each group before and after the shuffle."""
-    window = Window.partitionBy("query_key").orderBy(*order)
-    return df.withColumn("position", F.row_number().over(window)).filter(F.col("position") <= k)
+SALTS = 16
+
+
+def _salted(keys: DataFrame) -> DataFrame:
+    """Query keys once per salt, so that a query with very many hits is spread over tasks."""
+    return keys.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def _top(hits: DataFrame, order: list[str], k: int) -> DataFrame:
+    """First k rows per query: first per query and salt, then among those few."""
+    part = Window.partitionBy("query_key", "_salt").orderBy(*order)
+    few = hits.withColumn("_part", F.row_number().over(part)).filter(F.col("_part") <= k).drop("_part", "_salt")
+    whole = Window.partitionBy("query_key").orderBy(*order)
+    return few.withColumn("position", F.row_number().over(whole)).filter(F.col("position") <= k)
 
 
 def ranked_hits(keys: DataFrame, entries: DataFrame, order: list[str], k: int) -> DataFrame:
     """Best k entries per query: exact before prefix before substring, then ``order``.
 
-    ``entries`` needs ``id`` and ``key``; an entry with several keys counts with its best rank.
+    ``entries`` has its id first and a ``key``; an entry with several keys counts with its best rank.
+    Queries and the first result are written between the steps: both are small, used several times,
+    and their known size decides whether the pieces of the keys need a shuffle at all.
     """
+    keys = materialize(keys, "search-queries")
     kept = [c for c in entries.columns if c != "key"]
-    prefix = _prefixes(entries, keys).join(keys, "query_key").withColumn(
-        "rank", F.when(F.col("key") == F.col("query_key"), 0).otherwise(1)
-    )
-    prefix = prefix.groupBy("query_key", *kept).agg(F.min("rank").alias("rank"))
-    top = _top(prefix, ["rank", *order], k)
+    salt = F.pmod(F.xxhash64(kept[0]), F.lit(SALTS)).cast("int")
+    entries = entries.withColumn("_salt", salt)
+
+    def best(pieces: DataFrame, queries: DataFrame, rank) -> DataFrame:
+        hits = pieces.join(_salted(queries), ["query_key", "_salt"]).withColumn("rank", rank)
+        hits = hits.groupBy("query_key", "_salt", *kept).agg(F.min("rank").alias("rank"))
+        return _top(hits, ["rank", *order], k)
+
+    exact = F.col("key") == F.col("query_key")
+    top = materialize(best(_prefixes(entries, keys), keys, F.when(exact, 0).otherwise(1)), "prefix-hits")
     # queries that are already full need no substring step
-    full = top.groupBy("query_key").agg(F.count("*").alias("_n")).filter(F.col("_n") >= k)
-    open_keys = keys.join(full, "query_key", "left_anti")
-    inside = _pieces(entries, open_keys).join(open_keys, "query_key").withColumn(
-        "rank", F.when(F.col("key") == F.col("query_key"), 0).when(F.startswith("key", "query_key"), 1).otherwise(2)
-    )
-    inside = inside.groupBy("query_key", *kept).agg(F.min("rank").alias("rank"))
-    rest = _top(inside, ["rank", *order], k)
-    done = top.join(full.select("query_key"), "query_key", "left_semi")
-    return done.unionByName(rest)
+    full = top.groupBy("query_key").agg(F.count("*").alias("_n")).filter(F.col("_n") >= k).select("query_key")
+    open_keys = materialize(keys.join(full, "query_key", "left_anti"), "open-queries")
+    rank = F.when(exact, 0).when(F.startswith("key", "query_key"), 1).otherwise(2)
+    return top.join(full, "query_key", "left_semi").unionByName(best(_pieces(entries, open_keys), open_keys, rank))
 
 
 def prefix_search(queries: DataFrame, catalogue: DataFrame) -> DataFrame:
     """All catalogue rows whose key starts with the query key."""
-    keys = search_queries(queries, "catalogue")
+    keys = materialize(search_queries(queries, "catalogue"), "search-queries")
     entries = catalogue.select("ingredient_id", F.col("search_name").alias("key"))
     return _prefixes(entries, keys).join(keys, "query_key").select("query_key", F.col("key").alias("search_name"), "ingredient_id")
 
