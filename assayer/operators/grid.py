@@ -135,30 +135,30 @@ def map_ingredient_names(references: DataFrame, mappings: DataFrame, proposals:
     )
 
 
-def field_cells(references: DataFrame, fields: tuple[str, ...]) -> DataFrame:
-    """First cited cell of each field per logical row, as columns."""
-    return references.groupBy(*ROW).agg(
-        *[F.min_by("source_value", F.when(F.col("field") == f, F.col("position"))).alias(f"{f}_cell") for f in fields]
-    )
-
-
 def ground_amounts(proposals: DataFrame, references: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, errors): amounts read from cited cells, and proposals the cells do not bear out.
 
     proposals: file_id, row_id, proposed_value, proposed_cas, proposed_basis, proposed_stage.
     """
-    df = proposals.join(field_cells(references, ("amount", "unit")), ROW, "left")
-    matches = (
-        references.filter("field in ('cas', 'basis', 'stage')")
-        .join(proposals, ROW)
+    field, cited = F.col("field"), F.col("source_value")
+
+    def first(name: str) -> Column:
+        return F.min_by("source_value", F.when(field == name, F.col("position"))).alias(f"{name}_cell")
+
+    # one grouping of the references answers for all fields of a row
+    evidence = (
+        references.filter("field in ('amount', 'unit', 'cas', 'basis', 'stage')")
+        .join(proposals.select(*ROW, "proposed_cas", "proposed_basis", "proposed_stage"), ROW)
         .groupBy(*ROW)
         .agg(
-            F.bool_or((F.col("field") == "cas") & (X.trimmed(F.col("source_value")) == X.trimmed(F.col("proposed_cas")))).alias("_cas"),
-            F.bool_or((F.col("field") == "basis") & (X.text_key(F.col("source_value"), "grid") == X.text_key(F.col("proposed_basis"), "grid"))).alias("_basis"),
-            F.bool_or((F.col("field") == "stage") & (X.stage_code(F.col("source_value")) == F.col("proposed_stage"))).alias("_stage"),
+            first("amount"),
+            first("unit"),
+            F.bool_or((field == "cas") & (X.trimmed(cited) == X.trimmed(F.col("proposed_cas")))).alias("_cas"),
+            F.bool_or((field == "basis") & (X.text_key(cited, "grid") == X.text_key(F.col("proposed_basis"), "grid"))).alias("_basis"),
+            F.bool_or((field == "stage") & (X.stage_code(cited) == F.col("proposed_stage"))).alias("_stage"),
         )
     )
-    df = df.join(matches, ROW, "left")
+    df = proposals.join(evidence, ROW, "left")
     cell = F.when(X.present(F.col("amount_cell")), F.col("amount_cell"))
     amount, unit, state = X.cell_amount(cell)
     df = df.withColumn("_amount", amount).withColumn("_unit", unit).withColumn("_state", F.when(cell.isNotNull(), state))

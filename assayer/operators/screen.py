@@ -208,13 +208,13 @@ def evaluate_requests(requests: DataFrame, resolved: DataFrame, nested_rules: Da
         .join(nested_rules.withColumnRenamed("substance_id", "_rule_join"), "_rule_join", "left")
     )
     rules = F.when(F.col("status") == "resolved", F.col("rules"))
-    steps = F.transform(
+    checked = F.transform(
         rules,
-        lambda r: F.struct(
-            r.alias("rule"),
-            _branch(r, limit_mismatch(r, F.col("_unit"), F.col("_basis"), F.col("_stage"))).alias("branch"),
-            limit_mismatch(r, F.col("_unit"), F.col("_basis"), F.col("_stage")).alias("mismatch"),
-        ),
+        lambda r: F.struct(r.alias("rule"), limit_mismatch(r, F.col("_unit"), F.col("_basis"), F.col("_stage")).alias("mismatch")),
+    )
+    steps = F.transform(
+        checked,
+        lambda s: F.struct(s["rule"].alias("rule"), _branch(s["rule"], s["mismatch"]).alias("branch"), s["mismatch"].alias("mismatch")),
     )
     staged = joined.withColumn("_steps", steps)
     evaluated = staged.withColumn("_all", F.transform("_steps", _evaluation))
