@@ -286,13 +286,21 @@ def oracle(names: str, body: str, recursive: bool = False) -> str:
     return head + ctes(*names.split()) + joiner + body
 
 
+_REGISTERED: dict[str, str] = {}
+
+
 def register(spark: SparkSession, sf_dir: str) -> None:
-    for table in TABLES:
-        spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+    """Temporary views of the tables; views of the same folder are kept."""
+    application = spark.sparkContext.applicationId
+    if _REGISTERED.get(application) == sf_dir and spark.catalog.tableExists(TABLES[-1]):
+        return
+    for name in TABLES:
+        table(spark, sf_dir, name).createOrReplaceTempView(name)
+    _REGISTERED[application] = sf_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return stage(spark, sf_dir, f"table:{name}", lambda: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 _STAGES: dict[tuple[str, str, str], object] = {}
