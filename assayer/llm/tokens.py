@@ -26,10 +26,10 @@ _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 @functools.cache
-def _tables(lower: bool):
+def _tables(lower: bool, breaks: bytes):
     """Which bytes end a word, and a fixed random number per byte (the same for a letter's cases if ``lower``)."""
     ends = np.zeros(256, bool)
-    ends[list(SPACES)] = True
+    ends[list(breaks)] = True
     value = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
     if lower:
         value[65:91] = value[97:123]
@@ -86,9 +86,9 @@ class Words:
         return np.repeat(self.first[1:], self.counts) - np.arange(len(self))
 
 
-def words(data: np.ndarray, bounds: np.ndarray, lower: bool = False) -> Words:
-    """Words of the texts ``data[bounds[i]:bounds[i + 1]]``."""
-    ends, value = _tables(lower)
+def words(data: np.ndarray, bounds: np.ndarray, lower: bool = False, breaks: bytes = SPACES) -> Words:
+    """Words of the texts ``data[bounds[i]:bounds[i + 1]]``; ``breaks`` are the bytes between words."""
+    ends, value = _tables(lower, breaks)
     begins, stops, hashes = [], [], []
     at, last = int(bounds[0]), int(bounds[-1])
     while at < last:
