@@ -14,6 +14,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import zlib
 from bisect import bisect_left
 
@@ -25,8 +27,11 @@ from pyspark.sql import functions as F
 from assayer.session import materialize
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Distinct words a task remembers before it starts anew; bounds memory, not results.
-REMEMBERED = 400_000
+#: Distinct words a worker process remembers before it starts anew; bounds memory, not results.
+REMEMBERED = 1_000_000
+#: Characters that end a word without touching what stands before them: none is part of a contraction or of the
+#: marks of special tokens.
+TAIL = ",.;:!?%*$#&"
 #: Pieces per rank window, on average.
 WINDOW_ROWS = 100_000
 
@@ -53,10 +58,31 @@ class WordIds:
         (self.mark,) = self.encode(self.SEPARATOR)
         self.seen: dict[str, bytes] = {"": b""}
 
+    @classmethod
+    def of_process(cls, path: str) -> WordIds:
+        """The instance of this worker process, so that later tasks find the words of earlier ones."""
+        store = sys.modules.setdefault("_word_ids_of_process", types.ModuleType("_word_ids_of_process"))
+        if path not in vars(store):
+            setattr(store, path, cls(path))
+        return getattr(store, path)
+
     def encode(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def learn(self, new: list[str]) -> None:
+        """Ids of new words: those of the word without its closing punctuation, then those of the punctuation.
+
+        Punctuation is set apart only behind a letter that stays one when lower-cased, where the tokenizer cuts too.
+        """
+        cores = [word.rstrip(TAIL) for word in new]
+        cores = [c if c[-1:].lower().isalpha() else w for c, w in zip(cores, new, strict=True)]
+        tails = [w[len(c) :] for c, w in zip(cores, new, strict=True)]
+        cores = [c.lower() if c.isascii() else c for c in cores]
+        self.encode_all(list({*cores, *tails} - self.seen.keys()))
+        seen = self.seen
+        self.seen.update([(w, seen[c] + seen[t]) for w, c, t in zip(new, cores, tails, strict=True)])
+
+    def encode_all(self, new: list[str]) -> None:
         plain = [w for w in new if self.SEPARATOR not in w]
         for at in range(0, len(plain), 2_000):
             part = plain[at : at + 2_000]
@@ -85,7 +111,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
     """Pieces of each document: start, length and checksum of its ids. Null texts are the end id alone."""
 
     def run(batches):
-        words = WordIds(tokenizer)
+        words = WordIds.of_process(tokenizer)
         end, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
         for batch in batches:
             for at in range(0, len(batch), 200):
