@@ -65,16 +65,15 @@ def _repeat_words(words: Column, size: Column) -> Column:
             F.sequence(F.lit(1), F.size(ordered) - 1), lambda i: F.get(ordered, i) == F.get(ordered, i - 1)
         )
 
-    def covered(pairs: Column) -> Column:
-        """From (hash, start) in order: starts of repeated windows in order, then the length of their union."""
+    def repeated_starts(pairs: Column) -> Column:
+        """From (hash, start) in order: starts of repeated windows in order."""
         same = F.filter(
-            pairs,
-            lambda p, i: (
-                (F.get(pairs, i - 1)["h"] == p["h"])
-                | (F.get(pairs, i + 1)["h"] == p["h"])
-            ),
+            pairs, lambda p, i: (F.get(pairs, i - 1)["h"] == p["h"]) | (F.get(pairs, i + 1)["h"] == p["h"])
         )
-        at = F.sort_array(F.transform(same, lambda p: p["i"]))
+        return F.sort_array(F.transform(same, lambda p: p["i"]))
+
+    def union(at: Column) -> Column:
+        """Words covered by windows that start at the given words."""
         gaps = F.transform(
             at, lambda p, i: F.when(i == 0, F.lit(WINDOW)).otherwise(F.least(F.lit(WINDOW), p - F.get(at, i - 1)))
         )
@@ -84,7 +83,7 @@ def _repeat_words(words: Column, size: Column) -> Column:
     let = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))  # noqa: E731  evaluates `value` once
     repeated = let(F.sort_array(hashes), with_sorted)
     return F.when(size <= WINDOW, F.lit(0).cast("bigint")).otherwise(
-        F.when(repeated, let(pairs, covered)).otherwise(F.lit(0).cast("bigint"))
+        F.when(repeated, let(let(pairs, repeated_starts), union)).otherwise(F.lit(0).cast("bigint"))
     )
 
 
