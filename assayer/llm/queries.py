@@ -6,13 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import counts, decontaminate, packing, quality, setsketch, substrings, toxicity
+from assayer.llm import brown, counts, decontaminate, packing, quality, setsketch, substrings, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held_out(fold: int, folds: int):
+    return F.crc32(F.col("doc_id").cast("string")) % folds == fold
+
+
+def op1_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score(table(spark, sf_dir, "documents"), held_out(2, 7))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -47,6 +55,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_brown_lm": op1_brown_lm,
     "op3_packing": op3_packing,
     "op5_toxicity": op5_toxicity,
     "op6_quality_rules": op6_quality_rules,
