@@ -38,8 +38,6 @@ FLUSH = 1 << 20
 PLACE_BITS = 28
 
 _U = np.uint64
-#: Buckets per shuffle partition, so that partitions get about equal shares.
-SPREAD = 16
 PACKED = "bucket int, suffixes binary, keys binary, places binary, paths binary, lengths binary, docs binary, sure boolean"
 
 
@@ -324,15 +322,14 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     if not PREFIX <= window <= PREFIX + 62:
         raise ValueError(f"window must lie between {PREFIX} and {PREFIX + 62}")
     spark = docs.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = SPREAD * partitions
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(
         F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), text).alias("key"), "doc_id", text.alias("text")
     ).repartition("key")
 
     def exchanged(packed: DataFrame) -> DataFrame:
-        return packed.repartition(partitions, "bucket")
+        return packed.repartitionById(buckets, "bucket")
 
     prefixes = exchanged(rows.mapInArrow(_send_prefixes(window, buckets), PACKED))
     places = prefixes.mapInArrow(_shared_prefixes, "key long, place int").groupBy("key").agg(F.collect_list("place").alias("places"))
