@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import brown, counts, decontaminate, packing, quality, setsketch, substrings, toxicity
+from assayer.llm import brown, counts, decontaminate, html, packing, quality, sanitise, setsketch, substrings, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,10 +21,27 @@ def op1_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.score(table(spark, sf_dir, "documents"), held_out(2, 7))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sanitise.sanitise(table(spark, sf_dir, "documents"))
+    number = {
+        f"n_{kind}": F.size(F.filter("base", lambda x, kind=kind: x["kind"] == kind)).cast("long") for kind in sanitise.KINDS
+    }
+    return found.select(
+        "doc_id",
+        *(column.alias(name) for name, column in number.items()),
+        F.sha2(sanitise.listed(F.col("base")), 256).alias("base_sha256"),
+        sanitise.listed(F.col("spans")).alias("spans"),
+    )
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -56,7 +73,9 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_brown_lm": op1_brown_lm,
+    "op2_html_text": op2_html_text,
     "op3_packing": op3_packing,
+    "op4_sanitise": op4_sanitise,
     "op5_toxicity": op5_toxicity,
     "op6_quality_rules": op6_quality_rules,
     "op7_token_counts": op7_token_counts,
