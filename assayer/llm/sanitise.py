@@ -227,7 +227,8 @@ def clean(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The rows of ``docs`` with all their columns, texts redacted, n_chars (if there) counted anew; null texts stay."""
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("text", F.lit("")))
     spans = sanitise(docs, settings).where(F.size("spans") > 0).select(F.col("key").alias("row_key_"), F.col("spans").alias("row_spans_"))
-    joined = docs.withColumn("row_key_", key).join(spans.dropDuplicates(["row_key_"]), "row_key_", "left")
+    spans = materialize(spans.dropDuplicates(["row_key_"]), "spans")
+    joined = docs.withColumn("row_key_", key).join(spans, "row_key_", "left")
     text = F.when(F.col("row_spans_").isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col("row_spans_")))
     out = joined.withColumn("text", text)
     if "n_chars" in docs.columns:

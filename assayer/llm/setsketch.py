@@ -38,7 +38,7 @@ DOUBT = 30.0
 CELL_ROWS, CELL_SHINGLES = 2_000, 2_000_000
 
 _U = np.uint64
-SKETCHED = "doc_id long, n_shingles long, k1 long, k2 long, registers binary, bands array<long>"
+SKETCHED = "key long, doc_id long, n_shingles long, k1 long, k2 long, registers binary, bands array<long>"
 
 
 def shingles(found: tokens.Words, text: int, grams: np.ndarray) -> np.ndarray:
@@ -91,6 +91,11 @@ def may_link(registers_: np.ndarray, size: int, others: np.ndarray, sizes: np.nd
     return fits & (2 * (best - log_likelihood(more, less, size, sizes, threshold)) <= DOUBT)
 
 
+def row_key():
+    """Equal rows have equal keys, also those without an id."""
+    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("text", F.lit("")))
+
+
 def sketch(docs: DataFrame) -> DataFrame:
     """Size, 128-bit name, registers and bands of each row's shingle set; only the size for texts without words."""
 
@@ -111,6 +116,7 @@ def sketch(docs: DataFrame) -> DataFrame:
             bands = (wide << (_U(16) * np.arange(ROWS, dtype=np.uint64))).sum(axis=2, dtype=np.uint64).view(np.int64)
             yield pa.record_batch(
                 {
+                    "key": part.column("key"),
                     "doc_id": part.column("doc_id"),
                     "n_shingles": pa.array(size),
                     "k1": pa.array(names[0]),
@@ -122,7 +128,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                 }
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, SKETCHED)
+    return docs.select(row_key().alias("key"), "doc_id", "text").mapInArrow(run, SKETCHED)
 
 
 def _full_sets(docs: DataFrame, cells: DataFrame) -> DataFrame:
@@ -208,8 +214,8 @@ def _pivots(classes: DataFrame) -> DataFrame:
     return placed.join(shared, ["band", "value"]).select("pivot", "node").dropDuplicates()
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept per row.
+def near_duplicates(docs: DataFrame, threshold: float = 0.75, keyed: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept per row; first its key if ``keyed``.
 
     Words are compared with A-Z lower-cased. Null and empty texts have the empty set and are linked with nothing. A row
     without a doc_id is sketched and named like its class but never names one; it is kept only if no row with a
@@ -249,13 +255,21 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     named = classes.select("k1", "k2", "node").join(linked, "node", "left").select(
         "k1", "k2", F.coalesce("component", "node").alias("component")
     )
-    joined = rows.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2"], "left")
+    first = ["key"] if keyed else []
+    joined = rows.select(*first, "doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2"], "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
+    return joined.select(*first, "doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
     )
 
 
+def clean(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns; equal rows of one doc_id stay together."""
+    found = near_duplicates(docs, threshold, keyed=True)
+    dropped = materialize(found.where(~F.col("kept")).select(F.col("key").alias("row_key_")).distinct(), "dropped")
+    return docs.withColumn("row_key_", row_key()).join(dropped, "row_key_", "left_anti").select(*docs.columns)
+
+
 def _unfinished(large: DataFrame, linked: DataFrame) -> DataFrame:
     """Cells of blocks that may still miss a link: those outside the main component with all others."""
     labelled = large.join(linked, "node", "left").select(

@@ -149,6 +149,14 @@ def fit(docs: DataFrame, labels: DataFrame, eligible, settings: Settings = Setti
     return one["bucket"].to_numpy(np.int64), one["weight"].to_numpy(np.float64)
 
 
+def margins(data: np.ndarray, bounds: np.ndarray, table: np.ndarray, bias: float) -> np.ndarray:
+    """Log-odds of each text: the bias and the weight of each distinct feature."""
+    owner, found = features(data, bounds, len(table))
+    hit = np.flatnonzero(table[found])
+    owner, found = distinct(owner[hit], found[hit], len(table))
+    return bias + np.bincount(owner, table[found], len(bounds) - 1)
+
+
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], settings: Settings = Settings(), keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, score and predicted class of every row. Empty and null texts score as the bias alone."""
     buckets = settings.buckets
@@ -162,11 +170,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], settings: Setti
         table = np.zeros(buckets, np.float32)
         table[shared.value[0]] = shared.value[1]
         for part, data, bounds in tokens.slices(batches):
-            owner, found = features(data, bounds, buckets)
-            hit = np.flatnonzero(table[found])
-            owner, found = distinct(owner[hit], found[hit], buckets)
-            margin = bias + np.bincount(owner, table[found], len(part))
-            value = 1 / (1 + np.exp(-np.clip(margin, -35, 35)))
+            value = 1 / (1 + np.exp(-np.clip(margins(data, bounds, table, bias), -35, 35)))
             yield pa.record_batch(
                 {
                     **{name: part.column(name) for name in keep},
@@ -191,3 +195,19 @@ def toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()
     """
     model = fit(docs, labels, ~held_out(), settings)
     return score(docs, model, settings).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+def clean(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """The rows of ``docs`` that score under the threshold, with all their columns."""
+    at, weight = fit(docs, labels, ~held_out(), settings)
+    bias = float(weight[at < 0].sum())
+    shared = docs.sparkSession.sparkContext.broadcast((at[at >= 0], weight[at >= 0]))
+    limit = np.log(settings.threshold / (1 - settings.threshold))
+
+    def run(batches):
+        table = np.zeros(settings.buckets, np.float32)
+        table[shared.value[0]] = shared.value[1]
+        for part, data, bounds in tokens.slices(batches):
+            yield part.filter(pa.array(margins(data, bounds, table, bias) < limit))
+
+    return docs.mapInArrow(run, docs.schema)
