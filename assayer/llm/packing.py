@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import sys
 import types
+import unicodedata
 import zlib
 from bisect import bisect_left
 
@@ -48,6 +49,7 @@ class WordIds:
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
@@ -56,6 +58,13 @@ class WordIds:
         if one != two or one != self.encode("a") + self.encode("b"):
             raise ValueError("this tokenizer keeps white space")
         (self.mark,) = self.encode(self.SEPARATOR)
+        letters = [c for c in map(chr, range(0x61, 0x250)) if c.isalpha() and c.lower() == c == unicodedata.normalize("NFC", c)]
+        spell = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.letters = frozenset(letters)
+        self.spelling = str.maketrans({c: spell(c)[0][0] for c in letters})
+        probes = ["a", "the", "straße", "élève", "ñandú", "zzzzqx", "".join(letters[:60]), *map("".join, zip(letters, letters[1:], letters[7:]))]
+        if any(self.spelled(w) != self.encode(w) for w in probes):
+            self.letters = frozenset()
         self.seen: dict[str, bytes] = {"": b""}
 
     @classmethod
@@ -69,6 +78,10 @@ class WordIds:
     def encode(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def spelled(self, word: str) -> list[int]:
+        """Ids of a word of known small letters: the steps before the merges leave it in one piece, spelled as bytes."""
+        return [token.id for token in self.tokenizer.model.tokenize(word.translate(self.spelling))]
+
     def learn(self, new: list[str]) -> None:
         """Ids of new words: those of the word without its closing punctuation, then those of the punctuation.
 
@@ -77,9 +90,14 @@ class WordIds:
         cores = [word.rstrip(TAIL) for word in new]
         cores = [c if c[-1:].lower().isalpha() else w for c, w in zip(cores, new, strict=True)]
         tails = [w[len(c) :] for c, w in zip(cores, new, strict=True)]
-        cores = [c.lower() if c.isascii() else c for c in cores]
-        self.encode_all(list({*cores, *tails} - self.seen.keys()))
-        seen = self.seen
+        cores = [low if self.letters.issuperset(low := c.lower()) else c for c in cores]
+        seen, rest = self.seen, []
+        for core in {*cores, *tails} - seen.keys():
+            if self.letters.issuperset(core):
+                seen[core] = np.array(self.spelled(core), "<u4").tobytes()
+            else:
+                rest.append(core)
+        self.encode_all(rest)
         self.seen.update([(w, seen[c] + seen[t]) for w, c, t in zip(new, cores, tails, strict=True)])
 
     def encode_all(self, new: list[str]) -> None:
