@@ -31,9 +31,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sanitise.sanitise(table(spark, sf_dir, "documents"))
-    number = {
-        f"n_{kind}": F.size(F.filter("base", lambda x, kind=kind: x["kind"] == kind)).cast("long") for kind in sanitise.KINDS
-    }
+    number = {f"n_{kind}": sanitise.number(F.col("base"), kind) for kind in sanitise.KINDS}
     return found.select(
         "doc_id",
         *(column.alias(name) for name, column in number.items()),

@@ -18,6 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assayer.llm.rows import fresh, row_key
 from assayer.session import materialize
 
 KINDS = ("email", "ip", "card", "phone")
@@ -119,8 +120,7 @@ def base_spans(text: Column) -> Column:
 def find(docs: DataFrame) -> DataFrame:
     """key, doc_id, text and base spans of each row; equal rows have equal keys."""
     text = F.coalesce("text", F.lit(""))
-    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), text)
-    return docs.select(key.alias("key"), "doc_id", text.alias("text")).withColumn("base", base_spans(F.col("text")))
+    return docs.select(row_key().alias("key"), "doc_id", text.alias("text")).withColumn("base", base_spans(F.col("text")))
 
 
 def mentions(found: DataFrame, settings: Settings) -> DataFrame:
@@ -196,6 +196,11 @@ def sanitise(docs: DataFrame, settings: Settings = Settings(), keep_text: bool =
     return joined.select("key", "doc_id", "base", spans.alias("spans"), *(["text"] if keep_text else []))
 
 
+def number(spans: Column, kind: str) -> Column:
+    """Spans of one kind."""
+    return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long")
+
+
 def listed(spans: Column) -> Column:
     """kind:start:end of each span, joined by commas."""
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
@@ -225,13 +230,13 @@ def redacted(text: Column, spans: Column) -> Column:
 
 def clean(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The rows of ``docs`` with all their columns, texts redacted, n_chars (if there) counted anew; null texts stay."""
-    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("text", F.lit("")))
-    spans = sanitise(docs, settings).where(F.size("spans") > 0).select(F.col("key").alias("row_key_"), F.col("spans").alias("row_spans_"))
-    spans = materialize(spans.dropDuplicates(["row_key_"]), "spans")
-    joined = docs.withColumn("row_key_", key).join(spans, "row_key_", "left")
-    text = F.when(F.col("row_spans_").isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col("row_spans_")))
+    key, held = (fresh(name, docs.columns) for name in ("row_key", "row_spans"))
+    spans = sanitise(docs, settings).where(F.size("spans") > 0).select(F.col("key").alias(key), F.col("spans").alias(held))
+    spans = materialize(spans.dropDuplicates([key]), "spans")
+    joined = docs.withColumn(key, row_key()).join(spans, key, "left")
+    text = F.when(F.col(held).isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col(held)))
     out = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
-        changed = F.when(F.col("row_spans_").isNull(), F.col("n_chars")).otherwise(F.length("text"))
+        changed = F.when(F.col(held).isNull(), F.col("n_chars")).otherwise(F.length("text"))
         out = out.withColumn("n_chars", changed.cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
