@@ -55,8 +55,14 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(text, WORD_BREAK), lambda w: w != "")
 
 
-def _repeat_words(words: Column, size: Column) -> Column:
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, wherever the optimizer moves the expression."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _repeat_words(words: Column) -> Column:
     """Words covered by a window that occurs twice or more in the text."""
+    size = F.size(words)
     starts = F.sequence(F.lit(0), size - WINDOW)
     hashes = F.transform(starts, lambda i: F.xxhash64(*(F.get(words, i + j) for j in range(WINDOW))))
 
@@ -80,10 +86,9 @@ def _repeat_words(words: Column, size: Column) -> Column:
         return F.aggregate(gaps, F.lit(0).cast("bigint"), lambda total, gap: total + gap)
 
     pairs = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    let = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))  # noqa: E731  evaluates `value` once
-    repeated = let(F.sort_array(hashes), with_sorted)
+    repeated = _let(F.sort_array(hashes), with_sorted)
     return F.when(size <= WINDOW, F.lit(0).cast("bigint")).otherwise(
-        F.when(repeated, let(let(pairs, repeated_starts), union)).otherwise(F.lit(0).cast("bigint"))
+        F.when(repeated, _let(_let(pairs, repeated_starts), union)).otherwise(F.lit(0).cast("bigint"))
     )
 
 
@@ -97,7 +102,7 @@ def features(text: Column, words: Column) -> dict[str, Column]:
         "n_symbols": (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("bigint"),
         "n_lines": F.size(lines).cast("bigint"),
         "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint"),
-        "n_repeat_words": _repeat_words(words, size),
+        "n_repeat_words": _let(words, _repeat_words),
         "n_stop_words": F.size(F.filter(words, lambda w: F.lower(w).isin(STOP_WORDS))).cast("bigint"),
         "longest_word_chars": F.coalesce(F.array_max(F.transform(words, F.length)), F.lit(0)).cast("bigint"),
     }

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from assayer.llm import tokens
 from assayer.llm.components import components
+from assayer.llm.rows import fresh, row_key
 from assayer.session import materialize
 
 SHINGLE = 5
@@ -91,11 +92,6 @@ def may_link(registers_: np.ndarray, size: int, others: np.ndarray, sizes: np.nd
     return fits & (2 * (best - log_likelihood(more, less, size, sizes, threshold)) <= DOUBT)
 
 
-def row_key():
-    """Equal rows have equal keys, also those without an id."""
-    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("text", F.lit("")))
-
-
 def sketch(docs: DataFrame) -> DataFrame:
     """Size, 128-bit name, registers and bands of each row's shingle set; only the size for texts without words."""
 
@@ -266,8 +262,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, keyed: bool = Fals
 def clean(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns; equal rows of one doc_id stay together."""
     found = near_duplicates(docs, threshold, keyed=True)
-    dropped = materialize(found.where(~F.col("kept")).select(F.col("key").alias("row_key_")).distinct(), "dropped")
-    return docs.withColumn("row_key_", row_key()).join(dropped, "row_key_", "left_anti").select(*docs.columns)
+    key = fresh("row_key", docs.columns)
+    dropped = materialize(found.where(~F.col("kept")).select(F.col("key").alias(key)).distinct(), "dropped")
+    return docs.withColumn(key, row_key()).join(dropped, key, "left_anti").select(*docs.columns)
 
 
 def _unfinished(large: DataFrame, linked: DataFrame) -> DataFrame:

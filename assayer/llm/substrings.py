@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.llm import tokens
+from assayer.llm.rows import row_key
 
 PREFIX = 5
 #: Suffixes collected by a task before it sends them; bounds memory, not results.
@@ -325,7 +326,7 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(
-        F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), text).alias("key"), "doc_id", text.alias("text")
+        row_key().alias("key"), "doc_id", text.alias("text")
     ).repartition("key")
 
     def exchanged(packed: DataFrame) -> DataFrame:
