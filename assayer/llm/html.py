@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assayer.llm.rows import smallest
+
 MARKUP = re.compile(
     r"<!--(?:.*?-->|.*)"
     r"|<(?P<raw>script|style|noscript|textarea|title|template|iframe|svg|select|noframes|object)\b"
@@ -174,7 +176,7 @@ def learn(pages: DataFrame, max_pages: int = 2_000) -> dict[str, float]:
     Without any such page the weights are ``DEFAULT``. The bound is a parameter and does not depend on the table.
     """
     labelled = pages.where(F.lower("html").rlike("<(article|main)[\\s>]"))
-    chosen = labelled.select("page_id", F.xxhash64("page_id").alias("order")).orderBy("order").limit(max_pages)
+    chosen = smallest(labelled.select("page_id", F.xxhash64("page_id").alias("order")), "order", max_pages)
     sample = pages.join(F.broadcast(chosen.select("page_id").distinct()), "page_id").select("html")
 
     def count(batches):

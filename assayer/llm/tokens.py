@@ -18,7 +18,7 @@ SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Bytes hashed at once; bounds the temporary arrays, not the texts.
 BLOCK = 1 << 20
 #: Bytes of text handed to an operator at once, unless a single text is longer.
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1

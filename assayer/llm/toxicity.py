@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.llm import tokens
+from assayer.llm.rows import smallest
 
 #: ASCII bytes that are neither letters nor digits.
 BREAKS = bytes(b for b in range(128) if not chr(b).isalnum())
@@ -96,13 +97,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, eligible, settings: Settin
 
     An id labelled twice counts once, as toxic if any label says so.
     """
-    chosen = (
+    chosen = smallest(
         labels.where(eligible & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
         .groupBy("doc_id")
         .agg(F.max("toxic").alias("toxic"))
-        .withColumn("order", F.xxhash64("doc_id"))
-        .orderBy("order", "doc_id")
-        .limit(settings.max_training)
+        .withColumn("order", F.xxhash64("doc_id")),
+        "order",
+        settings.max_training,
     )
     # At most max_training rows of three numbers: a bound set by the parameter.
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic", "order")
