@@ -19,17 +19,19 @@ import types
 import unicodedata
 import zlib
 from bisect import bisect_left
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from assayer.llm import tokens
 from assayer.session import materialize
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Distinct words a worker process remembers before it starts anew; bounds memory, not results.
-REMEMBERED = 1_000_000
+REMEMBERED = 2_000_000
 #: Characters that end a word without touching what stands before them: none is part of a contraction or of the
 #: marks of special tokens.
 TAIL = ",.;:!?%*$#&"
@@ -38,11 +40,11 @@ WINDOW_ROWS = 100_000
 
 
 class WordIds:
-    """Ids of a tokenizer that drops white space: each blank-separated word is encoded once per task.
+    """Ids of a tokenizer that drops white space: each blank-separated word is encoded once per worker process.
 
-    A text is cut at U+0020 and U+000A only; such a tokenizer never joins characters across them, so the ids
-    of a text are the ids of its words in order. New words are encoded many at a time, with a separator of
-    known ids between them.
+    Such a tokenizer never joins characters across a blank, so the ids of a text are the ids of its words in order.
+    Known words are a sorted array of hashes with their places in one array of ids. New words are encoded without
+    their closing punctuation, and those of several pieces many at a time, with a separator of known id between them.
     """
 
     SEPARATOR = "\x01"
@@ -54,8 +56,7 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        one, two = self.encode("a b"), self.encode("a\nb")
-        if one != two or one != self.encode("a") + self.encode("b"):
+        if any(self.encode(f"a{blank}b") != self.encode("a") + self.encode("b") for blank in tokens.SPACES.decode()):
             raise ValueError("this tokenizer keeps white space")
         (self.mark,) = self.encode(self.SEPARATOR)
         letters = [c for c in map(chr, range(0x61, 0x250)) if c.isalpha() and c.lower() == c == unicodedata.normalize("NFC", c)]
@@ -65,7 +66,7 @@ class WordIds:
         probes = ["a", "the", "straße", "élève", "ñandú", "zzzzqx", "".join(letters[:60]), *map("".join, zip(letters, letters[1:], letters[7:]))]
         if any(self.spelled(w) != self.encode(w) for w in probes):
             self.letters = frozenset()
-        self.seen: dict[str, bytes] = {"": b""}
+        self.forget()
 
     @classmethod
     def of_process(cls, path: str) -> WordIds:
@@ -75,6 +76,11 @@ class WordIds:
             setattr(store, path, cls(path))
         return getattr(store, path)
 
+    def forget(self) -> None:
+        self.known = np.zeros(0, np.uint64)
+        self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.held, self.used = np.zeros(1 << 16, np.uint32), 0
+
     def encode(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
@@ -82,7 +88,7 @@ class WordIds:
         """Ids of a word of known small letters: the steps before the merges leave it in one piece, spelled as bytes."""
         return [token.id for token in self.tokenizer.model.tokenize(word.translate(self.spelling))]
 
-    def learn(self, new: list[str]) -> None:
+    def encode_words(self, new: list[str]) -> list[list[int]]:
         """Ids of new words: those of the word without its closing punctuation, then those of the punctuation.
 
         Punctuation is set apart only behind a letter that stays one when lower-cased, where the tokenizer cuts too.
@@ -91,38 +97,59 @@ class WordIds:
         cores = [c if c[-1:].lower().isalpha() else w for c, w in zip(cores, new, strict=True)]
         tails = [w[len(c) :] for c, w in zip(cores, new, strict=True)]
         cores = [low if self.letters.issuperset(low := c.lower()) else c for c in cores]
-        seen, rest = self.seen, []
-        for core in {*cores, *tails} - seen.keys():
-            if self.letters.issuperset(core):
-                seen[core] = np.array(self.spelled(core), "<u4").tobytes()
+        ids: dict[str, list[int]] = {"": []}
+        rest = []
+        for part in {*cores, *tails} - {""}:
+            if self.letters.issuperset(part):
+                ids[part] = self.spelled(part)
             else:
-                rest.append(core)
-        self.encode_all(rest)
-        self.seen.update([(w, seen[c] + seen[t]) for w, c, t in zip(new, cores, tails, strict=True)])
+                rest.append(part)
+        self.encode_all(rest, ids)
+        return [ids[c] + ids[t] for c, t in zip(cores, tails, strict=True)]
 
-    def encode_all(self, new: list[str]) -> None:
+    def encode_all(self, new: list[str], ids: dict[str, list[int]]) -> None:
         plain = [w for w in new if self.SEPARATOR not in w]
         for at in range(0, len(plain), 2_000):
             part = plain[at : at + 2_000]
-            ids = np.array(self.encode(f" {self.SEPARATOR} ".join(part)), np.uint32)
-            cuts = np.flatnonzero(ids == self.mark)
+            joined = self.encode(f" {self.SEPARATOR} ".join(part))
+            cuts = [i for i, x in enumerate(joined) if x == self.mark]
             if len(cuts) != len(part) - 1:  # a word whose own ids hold the mark
-                self.seen.update((w, np.array(self.encode(w), "<u4").tobytes()) for w in part)
+                ids.update((w, self.encode(w)) for w in part)
                 continue
-            raw = ids.astype("<u4").tobytes()
-            begin, end = [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(raw)]
-            self.seen.update((w, raw[b:e]) for w, b, e in zip(part, begin, end, strict=True))
-        self.seen.update((w, np.array(self.encode(w), "<u4").tobytes()) for w in new if self.SEPARATOR in w)
-
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        split = [text.replace("\n", " ").split(" ") if text else [] for text in texts]
-        new = set().union(*split) - self.seen.keys()
-        if len(self.seen) + len(new) > REMEMBERED:
-            self.seen = {"": b""}
-            new = set().union(*split) - self.seen.keys()
-        self.learn(list(new))
-        return [b"".join(map(self.seen.__getitem__, parts)) for parts in split]
+            ids.update((w, joined[b:e]) for w, b, e in zip(part, [0, *(c + 1 for c in cuts)], [*cuts, len(joined)], strict=True))
+        ids.update((w, self.encode(w)) for w in new if self.SEPARATOR in w)
+
+    def learn(self, names: np.ndarray, words: list[str]) -> None:
+        """``names``: sorted hashes of the new words."""
+        found = self.encode_words(words)
+        size = np.fromiter(map(len, found), np.int32, len(found))
+        total = int(size.sum())
+        if self.used + total > len(self.held):
+            self.held = np.concatenate([self.held[: self.used], np.zeros(self.used + total, np.uint32)])
+        self.held[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
+        start = self.used + np.cumsum(size, dtype=np.int64) - size
+        self.used += total
+        place = np.searchsorted(self.known, names)
+        self.known, self.at, self.size = (
+            np.insert(old, place, new) for old, new in ((self.known, names), (self.at, start), (self.size, size))
+        )
+
+    def ids(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """32-bit ids of all texts ``data[bounds[i]:bounds[i + 1]]`` and where each text's begin (and the last ends)."""
+        found = tokens.words(data, bounds)
+        names, at, row = np.unique(found.hash, return_index=True, return_inverse=True)
+        if len(self.known) + len(names) > REMEMBERED:
+            self.forget()
+        place = np.searchsorted(self.known, names)
+        new = np.flatnonzero(self.known[np.minimum(place, len(self.known) - 1)] != names) if len(self.known) else np.arange(len(names))
+        if len(new):
+            spans = zip(found.begin[at[new]].tolist(), found.end[at[new]].tolist(), strict=True)
+            self.learn(names[new], [data[b:e].tobytes().decode() for b, e in spans])
+            place = np.searchsorted(self.known, names)
+        size = self.size[place][row].astype(np.int64)
+        first = np.r_[0, np.cumsum(size)]
+        source = np.arange(first[-1]) + np.repeat(self.at[place][row] - first[:-1], size)
+        return self.held[source], first[found.first]
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
@@ -131,18 +158,17 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
     def run(batches):
         words = WordIds.of_process(tokenizer)
         end, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
-        for batch in batches:
-            for at in range(0, len(batch), 200):
-                part = batch.slice(at, 200)
-                out: dict[str, list] = {name.split()[0]: [] for name in PIECES.split(", ")}
-                for doc, raw in zip(part.column("doc_id").to_pylist(), words.ids(part.column("text").to_pylist()), strict=True):
-                    raw += end
-                    for number, begin in enumerate(range(0, len(raw), step)):
-                        cut = raw[begin : begin + step]
-                        for name, value in zip(out, (doc, number, begin // 4, len(cut) // 4, zlib.crc32(cut)), strict=True):
-                            out[name].append(value)
-                types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.record_batch({k: pa.array(v, t) for (k, v), t in zip(out.items(), types, strict=True)})
+        for part, data, bounds in tokens.slices(batches):
+            ids, first = words.ids(data, bounds)
+            out: dict[str, list] = {name.split()[0]: [] for name in PIECES.split(", ")}
+            for row, doc in enumerate(part.column("doc_id").to_pylist()):
+                raw = ids[first[row] : first[row + 1]].astype("<u4").tobytes() + end
+                for number, begin in enumerate(range(0, len(raw), step)):
+                    cut = raw[begin : begin + step]
+                    for name, value in zip(out, (doc, number, begin // 4, len(cut) // 4, zlib.crc32(cut)), strict=True):
+                        out[name].append(value)
+            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.record_batch({k: pa.array(v, t) for (k, v), t in zip(out.items(), types, strict=True)})
 
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 
