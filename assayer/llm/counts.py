@@ -22,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from assayer.llm.tokens import give_back
+
 SPACE = "▁"
 LONG = 2_000
 #: Pre-tokens remembered by a task before it starts anew; bounds memory, not results.
@@ -181,5 +183,6 @@ def token_counts(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:
                         "over_limit": pa.array([n > limit for n in tokens]),
                     }
                 )
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)

@@ -7,7 +7,9 @@ in one buffer; words are found and hashed there without a Python object per word
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -160,6 +162,15 @@ def texts_of(column) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), bounds
 
 
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task: Python workers stay for tasks of other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Parts of batches with at most ``SLICE`` bytes of text (a single longer text comes alone)."""
     for batch in batches:
@@ -169,6 +180,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
             to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + SLICE, "right")) - 1)
             yield batch.slice(at, to - at), data, bounds[at : to + 1]
             at = to
+    give_back()
 
 
 def blocks(batches) -> Iterator[pa.RecordBatch]:
