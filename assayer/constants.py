@@ -129,3 +129,20 @@ REVIEW_QUESTIONS = {
     "active_acd_only": "Does this newer ACD entry have any current Singapore effect, or should it remain comparison evidence only?",
     "materially_changed_cross_reference": "Does this source difference affect Singapore screening, and which exact condition should the reviewer apply?",
 }
+
+# White space as Python's str.strip sees it; a value of nothing else is blank.
+WHITESPACE = r"\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+BLANK = rf"\A[{WHITESPACE}]*+\z"
+
+# Phrases that a generated explanation may not contain: fixed values that must match.
+BANNED_CLAIMS = r"(?i)\b(?:allow(?:ed)?|permit(?:ted)?|approv(?:ed|al)?|compliant|compliance|legal|safe|unsafe|safety)\b"
+BANNED_JARGON = (
+    r"(?i)\b(?:conditional wording|cited entry|corroborated identity|identifier evidence|"
+    r"structure automatically|professional verification requested|applicable regulatory provision|"
+    r"exception conditions associated with the entry)\b"
+)
+BANNED_JARGON = (
+    r"(?i)\b(?:conditional wording|cited entry|corroborated identity|identifier evidence|"
+    r"structure automatically|professional verification requested|applicable regulatory provision|"
+    r"exception conditions associated with the entry)\b"
+)

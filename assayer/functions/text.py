@@ -71,7 +71,7 @@ def grid_keys(df: DataFrame, column: str, out: str) -> DataFrame:
 
 def present(value: Column) -> Column:
     """Non-null and not blank."""
-    return F.coalesce(F.btrim(F.regexp_replace(value, _SPACES, " ")) != "", F.lit(False))
+    return F.coalesce(~value.rlike(K.BLANK), F.lit(False))
 
 
 def absent_apart(key: Column, *others: Column) -> Column:
@@ -216,7 +216,7 @@ def case_map(text: Column) -> Column:
 
 
 def trimmed(value: Column) -> Column:
-    return F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(value, rf"\A[{K.WHITESPACE}]++|[{K.WHITESPACE}]++\z", "")
 
 
 def split_cases(df: DataFrame, column: str, out: str = "cases") -> DataFrame:

@@ -56,12 +56,6 @@ TEXTS = {
         "Check the rule details against the submitted formulation.",
     ),
 }
-BANNED_CLAIMS = r"(?i)\b(?:allow(?:ed)?|permit(?:ted)?|approv(?:ed|al)?|compliant|compliance|legal|safe|unsafe|safety)\b"
-BANNED_JARGON = (
-    r"(?i)\b(?:conditional wording|cited entry|corroborated identity|identifier evidence|"
-    r"structure automatically|professional verification requested|applicable regulatory provision|"
-    r"exception conditions associated with the entry)\b"
-)
 NUMBER = r"[0-9]+(?:\.[0-9]+)?"
 MAX_TITLE_WORDS = 8
 
@@ -92,12 +86,16 @@ def explanation_kind(review_type: Column, reasons: Column) -> Column:
 
 
 def short_number(value: Column) -> Column:
-    """Six significant digits without trailing zeros, as ``%g`` prints common amounts."""
-    magnitude = F.when(value == 0, F.lit(0)).otherwise(F.floor(F.log10(F.abs(value))).cast("int"))
-    scale = F.pow(F.lit(10.0), F.lit(5) - magnitude)
-    rounded = F.round(value * scale) / scale
-    plain = F.regexp_replace(F.regexp_replace(F.format_string("%.10f", rounded), "0+$", ""), r"\.$", "")
-    return F.when(value == 0, "0").otherwise(plain)
+    """Six significant digits without trailing zeros, as ``%g`` prints them: with an exponent under 1e-4 and from 1e6."""
+    digits = F.format_string("%.5e", value)
+    exponent = F.regexp_extract(digits, "e([+-][0-9]+)$", 1).cast("int")
+    mantissa = F.regexp_replace(F.regexp_extract(digits, "^(-?[0-9.]+)e", 1), r"\.?0+$", "")
+    sign = F.when(exponent < 0, "-").otherwise("+")
+    scientific = F.concat(mantissa, F.lit("e"), sign, F.lpad(F.abs(exponent).cast("string"), 2, "0"))
+    # The rounded value, written out with as many places as six digits leave.
+    exact = digits.cast("decimal(38,12)")
+    plain = F.regexp_replace(F.regexp_replace(exact.cast("string"), "0+$", ""), r"\.$", "")
+    return F.when(value == 0, "0").when((exponent < -4) | (exponent > 5), scientific).otherwise(plain)
 
 
 def _amount(value: Column, unit: Column, stage: Column) -> Column:
@@ -176,8 +174,8 @@ def ground_explanations(proposed: DataFrame, payloads: DataFrame) -> DataFrame:
         .when(F.col("payload").isNull(), "unknown_item")
         .when(F.col("_n") > 1, "repeated_result")
         .when(words > MAX_TITLE_WORDS, "title_too_long")
-        .when(combined.rlike(BANNED_CLAIMS), "prohibited_conclusion")
-        .when(combined.rlike(BANNED_JARGON), "technical_jargon")
+        .when(combined.rlike(K.BANNED_CLAIMS), "prohibited_conclusion")
+        .when(combined.rlike(K.BANNED_JARGON), "technical_jargon")
         .when(~kept("submitted_fact"), "submitted_fact_changed")
         .when(~kept("regulatory_fact"), "regulatory_fact_changed")
         .when(F.size(F.array_except(tokens, grounded)) > 0, "unsupported_number")

@@ -90,7 +90,3 @@ def product_contexts(rules: DataFrame) -> DataFrame:
 def context_options(contexts: DataFrame) -> DataFrame:
     """Contexts numbered in case-insensitive order, as they are offered for selection."""
     return contexts.withColumn("option_index", F.row_number().over(Window.orderBy(F.lower("product_context"))) - 1)
-
-
-def non_blank(column: str):
-    return present(F.col(column))

@@ -211,11 +211,6 @@ def compare_snapshots(
     )
 
 
-def reference_order() -> list[Column]:
-    """References that start with a digit come first, then text order."""
-    return [~F.substr("reference_key", F.lit(1), F.lit(1)).rlike("[0-9]"), F.col("reference_key")]
-
-
 def field_differences(
     rules: DataFrame,
     cross_references: DataFrame,

@@ -274,8 +274,8 @@ def _closure(names: tuple[str, ...]) -> list[str]:
     return ordered
 
 
-def ctes(*names: str) -> str:
-    return ",\n".join(f"{name} AS ({ENTITIES[name][1].strip()})" for name in _closure(names))
+def ctes(*names: str, keyword: str = "AS") -> str:
+    return ",\n".join(f"{name} {keyword} ({ENTITIES[name][1].strip()})" for name in _closure(names))
 
 
 def oracle(names: str, body: str, recursive: bool = False) -> str:
@@ -283,7 +283,8 @@ def oracle(names: str, body: str, recursive: bool = False) -> str:
     head = "WITH RECURSIVE " if recursive else "WITH "
     body = body.strip()
     joiner = "\n" if body.upper().startswith("SELECT") else ",\n"
-    return head + ctes(*names.split()) + joiner + body
+    # DuckDB would expand a shared part again at each use.
+    return head + ctes(*names.split(), keyword="AS MATERIALIZED") + joiner + body
 
 
 _REGISTERED: dict[str, str] = {}
@@ -314,19 +315,8 @@ def stage(spark: SparkSession, sf_dir: str, name: str, build):
     return _STAGES[key]
 
 
-def forget_stages() -> None:
-    """Drop the shared stages, so that the next query builds its own (for cold timings)."""
-    _STAGES.clear()
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores when there are fewer input files than cores, as with the small test tables."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 def entity(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return stage(spark, sf_dir, name, lambda: materialize(spread(derive(spark, sf_dir, name)), name))
+    return stage(spark, sf_dir, name, lambda: materialize(derive(spark, sf_dir, name), name))
 
 
 def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

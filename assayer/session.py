@@ -40,14 +40,6 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def ensure_checkpoints(spark: SparkSession) -> None:
-    """Point reliable checkpoints at the shared folder unless the cluster already did."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or shared_folder(spark, "checkpoints")
-        )
-
-
 def materialize(df: DataFrame, purpose: str) -> DataFrame:
     """Write a stage to the shared folder and read it back.
 

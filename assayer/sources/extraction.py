@@ -98,25 +98,15 @@ def stitch_continuation_rows(rows: DataFrame, reference_index: int = 0) -> DataF
     )
 
 
-MAX_TEXT_ROWS = 1_000_000
+def texts_by_group(df: DataFrame, keys: list[str], aggregates: list[Column]) -> DataFrame:
+    """Aggregates that join the texts of a group into that group's own cell; ``fragments`` counts its rows."""
+    return df.groupBy(*keys).agg(F.count("*").alias("fragments"), *aggregates)
 
 
-def texts_by_group(df: DataFrame, keys: list[str], aggregates: list[Column], limit: int = MAX_TEXT_ROWS) -> DataFrame:
-    """Aggregates that join texts, for groups of checked size only; ``fragments`` counts every group.
-
-    A text cell cannot hold more than two gigabytes. A group with more rows than ``limit`` keeps its
-    row and its count, with null texts; its rows stay whole in the long input table.
-    """
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("fragments"))
-    usable = sizes.filter(F.col("fragments") <= limit).select(*keys)
-    texts = df.join(usable, keys, "left_semi").groupBy(*keys).agg(*aggregates)
-    return sizes.join(texts, keys, "left")
-
-
-def finalize_raw_record(stitched: DataFrame, columns: list[str], limit: int = MAX_TEXT_ROWS) -> DataFrame:
+def finalize_raw_record(stitched: DataFrame, columns: list[str]) -> DataFrame:
     """One row per record: cell texts joined per column, row texts joined, distinct pages and flags.
 
-    ``columns`` names the table's cells. See ``texts_by_group`` for records of extreme size.
+    ``columns`` names the table's cells.
     """
     row_text = F.array_join("cells", " | ")
     order = F.struct("source_page", "row_index")
@@ -134,7 +124,7 @@ def finalize_raw_record(stitched: DataFrame, columns: list[str], limit: int = MA
         F.array_sort(F.collect_set("source_page")).alias("source_pages"),
         F.array_sort(F.collect_set("flag")).alias("_flags"),
     ]
-    out = texts_by_group(stitched.filter("kind <> 'unassigned'"), keys, aggregates, limit)
+    out = texts_by_group(stitched.filter("kind <> 'unassigned'"), keys, aggregates)
     spans = F.when(F.size("source_pages") > 1, F.array(F.lit("entry_spans_multiple_pages"))).otherwise(
         F.array().cast("array<string>")
     )
@@ -215,7 +205,8 @@ def superscript_footnote_refs(chars: DataFrame, boxes: DataFrame) -> DataFrame:
 def _footnotes(body: Column, marker: str) -> Column:
     """Array of (number, text): each marker with the text up to the next one."""
     numbers = F.regexp_extract_all(body, F.lit(marker), F.lit(1))
-    pieces = F.slice(F.split(body, marker), 2, 1000000)
+    parts = F.split(body, marker)
+    pieces = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
     markers = F.regexp_extract_all(body, F.lit(marker), F.lit(0))
     return F.transform(
         F.arrays_zip(numbers.alias("n"), markers.alias("m"), pieces.alias("p")),

@@ -90,7 +90,3 @@ def version_consistency(versions: DataFrame, accepted: str | None = None) -> Dat
     if accepted is None:
         return counts
     return counts.filter(F.coalesce("dataset_version", F.lit("")) != accepted)
-
-
-def accepted_sections() -> tuple[str, ...]:
-    return K.ALL_SECTIONS

@@ -50,11 +50,11 @@ def test_words_between_two_markers_belong_to_both(spark):
     assert got == {7: ("ALPHA BETA GAMMA EDGE", ["ALPHA BETA", "GAMMA", "EDGE"]), 8: ("EDGE DELTA", ["EDGE DELTA"])}
 
 
-def test_a_record_of_extreme_size_keeps_its_row_and_count(spark):
-    rows = [("d", "s", 1, i, ["7" if i == 0 else "", f"t{i}"]) for i in range(9)] + [("d", "s", 2, 0, ["8", "x"])]
+def test_a_record_of_many_rows_keeps_its_text_whole(spark):
+    rows = [("d", "s", 1, i, ["7" if i == 0 else "", f"t{i}"]) for i in range(900)] + [("d", "s", 2, 0, ["8", "x"])]
     df = spark.createDataFrame(rows, "source_document string, section string, source_page bigint, row_index int, cells array<string>")
-    got = {r["reference_number"]: (r["fragments"], r["source_text"]) for r in E.finalize_raw_record(E.stitch_continuation_rows(df), ["r", "t"], limit=5).collect()}
-    assert got == {"7": (9, None), "8": (1, "8 | x")}
+    got = {r["reference_number"]: (r["fragments"], r["source_text"]) for r in E.finalize_raw_record(E.stitch_continuation_rows(df), ["r", "t"]).collect()}
+    assert got == {"7": (900, "\n".join(["7 | t0", *(f" | t{i}" for i in range(1, 900))])), "8": (1, "8 | x")}
 
 
 def test_top_k_is_limited_before_the_shuffle(spark):
@@ -145,23 +145,38 @@ FILES = {
     "big.csv": b"x" * (2 * 1024 * 1024 + 1),
     "long.csv": b"a,b\n" * 63000,
     "notes.docx": b"x",
+    "spaces.csv": "\t \xa0\u2003\n".encode(),
+    "open.csv": b'a,b\n"c,d\n',
+    "after.csv": b'a,b\n"c"d,e\n',
+    "lines.csv": b'a;b\r\n"x; ""y""\nz";2\r\n\r\n3;4 "q"',
+    "odd.tsv": b"\xff\xfea",
+    "rows.txt": b"a,b\n" * 501,
+    "columns.txt": b"a," * 50 + b"z\n",
+    "cell.txt": b"a," + b"z" * 8193,
+    "shape.json": b"[" + b",".join([b"[1]"] * 501) + b"]",
+    "text.json": b'{"rows": "x"}',
 }
 
 
 def test_upload_reading_and_limits(spark):
     df = spark.createDataFrame([(n, n, bytearray(c)) for n, c in FILES.items()], "file_id string, filename string, content binary")
     grid = {}
-    for r in U.upload_cells(df.filter("file_id in ('clean.csv', 'messy.txt', 'wide.tsv', 'rows.json')")).collect():
+    for r in U.upload_cells(df.filter("file_id in ('clean.csv', 'messy.txt', 'wide.tsv', 'rows.json', 'lines.csv')")).collect():
         grid.setdefault(r["file_id"], {})[(r["source_row"], r["source_column_index"])] = r["source_value"]
     assert grid["clean.csv"][(2, 1)] == "5%" and grid["messy.txt"][(1, 0)] == "RM Name"
     assert grid["messy.txt"][(3, 1)] == "Glycerin; pure" and grid["wide.tsv"][(2, 1)] == "2"
     assert grid["rows.json"] == {(1, 0): "a", (1, 1): "", (1, 2): "TRUE", (2, 0): "1", (2, 1): "2.5"}
+    assert grid["lines.csv"] == {(1, 0): "a", (1, 1): "b", (2, 0): 'x; "y"\nz', (2, 1): "2", (4, 0): "3", (4, 1): '4 "q"'}
     codes = {r["file_id"]: r["code"] for r in U.grid_bounds_check(df).collect()}
     assert codes == {
         "bad.json": "agent_csv_malformed", "empty.csv": "agent_csv_empty", "blank.csv": "agent_csv_empty",
         "latin.csv": "agent_csv_encoding_unsupported", "big.csv": "agent_csv_too_large", "long.csv": "agent_csv_too_large",
-        "notes.docx": "agent_csv_type_unsupported",
+        "notes.docx": "agent_csv_type_unsupported", "spaces.csv": "agent_csv_empty", "open.csv": "agent_csv_malformed",
+        "after.csv": "agent_csv_malformed", "odd.tsv": "agent_csv_encoding_unsupported", "rows.txt": "agent_csv_too_many_rows",
+        "columns.txt": "agent_csv_too_many_columns", "cell.txt": "agent_csv_cell_too_large", "shape.json": "agent_csv_shape_invalid",
+        "text.json": "agent_csv_malformed",
     }
+    assert U.upload_cells(df.filter("file_id = 'clean.csv'"), U.Limits(file_bytes=10)).count() == 0
 
 
 def test_messy_file_leaves_the_known_open_points(spark):
