@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from assayer import constants as K
 from assayer.functions.labels import STAGE_LABELS
+from assayer.functions.text import absent_apart, text_key
+from assayer.operators.lookup import METHODS, substance_lookup
 
 # Fixed explanation texts: (title, summary, what to check). {service} is the name shown to users.
 TEXTS = {
@@ -106,8 +108,32 @@ def _amount(value: Column, unit: Column, stage: Column) -> Column:
     return F.concat_ws(" · ", F.btrim(shown), F.element_at(labels, stage))
 
 
-def submitted_and_rule_facts(results: DataFrame) -> DataFrame:
-    """Facts an explanation may repeat: what was submitted, and what the first rule states."""
+def source_numbers(substances: DataFrame) -> DataFrame:
+    """(key, numbers): registry numbers of the first active substance of exactly that name that has any.
+
+    Controlling substances come before advisory ones, then the smallest id.
+    """
+    named = substance_lookup(substances).where(F.col("method") == METHODS["name"])
+    numbered = substances.where(F.size("cas_numbers") > 0).select("substance_id", F.array_join("cas_numbers", ", ").alias("numbers"))
+    return (
+        named.join(numbered, "substance_id")
+        .groupBy("key")
+        .agg(F.min_by("numbers", F.struct("advisory", "substance_id")).alias("numbers"))
+    )
+
+
+def submitted_and_rule_facts(results: DataFrame, substances: DataFrame | None = None) -> DataFrame:
+    """Facts an explanation may repeat: what was submitted, and what the first rule states.
+
+    Of an identity review the source's registry numbers of the submitted name, if ``substances`` are given.
+    """
+    if substances is None:
+        results = results.withColumn("numbers", F.lit(None).cast("string"))
+    else:
+        key = text_key(F.col("name"))
+        sources = source_numbers(substances).withColumnRenamed("key", "source_key")
+        results = results.withColumn("source_key", absent_apart(key, F.col("formulation_id"), F.col("row_number")))
+        results = results.join(sources, "source_key", "left").drop("source_key")
     identity = F.col("review_type") == "identity_review"
     who = F.concat_ws(
         " · ",
@@ -126,12 +152,17 @@ def submitted_and_rule_facts(results: DataFrame) -> DataFrame:
         _amount(useful["limit_value"], useful["limit_unit"], useful["limit_stage"]),
     )
     rule = F.when(
-        ~F.coalesce(identity, F.lit(False)),
+        F.coalesce(identity, F.lit(False)),
+        F.when(
+            (F.coalesce("name", F.lit("")) != "") & F.col("numbers").isNotNull(),
+            F.concat(F.lit("Source CAS for "), "name", F.lit(": "), "numbers"),
+        ),
+    ).otherwise(
         F.when(useful["limit_value"].isNotNull(), limit).when(
             useful["product_context"].isNotNull(), F.concat(F.lit("Rule context: "), useful["product_context"])
         ),
     )
-    return results.withColumn("submitted_fact", submitted).withColumn("regulatory_fact", rule)
+    return results.withColumn("submitted_fact", submitted).withColumn("regulatory_fact", rule).drop("numbers")
 
 
 def fallback_explanations(results: DataFrame, service: str = "The service") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer import constants as K
-from assayer.functions.text import derived_name, identifier_checksum, present, text_key
+from assayer.functions.text import derived_name, identifier_checksum, text_key
 
 METHODS = {"name": "exact_name", "derived": "derived_source_name_except_clause", "cas": "exact_cas"}
 

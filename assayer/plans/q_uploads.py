@@ -9,6 +9,7 @@ from assayer.operators import grid as G
 from assayer.operators import lookup
 from assayer.operators import sessions as T
 from assayer.plans.adapters import ENTITIES, entity, oracle, stage, table
+from assayer.plans.oracle_parts import fold
 from assayer.plans.q_screening import results, rules, snapshot
 from assayer.session import materialize, shared_folder
 from assayer.streaming import jobs as W
@@ -461,22 +462,24 @@ _G = "regexp_replace(regexp_replace(printf('%.5f', {0}), '0+$', ''), '\\.$', '')
 @register(
     "submitted_and_rule_facts",
     oracle(
-        "o_results",
-        f"""f AS (SELECT formulation_id, row_number, min_by(struct_pack(v := limit_value, u := limit_unit, s := limit_stage, c := limit_comparator, x := product_context), rule_id) AS r
+        "o_results o_lookup",
+        f"""q AS (SELECT l.key AS nk, min_by(replace(s.cas_list, ',', ', '), struct_pack(a := l.advisory, i := l.substance_id)) AS numbers
+                 FROM o_lookup l JOIN substances s ON s.substance_id = l.substance_id WHERE l.method = 'exact_name' AND coalesce(s.cas_list, '') <> '' GROUP BY l.key),
+            f AS (SELECT formulation_id, row_number, min_by(struct_pack(v := limit_value, u := limit_unit, s := limit_stage, c := limit_comparator, x := product_context), rule_id) AS r
                  FROM o_evaluations WHERE branch <> 'inactive' AND (limit_value IS NOT NULL OR coalesce(product_context, '') <> '') GROUP BY ALL),
-            i AS (SELECT o.*, n.preparation_stage AS stage, r FROM o_results o JOIN ingredients n ON n.formulation_id = o.formulation_id AND n.row_number = o.row_number
+            i AS (SELECT o.*, n.preparation_stage AS stage, r, q.numbers FROM o_results o LEFT JOIN q ON q.nk = {fold('o.name')} JOIN ingredients n ON n.formulation_id = o.formulation_id AND n.row_number = o.row_number
                   LEFT JOIN f ON f.formulation_id = o.formulation_id AND f.row_number = o.row_number WHERE o.review_required)
             SELECT formulation_id, row_number,
               CASE WHEN review_type = 'identity_review' THEN concat_ws(' · ', 'Name: ' || name, 'CAS: ' || cas_number)
                    WHEN value IS NOT NULL THEN concat_ws(' · ', {_G.format('value')} || CASE WHEN unit = 'percent' THEN '%' ELSE ' ' || unit END,
                      CASE stage WHEN 'finished_product' THEN 'Finished product' WHEN 'after_mixing' THEN 'After mixing for use' END) END AS submitted_fact,
-              CASE WHEN review_type = 'identity_review' THEN NULL WHEN r.v IS NOT NULL THEN CASE WHEN r.c = 'less_than_or_equal' THEN 'Maximum ' ELSE 'Rule limit ' END
+              CASE WHEN review_type = 'identity_review' THEN 'Source CAS for ' || nullif(name, '') || ': ' || numbers WHEN r.v IS NOT NULL THEN CASE WHEN r.c = 'less_than_or_equal' THEN 'Maximum ' ELSE 'Rule limit ' END
                      || concat_ws(' · ', {_G.format('r.v')} || CASE WHEN r.u = 'percent' THEN '%' ELSE ' ' || r.u END, CASE r.s WHEN 'finished_product' THEN 'Finished product' WHEN 'after_mixing' THEN 'After mixing for use' END)
                    WHEN r.x IS NOT NULL THEN 'Rule context: ' || r.x END AS regulatory_fact FROM i""",
     ),
 )
 def _(spark, d):
-    return X.submitted_and_rule_facts(results(spark, d).filter("review_required")).select("formulation_id", "row_number", "submitted_fact", "regulatory_fact")
+    return X.submitted_and_rule_facts(results(spark, d).filter("review_required"), entity(spark, d, "substances")).select("formulation_id", "row_number", "submitted_fact", "regulatory_fact")
 
 
 @register(

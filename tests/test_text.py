@@ -113,3 +113,23 @@ def test_derived_names(spark, name, expected):
 def test_cell_amounts(spark, cell, expected):
     row = X.parse_cell_amounts(spark.createDataFrame([(cell,)], "source_value string")).first()
     assert (row["amount"], row["unit"], row["amount_state"]) == expected
+
+
+def test_six_significant_digits(spark):
+    from assayer.operators.explain import short_number
+
+    values = [0.0, 5.0, 0.5, 0.0001, 0.00001, 1e-12, 1234567.0, 999999.5, 123456.0, 2.5, 0.1 + 0.2, 20000000.0, 12.3456789]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [r[0] for r in df.select(short_number(F.col("v"))).collect()] == [f"{v:g}" for v in values]
+
+
+def test_blank_is_what_python_strips(spark):
+    import sys
+
+    from assayer.functions.text import present, trimmed
+
+    spaces = [chr(c) for c in range(sys.maxunicode + 1) if chr(c).isspace()]
+    df = spark.createDataFrame([(c, f"{c}a b{c}") for c in spaces] + [("​", "​x")], "c string, t string")
+    rows = df.select(present(F.col("c")), trimmed(F.col("t"))).collect()
+    assert [r[0] for r in rows] == [False] * len(spaces) + [True]
+    assert [r[1] for r in rows] == ["a b"] * len(spaces) + ["​x"]
