@@ -204,6 +204,14 @@ def evaluated_requests(
     )
 
 
+def admitted(ingredients: DataFrame, formulations: DataFrame, contexts: DataFrame) -> DataFrame:
+    """Rows of the formulations that validation accepts; one finding rejects a whole formulation."""
+    rejected = validate_formulations(formulations, ingredients).select("formulation_id")
+    if "product_context" in formulations.columns:
+        rejected = rejected.unionByName(validate_contexts(formulations, contexts).select("formulation_id"))
+    return ingredients.join(rejected.distinct(), "formulation_id", "left_anti")
+
+
 def screen_formulations(
     ingredients: DataFrame,
     rules: DataFrame,
@@ -211,7 +219,13 @@ def screen_formulations(
     catalogue: DataFrame | None,
     catalogue_error: str | None = None,
     snapshot: dict[str, DataFrame] | None = None,
+    formulations: DataFrame | None = None,
 ) -> DataFrame:
-    """Per-row results of all submitted formulations."""
+    """Per-row results of all submitted formulations.
+
+    With ``formulations`` given, those that ``validate_formulations`` or ``validate_contexts`` reject are not screened.
+    """
     views = snapshot or prepared_snapshot(rules, substances)
+    if formulations is not None:
+        ingredients = admitted(ingredients, formulations, views["contexts"])
     return screen.screen_ingredients(ingredients, evaluated_requests(ingredients, views, catalogue, catalogue_error))

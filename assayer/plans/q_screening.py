@@ -473,17 +473,22 @@ def formulations(spark, d):
     )
 
 
-@register(
-    "validate_formulations",
-    oracle(
-        "ingredients",
-        f"""SELECT formulation_id, row_number, 'blank_name' AS code FROM ingredients WHERE coalesce(trim(name), '') = ''
+_INVALID = f"""SELECT formulation_id, row_number, 'blank_name' AS code FROM ingredients WHERE coalesce(trim(name), '') = ''
             UNION ALL SELECT formulation_id, row_number, 'invalid_cas_number' FROM ingredients
               WHERE cas_number IS NOT NULL AND NOT (regexp_full_match(cas_number, '[0-9]{{2,7}}-[0-9]{{2}}-[0-9]') AND {cas_ok('cas_number')})
             UNION ALL SELECT formulation_id, row_number, 'percent_above_100' FROM ingredients WHERE unit = 'percent' AND value > 100
             UNION ALL SELECT formulation_id, row_number, 'unknown_basis' FROM ingredients WHERE value IS NOT NULL AND basis NOT IN ('NH3', 'free base', 'zinc', 'sulphate', 'hydrochloride', 'tetrahydrochloride')
             UNION ALL SELECT o_orderkey, NULL, 'blank_formulation_name' FROM orders WHERE o_orderstatus = 'P'
-            UNION ALL SELECT o_orderkey, NULL, 'no_ingredients' FROM orders WHERE o_orderkey NOT IN (SELECT formulation_id FROM ingredients)""",
+            UNION ALL SELECT o_orderkey, NULL, 'no_ingredients' FROM orders WHERE o_orderkey NOT IN (SELECT formulation_id FROM ingredients)"""
+_UNKNOWN_CONTEXT = """SELECT o_orderkey AS formulation_id, o_orderpriority AS product_context FROM orders
+           WHERE o_orderpriority <> '4-NOT SPECIFIED' AND lower(o_orderpriority) NOT IN (SELECT context_key FROM o_contexts)"""
+
+
+@register(
+    "validate_formulations",
+    oracle(
+        "ingredients",
+        _INVALID,
     ),
 )
 def _(spark, d):
@@ -494,8 +499,7 @@ def _(spark, d):
     "validate_contexts",
     oracle(
         "o_contexts",
-        """SELECT o_orderkey AS formulation_id, o_orderpriority AS product_context FROM orders
-           WHERE o_orderpriority <> '4-NOT SPECIFIED' AND lower(o_orderpriority) NOT IN (SELECT context_key FROM o_contexts)""",
+        _UNKNOWN_CONTEXT,
     ),
 )
 def _(spark, d):
@@ -550,17 +554,19 @@ def _(spark, d):
 def screened(spark, d):
     """The whole job without shared stages below the entities."""
     return formulation.screen_formulations(
-        ingredients(spark, d), rules(spark, d), substances(spark, d), entity(spark, d, "catalogue")
+        ingredients(spark, d), rules(spark, d), substances(spark, d), entity(spark, d, "catalogue"), formulations=formulations(spark, d)
     )
 
 
 @register(
     "screen_formulations",
     oracle(
-        "o_results",
-        """SELECT product_context, status, primary_finding, review_type, source_type AS identity_source_type,
+        "o_results ingredients o_contexts",
+        f"""invalid AS ({_INVALID}), unknown AS ({_UNKNOWN_CONTEXT})
+           SELECT product_context, status, primary_finding, review_type, source_type AS identity_source_type,
                   array_to_string(match_methods, '|') AS match_methods, count(*) AS ingredient_rows, count(DISTINCT formulation_id) AS formulations
-           FROM o_results GROUP BY ALL""",
+           FROM o_results
+           WHERE formulation_id NOT IN (SELECT formulation_id FROM invalid) AND formulation_id NOT IN (SELECT formulation_id FROM unknown) GROUP BY ALL""",
     ),
 )
 def _(spark, d):
