@@ -50,12 +50,18 @@ def _pieces(entries: DataFrame, keys: DataFrame) -> DataFrame:
     return _with_lengths(entries, keys).withColumn("query_key", F.explode(pieces)).drop("_lengths")
 
 
-SALTS = 16
+#: Hits of one query that one task may order; an entry is a hit of a query once at most per key.
+HITS_PER_TASK = 250_000
 
 
-def _salted(keys: DataFrame) -> DataFrame:
+def _salts(entries: DataFrame) -> int:
+    """Parts into which the hits of a query are dealt, from the number of entries that could all be hits."""
+    return max(1, -(-entries.count() // HITS_PER_TASK))
+
+
+def _salted(keys: DataFrame, salts: int) -> DataFrame:
     """Query keys once per salt, so that a query with very many hits is spread over tasks."""
-    return keys.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return keys.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
 
 def _top(hits: DataFrame, order: list[str], k: int) -> DataFrame:
@@ -75,11 +81,12 @@ def ranked_hits(keys: DataFrame, entries: DataFrame, order: list[str], k: int) -
     """
     keys = materialize(keys, "search-queries")
     kept = [c for c in entries.columns if c != "key"]
-    salt = F.pmod(F.xxhash64(kept[0]), F.lit(SALTS)).cast("int")
+    salts = _salts(entries)
+    salt = F.pmod(F.xxhash64(kept[0]), F.lit(salts)).cast("int")
     entries = entries.withColumn("_salt", salt)
 
     def best(pieces: DataFrame, queries: DataFrame, rank) -> DataFrame:
-        hits = pieces.join(_salted(queries), ["query_key", "_salt"]).withColumn("rank", rank)
+        hits = pieces.join(_salted(queries, salts), ["query_key", "_salt"]).withColumn("rank", rank)
         hits = hits.groupBy("query_key", "_salt", *kept).agg(F.min("rank").alias("rank"))
         return _top(hits, ["rank", *order], k)
 
@@ -96,7 +103,10 @@ def prefix_search(queries: DataFrame, catalogue: DataFrame) -> DataFrame:
     """All catalogue rows whose key starts with the query key."""
     keys = materialize(search_queries(queries, "catalogue"), "search-queries")
     entries = catalogue.select("ingredient_id", F.col("search_name").alias("key"))
-    return _prefixes(entries, keys).join(keys, "query_key").select("query_key", F.col("key").alias("search_name"), "ingredient_id")
+    salts = _salts(entries)
+    entries = entries.withColumn("_salt", F.pmod(F.xxhash64("ingredient_id"), F.lit(salts)).cast("int"))
+    hits = _prefixes(entries, keys).join(_salted(keys, salts), ["query_key", "_salt"])
+    return hits.select("query_key", F.col("key").alias("search_name"), "ingredient_id")
 
 
 def ranked_catalogue_search(queries: DataFrame, catalogue: DataFrame, k: int = 20) -> DataFrame:
