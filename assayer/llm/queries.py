@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import brown, counts, decontaminate, html, packing, quality, sanitise, setsketch, substrings, toxicity
+from assayer.llm import brown, counts, decontaminate, html, oracles, packing, quality, sanitise, setsketch, substrings, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,4 +82,8 @@ QUERIES = {
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op6_quality_rules": oracles.QUALITY,
+    "op9_near_duplicates": oracles.NEAR,
+    "op10_substring_dedup": oracles.REPEATS,
+}

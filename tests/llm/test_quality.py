@@ -2,7 +2,6 @@ import re
 from collections import Counter
 
 from assayer.llm import quality
-from assayer.llm.queries import QUERIES, ORACLES  # noqa: F401
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
