@@ -18,7 +18,7 @@ import pyarrow as pa
 
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 #: Bytes hashed at once; bounds the temporary arrays, not the texts.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 #: Bytes of text handed to an operator at once, unless a single text is longer.
 SLICE = 2 << 20
 
@@ -115,7 +115,7 @@ def words(data: np.ndarray, bounds: np.ndarray, lower: bool = False, breaks: byt
         after[-1:], after[:-1] = False, inside[1:]
         after[edges[edges > 0] - 1] = False
         stop = np.flatnonzero(inside & ~after) + 1
-        power, inverse = _powers(1 << max(20, (len(part) + 1).bit_length()))
+        power, inverse = _powers(1 << max(19, (len(part) + 1).bit_length()))
         total = np.zeros(len(part) + 1, np.uint64)
         np.cumsum(value[part] * power[: len(part)], out=total[1:])
         hashes.append(mix((total[stop] - total[begin]) * inverse[begin] + (stop - begin).astype(np.uint64)))
