@@ -5,12 +5,17 @@ training texts under the same masks at every word; equal hashes are hits. A hit
 and the words are then compared one by one around it: matches count +1 and substitutions ``-PENALTY``, and the
 best-scoring stretch is the overlap. So an item is found with some of its words replaced.
 
+The masks miss no overlap that the comparison accepts. A best-scoring stretch has no beginning of negative score, as
+it would score more without it. So up to its ``WEIGHT``-th equal word it is one of the few patterns that never have
+more than 1 / ``PENALTY`` substitutions per equal word before any place; these patterns are the masks.
+
 The hashes of the test items are sent to the tasks in blocks of at most ``block_words`` words of test text; a larger
 benchmark is joined block by block, each time with all texts. Texts are scanned where they lie, nothing is shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,8 +25,8 @@ from pyspark.sql import functions as F
 
 from assayer.llm import tokens
 
-#: Places that count (1) and places that may differ (0).
-MASKS = ("1111011101", "1101101110111", "11101001101011", "11111111")
+#: Equal words of a seed. Items that may be accepted with fewer are searched by that many.
+WEIGHT = 5
 #: An overlap has at least this many equal words, or all but a fifth of a shorter item,
 MIN_EQUAL = 10
 #: and at least this share of equal words.
@@ -30,6 +35,9 @@ PENALTY = 2
 #: Items of fewer words are no passage; they are not searched.
 MIN_ITEM = 5
 BLOCK_WORDS = 500_000
+#: Hits looked at together, and words of them compared at once; they bound memory, not results.
+HITS = 1 << 18
+CELLS = 1 << 20
 SCHEMA = "item_id long, start int, end int, item_start int, n_equal int, n_item_words int"
 
 _U = np.uint64
@@ -49,8 +57,23 @@ class Index:
     seeds: list[tuple[int, ...]]
 
 
-def _mask(bits: str) -> tuple[int, ...]:
-    return tuple(i for i, b in enumerate(bits) if b == "1")
+def seed_masks(weight: int) -> list[tuple[int, ...]]:
+    """The places of the first ``weight`` equal words of any stretch without a beginning of negative score."""
+    done, grow = [], [((), 0, 0)]
+    while grow:
+        places, at, total = grow.pop()
+        if len(places) == weight:
+            done.append(places)
+            continue
+        grow.append(((*places, at), at + 1, total + 1))
+        if total >= PENALTY:
+            grow.append((places, at + 1, total - PENALTY))
+    return sorted(done)
+
+
+def needed(n_words: np.ndarray) -> np.ndarray:
+    """Equal words that an overlap with an item of ``n_words`` has at least."""
+    return np.minimum(MIN_EQUAL, -(-4 * n_words // 5))
 
 
 def seed_hashes(hashes: np.ndarray, seed: tuple[int, ...]) -> np.ndarray:
@@ -66,39 +89,42 @@ def seed_hashes(hashes: np.ndarray, seed: tuple[int, ...]) -> np.ndarray:
 
 
 def index(ids: list[int], texts: list[str]) -> Index | None:
-    """The seeds of some items. An item too short for every mask is searched by all of its words."""
+    """The seeds of some items."""
     raw = [t.encode() for t in texts]
     found = tokens.words(
         np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(r) for r in raw])].astype(np.int64), lower=True
     )
-    masks = [_mask(m) for m in MASKS]
-    shortest = min(m[-1] + 1 for m in masks)
     counts = found.counts
-    seeds = masks + [tuple(range(n)) for n in sorted(set(counts[(counts >= MIN_ITEM) & (counts < shortest)].tolist()))]
-    hashes, places, owner, room = [], [], found.owner(), found.room()
-    for seed in seeds:
-        own = seed_hashes(found.hash, seed)
-        fits = room[: len(own)] > seed[-1]
-        fits &= counts[owner[: len(own)]] >= MIN_ITEM
-        if seed not in masks:
-            fits &= counts[owner[: len(own)]] == len(seed)
-        at = np.flatnonzero(fits)
-        hashes.append(own[at])
-        places.append(at)
-    hashes, places = np.concatenate(hashes), np.concatenate(places)
-    if not len(hashes):
+    weights = np.where(counts >= MIN_ITEM, np.minimum(WEIGHT, needed(counts)), 0)
+    seeds, hashes, places, owner, room = [], [], [], found.owner(), found.room()
+    for weight in np.unique(weights[weights > 0]).tolist():
+        for seed in seed_masks(weight):
+            own = seed_hashes(found.hash, seed)
+            at = np.flatnonzero((room[: len(own)] > seed[-1]) & (weights[owner[: len(own)]] == weight))
+            if len(at):
+                seeds.append(seed)
+                hashes.append(own[at])
+                places.append(at)
+    if not seeds:
         return None
+    hashes, places = np.concatenate(hashes), np.concatenate(places)
     order = np.argsort(hashes, kind="stable")
     hashes, places = hashes[order], places[order]
-    coarse = np.zeros(1 << 22, bool)
-    coarse[(hashes & _U((1 << 22) - 1)).astype(np.int64)] = True
+    coarse = np.zeros(max(1 << 22, 1 << (4 * len(hashes)).bit_length()), bool)
+    coarse[(hashes & _U(coarse.size - 1)).astype(np.int64)] = True
     item = owner[places]
-    return Index(coarse, hashes, item, places - found.first[item], found.hash, found.first, np.array(ids, np.int64), seeds)
+    return Index(
+        coarse, hashes, item.astype(np.int32), (places - found.first[item]).astype(np.int32), found.hash, found.first,
+        np.array(ids, np.int64), seeds,
+    )
+
 
+def _hits(found: tokens.Words, ix: Index) -> Iterator[np.ndarray]:
+    """(text, item, diagonal) of the hits; the diagonal is the place in the text less that in the item.
 
-def _hits(found: tokens.Words, ix: Index) -> np.ndarray:
-    """(text, item, diagonal) of all hits, each once; the diagonal is the place in the text less that in the item."""
-    room, out = found.room(), []
+    They come in parts of about ``HITS`` at most, each once in its part.
+    """
+    room = found.room()
     for seed in ix.seeds:
         own = seed_hashes(found.hash, seed)
         at = np.flatnonzero(ix.filter[(own & _U(ix.filter.size - 1)).astype(np.int64)])
@@ -106,35 +132,56 @@ def _hits(found: tokens.Words, ix: Index) -> np.ndarray:
         left, right = np.searchsorted(ix.hash, own[at], "left"), np.searchsorted(ix.hash, own[at], "right")
         count = right - left
         at, left, count = at[count > 0], left[count > 0], count[count > 0]
-        entry = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(left, count)
-        at = np.repeat(at, count)
-        text = np.searchsorted(found.first, at, "right") - 1
-        out.append(np.stack([text, ix.item[entry], at - found.first[text] - ix.place[entry]], axis=1))
-    return np.unique(np.concatenate(out), axis=0)
-
-
-def _best_stretch(equal: np.ndarray) -> tuple[int, int, int]:
-    """Begin, end and equal words of the best-scoring stretch; of equal scores the first."""
-    total = np.r_[0, np.cumsum(np.where(equal, 1, -PENALTY))]
-    end = int(np.argmax(total - np.minimum.accumulate(total)))
-    begin = int(np.argmin(total[: end + 1]))
-    return begin, end, int(equal[begin:end].sum())
+        before = np.cumsum(count) - count
+        cuts = np.flatnonzero(np.diff(before // HITS)) + 1
+        for a, l, c in zip(np.split(at, cuts), np.split(left, cuts), np.split(count, cuts), strict=True):
+            if len(a):
+                entry = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c) + np.repeat(l, c)
+                a = np.repeat(a, c)
+                text = np.searchsorted(found.first, a, "right") - 1
+                yield np.unique(np.stack([text, ix.item[entry], a - found.first[text] - ix.place[entry]], axis=1), axis=0)
+
+
+def _best_stretches(equal: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin, end and equal words of the best-scoring stretch of each row; of equal scores the first."""
+    total = np.zeros((len(equal), equal.shape[1] + 1), np.int32)
+    np.cumsum(np.where(equal, 1, -PENALTY), axis=1, out=total[:, 1:])
+    low = np.minimum.accumulate(total, axis=1)
+    end = np.argmax(total - low, axis=1)
+    row = np.arange(len(equal))
+    begin = np.argmax(total == low[row, end][:, None], axis=1)
+    score = total[row, end] - total[row, begin]
+    return begin, end, (score + PENALTY * (end - begin)) // (1 + PENALTY)
 
 
 def _overlaps(found: tokens.Words, ix: Index) -> dict[tuple[int, int], tuple[int, int, int, int, int]]:
     """Per (text, item) the overlap with most equal words, then the first."""
     best: dict[tuple[int, int], tuple[int, int, int, int, int]] = {}
-    for text, item, diagonal in _hits(found, ix).tolist():
-        words = ix.words[ix.first[item] : ix.first[item + 1]]
-        own = found.hash[found.first[text] : found.first[text + 1]]
-        begin, end = max(0, -diagonal), min(len(words), len(own) - diagonal)
-        b, e, equal = _best_stretch(words[begin:end] == own[begin + diagonal : end + diagonal])
-        if equal < min(MIN_EQUAL, -(-4 * len(words) // 5)) or equal < MIN_SHARE * (e - b):
-            continue
-        start = begin + b + diagonal
-        value = (equal, -start, start + e - b, begin + b, len(words))
-        if value > best.get((text, item), (-1,)):
-            best[text, item] = value
+    for hits in _hits(found, ix):
+        text, item, diagonal = hits.T
+        size = np.diff(ix.first)[item]
+        begin, stop = np.maximum(0, -diagonal), np.minimum(size, found.counts[text] - diagonal)
+        order = np.argsort(stop - begin, kind="stable")
+        # Rows of about one length are compared together, at most CELLS words at once.
+        at = 0
+        while at < len(order):
+            length = int((stop - begin)[order[at]])
+            to = at + max(1, CELLS // max(2 * length, 16))
+            to = min(to, int(np.searchsorted((stop - begin)[order], max(2 * length, 16), "right")))
+            rows = order[at:to]
+            at = to
+            width = int((stop - begin)[rows[-1]])
+            place = begin[rows][:, None] + np.arange(width)
+            inside = place < stop[rows][:, None]
+            place = np.where(inside, place, begin[rows][:, None])
+            equal = ix.words[ix.first[item[rows]][:, None] + place] == found.hash[(found.first[text[rows]] + diagonal[rows])[:, None] + place]
+            b, e, n = _best_stretches(equal & inside)
+            good = np.flatnonzero((n >= needed(size[rows])) & (n >= MIN_SHARE * (e - b)))
+            item_start = begin[rows] + b
+            start = item_start + diagonal[rows]
+            values = np.stack([n, -start, start + e - b, item_start, size[rows]], axis=1)[good]
+            for t, i, value in zip(text[rows[good]].tolist(), item[rows[good]].tolist(), values.tolist(), strict=True):
+                best[t, i] = max(tuple(value), best.get((t, i), (-1,)))
     return best
 
 

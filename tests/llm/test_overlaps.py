@@ -162,6 +162,43 @@ def test_substituted_items_are_found(spark, benchmark, block):
     assert len({(n, item) for n, _, item in rows} & got) >= 190
 
 
+def accepted(item, text):
+    """Whether any alignment of the words has an overlap that counts, by brute force over all alignments."""
+    for diagonal in range(1 - len(item), len(text)):
+        score = top = equal = 0
+        best = (0, 0)
+        for i in range(max(0, -diagonal), min(len(item), len(text) - diagonal)):
+            same = item[i] == text[i + diagonal]
+            score += 1 if same else -2
+            if score < 0:
+                score = equal = length = 0
+                continue
+            equal, length = equal + same, length + 1
+            if score > top:
+                top, best = score, (equal, length)
+        if best[0] >= min(10, -(-4 * len(item) // 5)) and best[0] >= 0.7 * best[1]:
+            return True
+    return False
+
+
+def test_every_accepted_overlap_is_found(spark):
+    rng = random.Random(5)
+    items = [[f"i{n}w{j}" for j in range(size)] for n, size in enumerate([5, 6, 7, 9, 12, 15, 15, 15, 20, 30, 60] * 2)]
+    texts = []
+    for n, item in enumerate(items):
+        for period in (3, 4, 5):
+            for phase in range(period):
+                texts.append((n, [f"z{j}" if j % period == phase else w for j, w in enumerate(item)]))
+        for share in (0.1, 0.2, 0.3) * 15:
+            texts.append((n, [f"z{j}" if rng.random() < share else w for j, w in enumerate(item)]))
+    texts = [(n, ["y"] * rng.randint(0, 3) + words + ["x"]) for n, words in texts]
+    want = {(doc, n) for doc, (n, words) in enumerate(texts) if accepted(items[n], words)}
+    assert len(want) > len(texts) / 2
+    docs = spark.createDataFrame([(doc, " ".join(words)) for doc, (_, words) in enumerate(texts)], SCHEMA)
+    table = spark.createDataFrame([(n, " ".join(item)) for n, item in enumerate(items)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.overlaps(docs, table).collect()} == want
+
+
 def test_odd_rows_are_clean(spark, benchmark, odd, crowded, nothing):
     assert decontaminate.overlaps(odd, benchmark).count() == 0
     assert decontaminate.overlaps(nothing, benchmark).count() == 0
