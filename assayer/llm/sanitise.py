@@ -1,10 +1,11 @@
 """Personal data: fixed patterns, and terms that reveal what the patterns protect.
 
-Base spans come from four patterns with checks. Beyond them, a term that stands near a protected entity can give the entity
+Base spans come from four patterns with checks. Beyond them, a term in a document of a protected entity can give the entity
 away. How much is estimated from the corpus: with document frequencies, PMI(entity; term) is the information that the
 term gives about the entity, IC(entity) all there is to know, and their ratio the disclosure, 1 if the term occurs with
-the entity alone. Terms over ``remove`` are removed, terms over ``generalise`` replaced by what they are. A pair counts
-from ``support`` documents on, as one document is no evidence of an association.
+the entity alone. Terms over ``remove`` are removed, terms over ``generalise`` replaced by what they are, at every place
+in every document that holds the entity. A pair counts from ``support`` documents on, as one document is no evidence
+of an association; so only the documents of entities that recur are taken apart into terms.
 
 Columns and SQL functions only. Positions are code points: what lies between matches is split off with the same
 pattern, and lengths are added up, so a text is scanned a fixed number of times. The patterns equal those of the
@@ -15,7 +16,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.llm.rows import fresh, row_key
@@ -42,9 +43,8 @@ SPAN = "array<struct<kind: string, start: int, end: int>>"
 
 @dataclass(frozen=True)
 class Settings:
-    """reach: characters on either side of an entity; thresholds of the disclosure; support: least documents."""
+    """Thresholds of the disclosure; support: least documents."""
 
-    reach: int = 120
     support: int = 2
     generalise: float = 0.7
     remove: float = 0.9
@@ -118,53 +118,61 @@ def base_spans(text: Column) -> Column:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """key, doc_id, text and base spans of each row; equal rows have equal keys."""
+    """key, doc_id, text, base spans and entities (kind:value, each once) of each row; equal rows have equal keys."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select(row_key().alias("key"), "doc_id", text.alias("text")).withColumn("base", base_spans(F.col("text")))
-
-
-def mentions(found: DataFrame, settings: Settings) -> DataFrame:
-    """(key, entity, term, start, end) of the terms near each entity, whole terms outside all base spans only."""
-    reach = settings.reach
-    one = found.where(F.size("base") > 0).select("key", "text", "base", F.explode("base").alias("e"))
-    value = F.substring(F.col("text"), F.col("e.start") + 1, F.col("e.end") - F.col("e.start"))
-    name = F.when(F.col("e.kind").isin("card", "phone"), _digits(value)).otherwise(F.lower(value))
-    begin = F.greatest(F.lit(0), F.col("e.start") - reach)
-    one = one.select(
-        "key",
-        "base",
-        F.concat(F.col("e.kind"), F.lit(":"), name).alias("entity"),
-        F.length("text").alias("length"),
-        F.explode(
-            F.array(
-                F.struct(begin.alias("at"), F.substring(F.col("text"), begin + 1, F.col("e.start") - begin).alias("part")),
-                F.struct(F.col("e.end").alias("at"), F.substring(F.col("text"), F.col("e.end") + 1, F.lit(reach)).alias("part")),
-            )
-        ).alias("side"),
-    ).select("key", "base", "entity", "length", "side.at", "side.part")
-    stop = F.col("at") + F.length("part")
-    one = one.withColumn("base", F.filter("base", lambda b: (b["start"] < stop) & (b["end"] > F.col("at"))))
-    terms = one.withColumn("t", F.explode(_spans(F.col("part"), TERM, "term", lambda m: F.lit(True))))
-    start, end = F.col("at") + F.col("t.start"), F.col("at") + F.col("t.end")
-    cut = ((F.col("t.start") == 0) & (F.col("at") > 0)) | ((F.col("t.end") == F.length("part")) & (end < F.col("length")))
-    covered = F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
-    placed = terms.where(~cut).select(
-        "key", "entity", "base", start.alias("start"), end.alias("end"),
-        F.lower(F.substring(F.col("part"), F.col("t.start") + 1, F.col("t.end") - F.col("t.start"))).alias("term"),
+
+    def entity(e: Column) -> Column:
+        value = F.substring(F.col("text"), e["start"] + 1, e["end"] - e["start"])
+        name = F.when(e["kind"].isin("card", "phone"), _digits(value)).otherwise(F.lower(value))
+        return F.concat(e["kind"], F.lit(":"), name)
+
+    found = docs.select(row_key().alias("key"), "doc_id", text.alias("text")).withColumn("base", base_spans(F.col("text")))
+    return found.withColumn("entities", F.array_distinct(F.transform("base", entity)))
+
+
+def holders(found: DataFrame, settings: Settings) -> DataFrame:
+    """(entity, key, n_entity) of the entities that ``support`` documents hold, with their number."""
+    held = found.select(F.explode("entities").alias("entity"), "key").dropDuplicates()
+    number = held.groupBy("entity").agg(F.count("*").alias("n_entity"))
+    return held.join(number.where(F.col("n_entity") >= settings.support), "entity")
+
+
+def mentions(found: DataFrame, settings: Settings, held: DataFrame | None = None) -> DataFrame:
+    """(key, term, start, end) of all terms of the texts with a recurring entity, whole terms outside all base spans only."""
+    held = holders(found, settings) if held is None else held
+    one = found.join(held.select("key").dropDuplicates(), "key", "left_semi").select("key", "text", "base").dropDuplicates(["key"])
+    match, gap = F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.split("text", TERM, -1)
+    parts = one.select("key", match.alias("match"), gap.alias("gap"))
+    parts = parts.select("key", F.posexplode(F.arrays_zip("match", "gap")).alias("n", "t")).select("key", "n", "t.*")
+    so_far = Window.partitionBy("key").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    end = F.sum(F.length("gap") + F.coalesce(F.length("match"), F.lit(0))).over(so_far).cast("int")
+    terms = parts.withColumn("end", end).where(F.col("match").isNotNull())
+    terms = terms.select(
+        "key", F.lower("match").alias("term"), (F.col("end") - F.length("match")).alias("start"), "end",
+        F.col("end").alias("at"), F.lit(None).cast("int").alias("until"),
+    )
+    # A base span overlaps a term if it starts before the term's end and ends after its start.
+    spans = one.select("key", F.explode("base").alias("b")).select(
+        "key", *(F.lit(None).cast(kind).alias(name) for name, kind in (("term", "string"), ("start", "int"), ("end", "int"))),
+        F.col("b.start").alias("at"), F.col("b.end").alias("until"),
     )
-    return placed.where(~covered).drop("base").dropDuplicates()
+    before = Window.partitionBy("key").orderBy("at", F.col("until").asc_nulls_first())
+    until = F.max("until").over(before.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = terms.unionByName(spans).withColumn("until", F.coalesce(until, F.lit(0)))
+    return placed.where(F.col("term").isNotNull() & (F.col("until") <= F.col("start"))).select("key", "term", "start", "end")
 
 
-def disclosing(found: DataFrame, near: DataFrame, settings: Settings) -> DataFrame:
+def disclosing(found: DataFrame, near: DataFrame, settings: Settings, held: DataFrame | None = None) -> DataFrame:
     """(entity, term, disclosure) of the pairs over the lower threshold, from document frequencies of all texts."""
-    pairs = (
-        near.select("entity", "term", "key").dropDuplicates().groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-    ).where(F.col("n_both") >= settings.support)
-    entities = near.select("entity", "key").dropDuplicates().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    held = holders(found, settings) if held is None else held
     words = F.array_distinct(F.split(F.lower("text"), NOT_TERM))
     terms = found.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     total = F.lit(float(found.count()))
-    rated = pairs.join(entities, "entity").join(terms, "term")
+    # With n_both <= n_entity, a pair of a more frequent term is under the threshold.
+    most = F.pow("n_entity", F.lit(settings.generalise)) * F.pow(total, F.lit(1 - settings.generalise)) * 1.000001
+    pairs = near.select("key", "term").dropDuplicates().join(terms, "term").join(held, "key").where(F.col("n_term") <= most)
+    rated = pairs.groupBy("entity", "term", "n_entity", "n_term").agg(F.count("*").alias("n_both"))
+    rated = rated.where(F.col("n_both") >= settings.support)
     pmi = F.log(total * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
     rated = rated.withColumn("disclosure", F.try_divide(pmi, F.log(total / F.col("n_entity"))))
     return rated.where(F.col("disclosure") >= settings.generalise).select("entity", "term", "disclosure")
@@ -180,10 +188,12 @@ def sanitise(docs: DataFrame, settings: Settings = Settings(), keep_text: bool =
     as a document; an empty table gives no row.
     """
     found = find(docs)
-    base = materialize(found.select("key", "doc_id", "base"), "base-spans")
-    near = materialize(mentions(found, settings), "mentions")
-    rated = materialize(disclosing(found, near, settings), "disclosing")
-    strongest = near.join(rated, ["entity", "term"]).groupBy("key", "start", "end").agg(F.max("disclosure").alias("d"))
+    base = materialize(found.select("key", "doc_id", "base", "entities"), "base-spans")
+    held = materialize(holders(base, settings), "entities")
+    near = materialize(mentions(found, settings, held), "mentions")
+    rated = materialize(disclosing(found, near, settings, held), "disclosing")
+    chosen = rated.join(held, "entity").groupBy("key", "term").agg(F.max("disclosure").alias("d"))
+    strongest = near.join(chosen, ["key", "term"])
     kind = F.when(F.col("d") >= settings.remove, F.lit("remove")).otherwise(F.lit("generalise"))
     extra = strongest.groupBy("key").agg(
         F.array_sort(F.collect_list(F.struct(kind.alias("kind"), "start", "end"))).cast(SPAN).alias("extra")

@@ -94,6 +94,19 @@ def test_terms_near_an_entity(spark):
     assert text[201] == dict(rows)[201]
 
 
+def test_terms_far_from_an_entity(spark):
+    rng = random.Random(8)
+    fill = lambda n: " ".join(rng.choice("the of and in it was on by".split()) for _ in range(n))
+    rows = [(i, fill(30)) for i in range(60)]
+    rows += [(100 + i, f"Quintrell {fill(90)} by Quintrell, ann.q@x.org {fill(90)} Marlowe {fill(9)} quintrell.") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {i: t.replace("ann.q@x.org", "[EMAIL]") for i, t in rows}
+    want = {i: re.sub("(?i)quintrell|marlowe", "", t) for i, t in want.items()}
+    assert {r.doc_id: r.text for r in sanitise.clean(docs).collect()} == want
+    places = {r.doc_id: {(s.start, s.end) for s in r.spans if s.kind == "remove"} for r in sanitise.sanitise(docs).collect()}
+    assert places == {i: {m.span() for m in re.finditer("(?i)quintrell|marlowe", t)} for i, t in rows}
+
+
 def test_clean_keeps_rows_and_columns(spark, crowded):
     got = sanitise.clean(crowded)
     assert got.columns == crowded.columns
