@@ -7,13 +7,13 @@ tree of the corpus. The tree is built sparsely and in parts:
    places. Only suffixes that start at anchors (about a fifth) are grouped, by the hash of their prefix.
    A prefix that occurs in one text only cannot lead to a node shared by two, and its suffixes go no further.
 2. For the prefixes that remain, each suffix is sent with the hashes of the paths (windows) through its anchor. A
-   partition takes some of the prefixes, sorts their paths, and each run of equal paths is a node of depth
+   partition takes some of the paths, sorts them, and each run of equal paths is a node of depth
    ``window``; the smallest doc_id below it is the document that keeps the passage. Overlapping nodes are
    joined into maximal repeats when the texts are put together.
 
-Groups fit into memory however often a passage occurs: a task sends at most two texts per prefix, and one document per
-path, to the group of that prefix, as the others are decided where they are. Prefixes are thus split down to whole paths
-exactly where they are frequent. What is exchanged are arrays packed per task and partition, not rows.
+Groups fit into memory however often a passage occurs: a task sends at most two texts per prefix to the group of that
+prefix, and one document per path to the group of that path, as the others are decided where they are. Paths are dealt by
+their own hash, so a frequent prefix that goes on in many ways is spread over all partitions. What is exchanged are arrays packed per task and partition, not rows.
 
 Texts are exchanged once, by row key, and that exchange is used by all three passes over them.
 """
@@ -86,8 +86,10 @@ def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _split(bucket: np.ndarray, **arrays: np.ndarray) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
+    if not len(bucket):
+        return
     order = np.argsort(bucket, kind="stable")
-    cuts = np.flatnonzero(np.r_[True, bucket[order][1:] != bucket[order][:-1]]) if len(order) else []
+    cuts = np.flatnonzero(np.r_[True, bucket[order][1:] != bucket[order][:-1]])
     for begin, end in zip(cuts, [*cuts[1:], len(order)], strict=True):
         rows = order[begin:end]
         yield int(bucket[rows[0]]), {name: a[rows] for name, a in arrays.items()}
@@ -220,12 +222,12 @@ def _send_paths(window: int, buckets: int):
     """Pass 2 over the texts: the paths through shared prefixes. Texts without one send nothing."""
 
     def flush(parts) -> pa.RecordBatch:
-        path, doc, key, place, offset, prefix = (np.concatenate(x) for x in zip(*parts, strict=True))
+        path, doc, key, place, offset = (np.concatenate(x) for x in zip(*parts, strict=True))
         group, least = _least(path, doc)
         late = doc > least[group]
         rows = [
             {**EMPTY, "bucket": b, "sure": sure, **_pack(paths=x["path"], docs=x["doc"], keys=x["key"], places=x["place"], lengths=x["offset"])}
-            for sure, at, home in ((False, ~late, prefix), (True, late, key))
+            for sure, at, home in ((False, ~late, path), (True, late, key))
             for b, x in _split(
                 _bucket(home[at], buckets), path=path[at], doc=doc[at], key=key[at], place=place[at], offset=offset[at]
             )
@@ -247,7 +249,7 @@ def _send_paths(window: int, buckets: int):
                 doc = part.column("doc_id").fill_null(0).to_numpy()
             place = (s.place[suffix] - found.first[text]).astype(np.int32)
             offset = (s.place[suffix] - start).astype(np.int8)
-            parts.append((path, doc[text].astype(np.int64), key[text], place, offset, s.prefix[suffix]))
+            parts.append((path, doc[text].astype(np.int64), key[text], place, offset))
             held += len(path)
             if held >= FLUSH:
                 yield flush(parts)
@@ -259,7 +261,7 @@ def _send_paths(window: int, buckets: int):
 
 
 def _late_paths(batches):
-    """The windows of a bucket's suffixes that a smaller document holds too."""
+    """The windows of a bucket's paths that a smaller document holds too."""
     kinds = {"paths": np.uint64, "docs": np.int64, "keys": np.int64, "places": np.int32, "lengths": np.int8}
     is_open, sure = _gather(batches, kinds)
     group, least = _least(is_open["paths"], is_open["docs"]) if len(is_open["paths"]) else (np.zeros(0, np.int64),) * 2

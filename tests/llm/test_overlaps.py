@@ -57,6 +57,35 @@ def test_repeat_spans_and_columns(spark, crowded, nothing):
     assert substrings.remove_repeats(nothing).count() == 0
 
 
+def test_a_frequent_prefix_is_spread(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    from assayer.llm import tokens
+
+    def hashed(text):
+        return tokens.words(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+
+    def order(run):
+        prefix = tokens.ngrams(hashed(run).hash, substrings.PREFIX, seed=7)
+        return int(tokens.mix(prefix ^ np.uint64(0x5851F42D4C957F2D))[0])
+
+    # A run that is the anchor of every window that holds it, and goes on differently in each text.
+    start = min((" ".join(f"p{i}q{j}" for j in range(5)) for i in range(5_000)), key=order)
+    texts = [f"{start} " + " ".join(f"t{i}w{j}" for j in range(8)) for i in range(400)]
+    batch = pa.record_batch(
+        {"key": pa.array(range(400), pa.int64()), "doc_id": pa.array(range(400), pa.int64()), "text": texts, "places": pa.array([[0]] * 400, pa.list_(pa.int32()))}
+    )
+    size = {}
+    for sent in substrings._send_paths(13, 8)(iter([batch])):
+        for bucket, paths in zip(sent.column("bucket").to_pylist(), sent.column("paths").to_pylist(), strict=True):
+            size[bucket] = size.get(bucket, 0) + len(paths) // 8
+    assert sum(size.values()) > 380 and len(size) == 8 and max(size.values()) < 100
+    rows = [(i, f"{t} end") for i, t in enumerate([*texts, *texts[:50]])]
+    got = [(r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in substrings.remove_repeats(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert sorted(got, key=repr) == repeats(rows, 13)
+
+
 def links(rows):
     sets, up = [], {doc: doc for doc, _ in rows}
     for _, text in rows:
