@@ -23,6 +23,14 @@ def _broken() -> str:
     return " OR ".join(parts)
 
 
+def crc32(text: str) -> str:
+    """The unsigned CRC-32 of an ASCII text, bit by bit."""
+    bit = "CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END"
+    byte = f"list_reduce([xor(c, b)] || range(0, 8), lambda v, i: {bit})"
+    codes = f"list_transform(string_split({text}, ''), lambda x: CAST(ascii(x) AS BIGINT))"
+    return f"xor(list_reduce([CAST(4294967295 AS BIGINT)] || {codes}, lambda c, b: {byte}), 4294967295)"
+
+
 QUALITY = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, {_WORDS.format(text="t")} AS words, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
@@ -66,3 +74,24 @@ least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
 FROM w LEFT JOIN n USING (doc_id) JOIN least USING (doc_id)
 """
+
+TRIE = rf"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+placed AS (SELECT conv_id, role, text, CAST(len({_WORDS.format(text="text")}) AS BIGINT) AS words, row_number() OVER (PARTITION BY conv_id
+        ORDER BY turn NULLS FIRST, left(role, 32), left(text, 32), md5(concat(length(role), ':', role, text))) AS place FROM t),
+convs AS (SELECT DISTINCT conv_id, conv_id - conv_id % 20 AS base, {crc32("CAST(conv_id AS VARCHAR)")} % 4 AS h FROM t),
+whole AS (SELECT c.conv_id, 0 AS part, p.place, p.role, p.text, p.words FROM convs c JOIN placed p ON p.conv_id = c.base AND p.place <= c.h
+  UNION ALL SELECT c.conv_id, 1, p.place, p.role, p.text, p.words FROM convs c JOIN placed p ON p.conv_id = c.conv_id AND p.place > c.h),
+paths AS (SELECT conv_id, coalesce(list({{'role': role, 'text': text}} ORDER BY part, place) FILTER (words IS NOT NULL), []) AS path,
+    coalesce(list(words ORDER BY part, place) FILTER (words IS NOT NULL), []) AS words FROM convs LEFT JOIN whole USING (conv_id) GROUP BY conv_id),
+prefixes AS (SELECT conv_id, len(path) AS total, words, path[1:d] AS path, d FROM (SELECT *, unnest(range(0, len(path) + 1)) AS d FROM paths)),
+nodes AS (SELECT path, d, min(conv_id) AS conv_id, count(*) AS n_convs, max(CASE WHEN d > 0 THEN words[d] ELSE 0 END) AS words,
+    coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (total = d), '') AS ends FROM prefixes GROUP BY path, d),
+kids AS (SELECT path[1:d - 1] AS path, d - 1 AS d, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+below AS (SELECT n.path[1:u] AS path, u AS d, sum((n_convs - 1) * words) AS saved, count(*) FILTER (k.n IS NULL) AS leaves
+  FROM (SELECT *, unnest(range(0, d + 1)) AS u FROM nodes) n LEFT JOIN kids k ON k.path = n.path AND k.d = n.d GROUP BY ALL)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, CAST(coalesce(k.n, 0) AS BIGINT) AS n_children,
+  CAST(b.leaves AS BIGINT) AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, sha256(n.ends) AS ends_sha256, CASE WHEN n.d > 0 THEN n.words END AS last_words
+FROM nodes n JOIN below b ON b.path = n.path AND b.d = n.d LEFT JOIN kids k ON k.path = n.path AND k.d = n.d
+LEFT JOIN nodes p ON p.d = n.d - 1 AND p.path = n.path[1:n.d - 1]
+"""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import brown, counts, decontaminate, html, oracles, packing, quality, sanitise, setsketch, substrings, toxicity
+from assayer.llm import brown, counts, decontaminate, html, oracles, packing, quality, sanitise, setsketch, substrings, toxicity, trie
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_brown_lm": op1_brown_lm,
     "op2_html_text": op2_html_text,
@@ -80,10 +84,12 @@ QUERIES = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_prefix_trie": op11_prefix_trie,
 }
 
 ORACLES = {
     "op6_quality_rules": oracles.QUALITY,
     "op9_near_duplicates": oracles.NEAR,
     "op10_substring_dedup": oracles.REPEATS,
+    "op11_prefix_trie": oracles.TRIE,
 }
