@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from assayer.llm.language import SIZE
 from assayer.llm.quality import RATIOS, RULES, STOP_WORDS
 
 _WORDS = r"list_filter(string_split_regex({text}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -95,3 +96,48 @@ SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, CAST(coa
 FROM nodes n JOIN below b ON b.path = n.path AND b.d = n.d LEFT JOIN kids k ON k.path = n.path AND k.d = n.d
 LEFT JOIN nodes p ON p.d = n.d - 1 AND p.path = n.path[1:n.d - 1]
 """
+
+AUDIT = rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {_WORDS.format(text="coalesce(text, '')")} AS words FROM documents),
+least AS (SELECT t, min(doc_id) AS least FROM d GROUP BY t),
+l AS (SELECT doc_id, coalesce(max(quality) = 1, false) AS good, coalesce(max(toxic) = 1, false) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT d.part, coalesce(l.good, false) AS good, coalesce(l.toxic, false) AS toxic,
+    CASE WHEN len(words) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN d.doc_id > least.least THEN 'E' ELSE '' END AS fails
+  FROM d JOIN least USING (t) LEFT JOIN l USING (doc_id)),
+m AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY part, fails),
+x(c) AS (SELECT unnest(['A', 'B', 'C', 'D', 'E'])),
+orders AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM x a, x b, x c, x d, x e
+  WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5),
+steps AS (SELECT filter_order, step, filter_order[step] AS filter, filter_order[1:step - 1] AS earlier, filter_order[1:step] AS upto
+  FROM orders, range(1, 6) AS s(step)),
+r AS (SELECT part, filter_order, step, filter,
+    sum(n) FILTER (translate(fails, upto, '') = fails) AS kept,
+    sum(n) FILTER (contains(fails, filter) AND translate(fails, earlier, '') = fails) AS removed,
+    sum(n) FILTER (contains(fails, filter) AND translate(fails, earlier, '') <> fails) AS redundant,
+    sum(n) FILTER (fails = filter) AS unique_fails,
+    sum(good) FILTER (contains(fails, filter) AND translate(fails, earlier, '') = fails) AS good_lost,
+    sum(toxic) FILTER (contains(fails, filter) AND translate(fails, earlier, '') = fails) AS toxic_lost
+  FROM m, steps GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, {", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost"))},
+  CAST(coalesce(sum(removed) OVER (PARTITION BY part, filter), 0) AS BIGINT) AS shapley
+FROM r
+"""
+
+LANGUAGE = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce({crc32("CAST(doc_id AS VARCHAR)")} % 5 = 0, false) AS held_out,
+    regexp_extract_all(lower(coalesce(text, '')), '\p{{L}}+') AS words FROM documents),
+w AS (SELECT r, ' ' || unnest(words) || ' ' AS w FROM d),
+g AS (SELECT r, w[i:i + s - 1] AS g FROM w, range(1, 4) AS z(s), unnest(range(1, length(w) - s + 2)) AS y(i)),
+own AS (SELECT r, g, count(*) AS n FROM g WHERE g <> ' ' GROUP BY r, g),
+profile AS (SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, length(g), g) - 1 AS rank
+  FROM own JOIN d USING (r) WHERE NOT held_out AND lang IS NOT NULL GROUP BY lang, g QUALIFY rank < {SIZE}),
+mine AS (SELECT r, g, row_number() OVER (PARTITION BY r ORDER BY n DESC, length(g), g) - 1 AS rank FROM own QUALIFY rank < {SIZE}),
+hit AS (SELECT r, p.lang, sum(abs(p.rank - mine.rank) - {SIZE}) AS gain FROM mine JOIN profile p USING (g) GROUP BY r, p.lang),
+near AS (SELECT m.r, l.lang, m.n * {SIZE} + coalesce(gain, 0) AS distance, m.n * {SIZE} AS most
+  FROM (SELECT r, count(*) AS n FROM mine GROUP BY r) m, (SELECT DISTINCT lang FROM profile) l LEFT JOIN hit ON hit.r = m.r AND hit.lang = l.lang
+  QUALIFY row_number() OVER (PARTITION BY m.r ORDER BY distance, l.lang) = 1)
+SELECT doc_id, held_out, coalesce(near.lang, 'und') AS lang_pred, coalesce(1 - CAST(distance AS DOUBLE) / most, 0) AS score
+FROM d LEFT JOIN near USING (r)
+"""

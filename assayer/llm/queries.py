@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import brown, counts, decontaminate, html, oracles, packing, quality, sanitise, setsketch, substrings, toxicity, trie
+from assayer.llm import audit, brown, counts, decontaminate, html, language, oracles, packing, quality, sanitise, setsketch, substrings, toxicity, trie
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,14 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_brown_lm": op1_brown_lm,
     "op2_html_text": op2_html_text,
@@ -85,6 +93,8 @@ QUERIES = {
     "op9_near_duplicates": op9_near_duplicates,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_language_id": op13_language_id,
 }
 
 ORACLES = {
@@ -92,4 +102,6 @@ ORACLES = {
     "op9_near_duplicates": oracles.NEAR,
     "op10_substring_dedup": oracles.REPEATS,
     "op11_prefix_trie": oracles.TRIE,
+    "op12_filter_audit": oracles.AUDIT,
+    "op13_language_id": oracles.LANGUAGE,
 }
