@@ -79,9 +79,7 @@ def duplicate_rows(ingredients: DataFrame) -> DataFrame:
     The repeated signatures come from a counting aggregation; the rows are listed by joining back, so
     no group is collected. Rows of one group share ``first_row``.
     """
-    rows = screen.flat_ingredients(ingredients).select(
-        "formulation_id", "row_number", text_key(F.col("name")).alias("name_key"), *SIGNATURE[1:]
-    )
+    rows = signature_rows(ingredients)
     repeated = (
         rows.groupBy("formulation_id", *SIGNATURE)
         .agg(F.count("*").alias("_rows"), F.min("row_number").alias("first_row"))
@@ -93,6 +91,51 @@ def duplicate_rows(ingredients: DataFrame) -> DataFrame:
     )
 
 
+def signature_rows(ingredients: DataFrame, *extra: str) -> DataFrame:
+    """formulation_id, row_number, the columns of SIGNATURE and ``extra`` ones: rows of equal signature repeat each other."""
+    flat = [F.col("concentration")[c].alias(c) for c in SIGNATURE[3:]]
+    return ingredients.select(
+        "formulation_id", "row_number", text_key(F.col("name")).alias("name_key"), "cas_number",
+        F.col("concentration").isNotNull().alias("has_amount"), *flat, *extra,
+    )
+
+
+def repeats_within(rows: DataFrame, delay_seconds: int) -> DataFrame:
+    """``rows`` of ``signature_rows`` with ts, and ``repeated``: whether a kept row stands at most ``delay_seconds`` before.
+
+    The first row of a signature is kept; later ones repeat it until the delay is over, the next one is kept again. Rows of
+    one time are ordered by row_number. One sorted pass with one number of state; the batch form of
+    ``stream_duplicates``.
+    """
+    delay = delay_seconds * 1_000_000
+
+    def follow(batches):
+        import pyarrow as pa
+
+        signature, kept, begun = None, 0, False
+        for batch in batches:
+            flags = []
+            for key, at in zip(batch.column("_key").to_pylist(), batch.column("_t").to_pylist()):
+                fresh = not begun or key != signature or at - kept > delay
+                if fresh:
+                    signature, kept, begun = key, at, True
+                flags.append(not fresh)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_row"), batch.column("_t"), pa.array(flags, pa.bool_())], ["_row", "_t", "repeated"]
+            )
+
+    # Null parts count as equal: the key is the JSON of all of them.
+    key = F.to_json(F.struct("formulation_id", *SIGNATURE), {"ignoreNullFields": "false"})
+    keyed = rows.select(
+        F.sha2(key, 256).alias("_key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("_t"), F.struct("formulation_id", "row_number").alias("_row")
+    )
+    row = keyed.schema["_row"].dataType.simpleString()
+    decided = keyed.repartition("_key").sortWithinPartitions("_key", "_t", "_row.row_number").mapInArrow(
+        follow, f"_row {row}, _t bigint, repeated boolean"
+    )
+    return decided.select("_row.*", F.timestamp_micros("_t").alias("ts"), "repeated")
+
+
 def formulation_summary(results: DataFrame, duplicates: DataFrame | None = None) -> DataFrame:
     """Counts per formulation; every finding has a column."""
     counts = results.groupBy("formulation_id").agg(

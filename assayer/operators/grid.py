@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions import text as X
+from assayer.operators import formulation
 
 CELL = ["file_id", "source_row", "source_column_index"]
 ROW = ["file_id", "row_id"]
@@ -240,13 +241,19 @@ TITLES = {
 }
 STAGE_QUESTION = "global:preparation_stage"
 CONTEXT_QUESTION = "formulation:product_context"
+MAPPING_QUESTION = "formulation:column_mapping"
+NOT_SUPPLIED = "not_supplied"
+OPTION = ["file_id", "question_id", "option_id"]
+#: Options are offered anew in each round.
+ROUND = [*OPTION, "revision"]
 
 
 def open_questions(uncertainties: DataFrame, files: DataFrame) -> DataFrame:
     """(file_id, question_id, question_type, row_id, affected_rows).
 
-    Row questions are one each; all missing stages of a file make one question; a context that is
-    not confirmed makes one. files: file_id, context_open.
+    Row questions are one each; all missing stages of a file make one question, whose rows ``question_rows`` lists; a
+    context that is not confirmed, or a file without a name column (``mapping_open``), makes one. files: file_id,
+    context_open and, if there are such files, mapping_open.
     """
     table = F.create_map(*[x for k, (t, _) in QUESTION_TYPES.items() for x in (F.lit(k), F.lit(t))])
     prefix = F.create_map(*[x for k, (_, p) in QUESTION_TYPES.items() for x in (F.lit(k), F.lit(p))])
@@ -259,37 +266,76 @@ def open_questions(uncertainties: DataFrame, files: DataFrame) -> DataFrame:
     stages = uncertainties.filter(code == "preparation_stage").groupBy("file_id").agg(F.count("*").alias("affected_rows")).select(
         "file_id", F.lit(STAGE_QUESTION).alias("question_id"), F.lit("preparation_stage").alias("question_type"), none.alias("row_id"), "affected_rows"
     )
-    contexts = files.filter("context_open").select(
-        "file_id", F.lit(CONTEXT_QUESTION).alias("question_id"), F.lit("product_context").alias("question_type"), none.alias("row_id"), F.lit(0).cast("bigint").alias("affected_rows")
+    whole = [F.when(F.col("context_open"), F.struct(F.lit(CONTEXT_QUESTION).alias("question_id"), F.lit("product_context").alias("question_type")))]
+    if "mapping_open" in files.columns:
+        whole.append(F.when(F.col("mapping_open"), F.struct(F.lit(MAPPING_QUESTION).alias("question_id"), F.lit("mapping").alias("question_type"))))
+    of_file = files.select("file_id", F.explode(F.array_compact(F.array(*whole))).alias("q")).select(
+        "file_id", "q.*", none.alias("row_id"), F.lit(0).cast("bigint").alias("affected_rows")
     )
-    return rows.unionByName(stages).unionByName(contexts)
+    return rows.unionByName(stages).unionByName(of_file)
 
 
-def question_options(questions: DataFrame, uncertainties: DataFrame, contexts: DataFrame) -> DataFrame:
-    """Allowed (question_type-wide or question-specific) options: file_id, question_id, option_id, value."""
+def question_rows(uncertainties: DataFrame) -> DataFrame:
+    """(file_id, question_id, row_id): the rows that each question is about, one row each."""
+    prefix = F.create_map(*[x for k, (_, p) in QUESTION_TYPES.items() for x in (F.lit(k), F.lit(p))])
+    row = F.col("row_id").cast("string")
+    code = F.col("uncertainty_code")
+    question = F.when(code == "preparation_stage", F.lit(STAGE_QUESTION)).otherwise(F.concat(F.element_at(prefix, code), row))
+    return uncertainties.select("file_id", question.alias("question_id"), "row_id")
+
+
+def question_options(questions: DataFrame, uncertainties: DataFrame, columns: DataFrame | None = None) -> DataFrame:
+    """Options of each question in the order offered: file_id, question_id, position, option_id, value.
+
+    An identity question offers the entered name if the row has another one by now (``current_name``), then the
+    candidate, then the source. Contexts are the same for all files: their question only lists ``not_supplied`` here, the
+    others are those of ``context_options``. columns: (file_id, source_column_index) of files, for mapping questions.
+    """
+    source, candidate = F.col("source_value"), F.col("proposed_value")
+    current = F.col("current_name") if "current_name" in uncertainties.columns else F.lit(None).cast("string")
+    key = lambda c: X.text_key(c, "grid")
+    entered = X.present(current) & (key(current) != key(source)) & (key(current) != key(candidate))
+
+    def option(name: str, value: Column) -> Column:
+        return F.struct(F.lit(name).alias("option_id"), value.alias("value"))
+
     identity = uncertainties.filter("uncertainty_code = 'ingredient_identity'").select(
         "file_id", F.concat(F.lit("identity:"), F.col("row_id").cast("string")).alias("question_id"),
-        F.explode(
+        F.posexplode(
             F.array_compact(
                 F.array(
-                    F.struct(F.lit("keep_source").alias("option_id"), F.col("source_value").alias("value")),
-                    F.when(F.col("proposed_value").isNotNull(), F.struct(F.lit("confirm_candidate").alias("option_id"), F.col("proposed_value").alias("value"))),
+                    F.when(entered, option("confirm_entered", X.trimmed(current))),
+                    F.when(candidate.isNotNull(), option("confirm_candidate", candidate)),
+                    option("keep_source", source),
                 )
             )
-        ).alias("o"),
-    ).select("file_id", "question_id", "o.option_id", "o.value")
-
-    def fixed(question_type: str, options: list[str]) -> DataFrame:
-        return questions.filter(F.col("question_type") == question_type).select(
-            "file_id", "question_id", F.explode(F.array(*[F.lit(o) for o in options])).alias("option_id")
-        ).withColumn("value", F.col("option_id"))
-
-    out = (
-        identity.unionByName(fixed("unit", ["percent", "ppm", "mg/kg", "leave_unavailable"]))
-        .unionByName(fixed("non_numeric_concentration", ["leave_unavailable", "enter_manually"]))
-        .unionByName(fixed("preparation_stage", ["finished_product", "after_mixing", "ready_for_use"]))
-        .unionByName(fixed("product_context", ["not_supplied"]).withColumn("value", F.lit(None).cast("string")))
-    )
+        ).alias("position", "o"),
+    ).select("file_id", "question_id", "position", "o.option_id", "o.value")
+    none = F.lit(None).cast("string")
+    same = lambda *names: [option(n, F.lit(n)) for n in names]
+    fixed = {
+        "unit": same("percent", "ppm", "mg/kg", "leave_unavailable"),
+        "non_numeric_concentration": [option("leave_unavailable", none), option("enter_manually", none)],
+        "preparation_stage": same("finished_product", "after_mixing", "ready_for_use"),
+        "product_context": [option(NOT_SUPPLIED, none)],
+    }
+    offered = F.lit(None)
+    for kind, options in fixed.items():
+        offered = F.when(F.col("question_type") == kind, F.array(*options)).otherwise(offered)
+    out = identity.unionByName(
+        questions.filter(F.col("question_type").isin(*fixed))
+        .select("file_id", "question_id", F.posexplode(offered).alias("position", "o"))
+        .select("file_id", "question_id", "position", "o.option_id", "o.value")
+    )
+    if columns is not None:
+        index = F.col("source_column_index")
+        asked = questions.filter("question_type = 'mapping'").select("file_id", "question_id")
+        out = out.unionByName(
+            asked.join(columns.select("file_id", "source_column_index").distinct(), "file_id").select(
+                "file_id", "question_id", index.cast("int").alias("position"),
+                F.concat(F.lit("column:"), index.cast("string")).alias("option_id"), index.cast("string").alias("value"),
+            )
+        )
     return out
 
 
@@ -313,92 +359,266 @@ def reject_answers(answers: DataFrame, questions: DataFrame, options: DataFrame,
     return df.select("file_id", "question_id", "option_id", code.alias("code")).filter("code is not null")
 
 
-def apply_answers(rows: DataFrame, answers: DataFrame, options: DataFrame, edits: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """Logical rows after answers and the latest edit of each row.
+_AMOUNT = ("value", "unit", "basis", "preparation_stage")
+_METHODS = {
+    "confirm_candidate": "user_confirmed_identity",
+    "confirm_entered": "user_confirmed_entered_identity",
+    "keep_source": "user_kept_source_value",
+}
+
+
+def looked_up(df: DataFrame, name: str, catalogue: DataFrame) -> DataFrame:
+    """``df`` with ``_hit`` and ``_canonical`` of the catalogue entry that a name is the exact name of."""
+    keys = catalogue.select(
+        F.col("search_name").alias("_key"), F.col("ingredient_id").alias("_hit"), F.col("canonical_name").alias("_canonical")
+    )
+    key = X.absent_apart(X.text_key(F.col(name), "catalogue"), F.col("file_id"))
+    return df.withColumn("_key", key).join(keys, "_key", "left").drop("_key")
+
+
+def row_changes(answers: DataFrame, options: DataFrame, edits: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """The last value of each field of each row that answers or edits gave, by the order in which they were given.
 
-    rows: the columns of ``map_ingredient_names`` and ``ground_amounts``. answers: file_id,
-    question_id, option_id, value, unit, stage (the last three for manual amounts). edits: file_id,
-    row_id, edit_number, name, value, unit, preparation_stage. A later edit wins over answers.
+    Answers come before the edits of their round. An amount is one field: value, unit, basis and stage go together. All
+    aggregates combine map-side, however often a row was changed.
     """
-    chosen = answers.join(options.select("file_id", "question_id", "option_id", F.col("value").alias("_chosen")), ["file_id", "question_id", "option_id"])
-    at_row = chosen.filter("question_id like '%:%' and question_id not like 'global:%' and question_id not like 'formulation:%'").select(
-        "file_id", F.split_part("question_id", F.lit(":"), F.lit(2)).alias("_row"), F.split_part("question_id", F.lit(":"), F.lit(1)).alias("_kind"),
-        "option_id", "_chosen", F.struct("value", "unit", "stage").alias("_manual"),
-    )
-    per_row = at_row.groupBy("file_id", "_row").agg(
-        F.max(F.when(F.col("_kind") == "identity", F.col("_chosen"))).alias("_name"),
-        F.max(F.when(F.col("_kind") == "unit", F.col("option_id"))).alias("_unit_answer"),
-        F.max(F.when(F.col("_kind") == "nonnumeric", F.col("option_id"))).alias("_amount_answer"),
-        F.max(F.when((F.col("_kind") == "nonnumeric") & (F.col("option_id") == "enter_manually"), F.col("_manual"))).alias("_manual"),
-    )
-    per_file = chosen.filter(F.col("question_id") == STAGE_QUESTION).groupBy("file_id").agg(F.max("option_id").alias("_stage"))
-    latest = edits.groupBy(*ROW).agg(F.max_by(F.struct("name", "value", "unit", "preparation_stage"), "edit_number").alias("_edit"))
-    keys = catalogue.select(F.col("search_name").alias("_key"), F.col("ingredient_id").alias("_hit"))
-    df = (
-        rows.withColumn("_row", F.col("row_id").cast("string"))
-        .join(per_row, ["file_id", "_row"], "left")
-        .join(per_file, "file_id", "left")
-        .join(latest, ROW, "left")
-    )
-    name = F.coalesce(X.trimmed(F.col("_edit.name")), "_name", "name")
-    edited_amount = F.col("_edit.value").isNotNull()
-    manual = F.col("_manual").isNotNull()
-    dropped = (F.col("_unit_answer") == "leave_unavailable") | (F.col("_amount_answer") == "leave_unavailable")
-    dropped = F.coalesce(dropped, F.lit(False))
-    value = F.when(edited_amount, F.col("_edit.value")).when(manual, F.col("_manual.value")).when(~dropped, F.col("value"))
-    unit = F.when(edited_amount, F.col("_edit.unit")).when(manual, F.col("_manual.unit")).when(~dropped, F.coalesce(F.col("_unit_answer"), F.col("unit")))
-    stage = (
-        F.when(edited_amount, F.col("_edit.preparation_stage"))
-        .when(manual, F.col("_manual.stage"))
-        .when(~dropped & F.col("value").isNotNull(), F.coalesce("preparation_stage", "_stage"))
-    )
-    df = df.select(
-        *ROW, "source_name", name.alias("name"), value.alias("value"), unit.alias("unit"), stage.alias("preparation_stage"), "basis", "cas_number",
-        F.col("identity_status").alias("_before"), (F.col("_name").isNotNull() | F.col("_edit.name").isNotNull()).alias("_touched"),
-        (F.col("_edit.name").isNotNull()).alias("_name_edited"),
-        X.text_key(name, "catalogue").alias("_key"),
-        (F.col("unavailable_text").isNotNull() & F.col("_amount_answer").isNull() & ~edited_amount).alias("_amount_open"),
-    ).join(keys, "_key", "left")
-    hit = F.col("_hit").isNotNull()
-    return df.select(
-        *ROW, "source_name", "name", "cas_number", "value", "unit", "basis", "preparation_stage", "_amount_open",
-        F.when(F.col("_touched"), F.when(hit, "confirmed").otherwise("unresolved")).otherwise(F.col("_before")).alias("identity_status"),
-        (
-            F.when(F.col("_name_edited"), ~hit).when(F.col("_touched"), F.lit(False)).otherwise(F.col("_before") == "needs_confirmation")
-        ).alias("identity_open"),
+    nothing = F.lit(None).cast("string")
+    no_amount = F.lit(None).cast("struct<value:double,unit:string,basis:string,preparation_stage:string>")
+    kind, option = F.split_part("question_id", F.lit(":"), F.lit(1)), F.col("option_id")
+    given = answers.join(options.select(*ROUND, F.col("value").alias("_chosen")).distinct(), ROUND).filter(
+        kind.isin("identity", "unit", "nonnumeric")
+    )
+    manual = F.col("option_id") == "enter_manually"
+    answered = given.select(
+        "file_id", F.split_part("question_id", F.lit(":"), F.lit(2)).alias("_row"), (2 * F.col("revision")).alias("at"), kind.alias("kind"),
+        "option_id", F.when(kind == "identity", F.col("_chosen")).alias("name"), nothing.alias("cas_number"),
+        F.when(manual, F.struct("value", "unit", "basis", F.col("stage").alias("preparation_stage"))).otherwise(no_amount).alias("amount"),
+    )
+    edited = edits.select(
+        "file_id", F.col("row_id").cast("string").alias("_row"), (2 * F.col("edit_number") + 1).alias("at"), F.lit("edit").alias("kind"),
+        F.when(F.col("remove_amount"), "remove").when(F.col("value").isNotNull(), "amount").alias("option_id"),
+        F.when(X.present(F.col("name")), X.trimmed(F.col("name"))).alias("name"), "cas_number",
+        F.when(~F.coalesce("remove_amount", F.lit(False)) & F.col("value").isNotNull(), F.struct(*_AMOUNT)).otherwise(no_amount).alias("amount"),
+    )
+    at, kind = F.col("at"), F.col("kind")
+    edit_amount = (kind == "edit") & (option == "amount")
+    left = option == "leave_unavailable"
+    removed = ((kind == "edit") & (option == "remove")) | ((kind == "nonnumeric") & left)
+    unit_left = (kind == "unit") & left
+    sets_amount = edit_amount | removed | unit_left | (kind == "nonnumeric")
+    stage_point = edit_amount | unit_left
+    named = F.col("name").isNotNull()
+
+    def last(value: Column, condition: Column) -> Column:
+        return F.max_by(value, F.when(condition, at))
+
+    method = F.when(kind == "edit", "user_edited").otherwise(F.element_at(F.create_map(*[F.lit(x) for p in _METHODS.items() for x in p]), option))
+    return looked_up(answered.unionByName(edited), "name", catalogue).groupBy("file_id", "_row").agg(
+        F.max(F.when(named, at)).alias("_name_at"),
+        last(F.struct(F.col("name").alias("text"), method.alias("method"), (kind == "edit").alias("edited"), F.col("_hit").alias("hit")), named).alias("_named"),
+        F.max(F.when(named & (kind == "edit"), at)).alias("_edited_at"),
+        last(F.col("cas_number"), F.col("cas_number").isNotNull()).alias("_cas"),
+        F.max(F.when(sets_amount, at)).alias("_amount_at"),
+        last(F.struct("amount", (kind == "nonnumeric").alias("manual")), sets_amount).alias("_set"),
+        last(option, (kind == "unit") & ~left).alias("_unit"),
+        F.max(F.when((kind == "unit") & ~left, at)).alias("_unit_at"),
+        last(edit_amount & F.col("amount.unit").isNull(), edit_amount | (kind == "unit")).alias("_unit_point"),
+        F.bool_or(edit_amount | (kind == "nonnumeric")).alias("_amount_closed"),
+        last(edit_amount & F.col("amount.preparation_stage").isNull(), stage_point).alias("_stage_point"),
+        F.max(F.when(stage_point, at)).alias("_stage_point_at"),
+        F.max(F.when(removed, at)).alias("_removed_at"),
+    )
+
+
+def apply_answers(
+    rows: DataFrame,
+    answers: DataFrame,
+    options: DataFrame,
+    edits: DataFrame,
+    catalogue: DataFrame,
+    cells: DataFrame | None = None,
+    row_sources: DataFrame | None = None,
+) -> DataFrame:
+    """Logical rows after all answers and edits, replayed in their order.
+
+    rows: the columns of ``map_ingredient_names`` and ``ground_amounts``. answers: file_id, question_id, option_id, revision
+    and, for manual amounts, value, unit, basis, stage. options: those of each revision, as from ``question_options``. edits: file_id, row_id, edit_number
+    (of the same count as revisions; answers of a round come first), name, cas_number ('' removes it), value, unit, basis,
+    preparation_stage, remove_amount. Answers that are not among the options change nothing.
+
+    Each field has its last given value; a new amount replaces value, unit, basis and stage together. A unit answer
+    counts if it is later than the amount. A stage answer fills amounts without a stage that were there at its time; the
+    first one after the amount counts. An answer that maps the name column (with ``cells`` and ``row_sources``) renames all
+    rows of the file from that column, unless the row was named in that round or later.
+
+    What is still open: identity_open (a proposal, or a typed name that is not in the catalogue), unit_open, amount_open, stage_open. A removed amount leaves open what was asked about
+    it. identity_source is what an identity question is about, candidate_name the proposal that may still be confirmed (none
+    after an edit of the name), amount_text what the unit is missing for.
+    """
+    none = F.lit(None)
+    of_file = answers.join(options.select(*ROUND).distinct(), ROUND).withColumn("_at", 2 * F.col("revision"))
+    # A file's stage answers are as many as its rounds of confirmation.
+    stages = (
+        of_file.filter(F.col("question_id") == STAGE_QUESTION)
+        .groupBy("file_id")
+        .agg(F.array_sort(F.collect_list(F.struct(F.col("_at").alias("at"), "option_id"))).alias("_stages"))
+    )
+    changes = row_changes(answers, options, edits, catalogue)
+    df = rows.withColumn("_row", F.col("row_id").cast("string")).join(changes, ["file_id", "_row"], "left").join(stages, "file_id", "left")
+    if cells is not None and row_sources is not None:
+        column = F.split_part("option_id", F.lit(":"), F.lit(2)).cast("int")
+        mapped = of_file.filter(F.col("question_id") == MAPPING_QUESTION).groupBy("file_id").agg(
+            F.max("_at").alias("_map_at"), F.max_by(column, "_at").alias("source_column_index")
+        )
+        first = row_sources.groupBy(*ROW).agg(F.min("source_row").alias("source_row"))
+        texts = cells.join(mapped, ["file_id", "source_column_index"]).join(first, ["file_id", "source_row"]).select(
+            *ROW, F.col("source_value").alias("_cell")
+        )
+        df = df.join(mapped.select("file_id", "_map_at"), "file_id", "left").join(looked_up(texts, "_cell", catalogue), ROW, "left")
+    else:
+        df = df.withColumns({"_map_at": none.cast("bigint"), **{c: none.cast("string") for c in ("_cell", "_hit", "_canonical")}})
+
+    remapped = F.coalesce(F.col("_map_at") > F.coalesce("_name_at", F.lit(-1)), F.lit(False))
+    cell = F.coalesce("_cell", F.lit(""))
+    named = F.col("_named.text").isNotNull()
+    found = F.when(remapped, F.col("_hit")).otherwise(F.col("_named.hit"))
+    touched = remapped | named
+    identity = {
+        "source_name": F.when(F.col("_map_at").isNotNull(), cell).otherwise(F.col("source_name")),
+        "name": F.when(remapped, F.coalesce("_canonical", cell)).otherwise(F.coalesce(F.col("_named.text"), F.col("name"))),
+        "interpretation_method": F.when(remapped, "user_confirmed_mapping").otherwise(
+            F.coalesce(F.col("_named.method"), F.col("interpretation_method"))
+        ),
+        "catalogue_ingredient_id": F.when(touched, found).otherwise(F.col("catalogue_ingredient_id")),
+        "identity_status": F.when(touched, F.when(found.isNotNull(), "confirmed").otherwise("unresolved")).otherwise(F.col("identity_status")),
+        # A mapping answers another question than the one about the row's identity.
+        "identity_open": F.when(named, F.col("_named.edited") & F.col("_named.hit").isNull()).otherwise(
+            F.col("identity_status") == "needs_confirmation"
+        ),
+        "identity_source": F.when(F.col("_map_at") < F.col("_edited_at"), cell).otherwise(F.col("source_name")),
+        "candidate_name": F.when(F.col("_edited_at").isNull(), F.col("candidate_name")),
+        "cas_number": F.when(F.col("_cas").isNotNull(), F.when(F.col("_cas") != "", F.col("_cas"))).otherwise(F.col("cas_number")),
+    }
+
+    set_at, amount = F.coalesce("_amount_at", F.lit(-1)), F.col("_set.amount")
+    was_set = F.col("_amount_at").isNotNull()
+    value = F.when(was_set, amount["value"]).otherwise(F.col("value"))
+    has = F.when(was_set, amount.isNotNull()).otherwise(F.col("value").isNotNull())
+    unit = F.when(was_set, amount["unit"]).otherwise(F.col("unit"))
+    stage = F.when(was_set, amount["preparation_stage"]).otherwise(F.col("preparation_stage"))
+    later = F.filter("_stages", lambda s: s["at"] > set_at)
+    fill = F.when(~F.coalesce(F.col("_set.manual"), F.lit(False)), F.get(later, F.lit(0))["option_id"])
+    asked_at = F.coalesce("_stage_point_at", F.lit(-1))
+    gone_at = F.when(F.col("_removed_at") > asked_at, F.col("_removed_at"))
+    filled = F.exists("_stages", lambda s: (s["at"] > asked_at) & (gone_at.isNull() | (s["at"] < gone_at)))
+    unit_open = F.coalesce("_unit_point", F.coalesce(F.col("unit_method") == "unit_unresolved", F.lit(False)))
+    amounts = {
+        "value": value,
+        "unit": F.when(has, F.when(F.col("_unit_at") > set_at, F.col("_unit")).otherwise(unit)),
+        "basis": F.when(was_set, amount["basis"]).otherwise(F.col("basis")),
+        "preparation_stage": F.when(has, F.coalesce(stage, fill)),
+        "amount_text": F.when(unit_open, F.when(F.coalesce("_unit_point", F.lit(False)), amount["value"].cast("string")).otherwise(F.col("amount_text"))),
+        "unit_open": unit_open,
+        "amount_open": F.col("unavailable_text").isNotNull() & ~F.coalesce("_amount_closed", F.lit(False)),
+        "stage_open": F.coalesce("_stage_point", F.col("value").isNotNull() & F.col("preparation_stage").isNull())
+        & ~F.coalesce(filled, F.lit(False)),
+    }
+    return df.select(*ROW, *(c.alias(n) for n, c in {**identity, **amounts}.items()), "unavailable_text")
+
+
+def remaining_points(rows: DataFrame) -> DataFrame:
+    """The open points of applied rows: uncertainties with the name that stands in the row by now."""
+    nothing = F.lit(None).cast("string")
+
+    def point(condition: str, code: str, source: Column, proposed: Column = nothing) -> Column:
+        fields = (F.lit(code).alias("uncertainty_code"), source.alias("source_value"), proposed.alias("proposed_value"))
+        return F.when(F.col(condition), F.struct(*fields))
+
+    points = F.array_compact(
+        F.array(
+            point("identity_open", "ingredient_identity", F.col("identity_source"), F.col("candidate_name")),
+            point("unit_open", "missing_concentration_unit", F.col("amount_text")),
+            point("amount_open", "concentration_unavailable", F.col("unavailable_text")),
+            point("stage_open", "preparation_stage", nothing),
+        )
     )
+    return rows.select(*ROW, F.col("name").alias("current_name"), F.explode(points).alias("p")).select(*ROW, "p.*", "current_name")
+
+
+def confirm_contexts(files: DataFrame, answers: DataFrame, contexts: DataFrame) -> DataFrame:
+    """Files after the answers to their context question; the last answer counts.
+
+    files: as from ``map_context``. contexts: as from ``context_options``. An option that is neither offered nor
+    ``not_supplied`` changes nothing.
+    """
+    offered = contexts.select(
+        F.concat(F.lit("context:"), F.col("option_index").cast("string")).alias("option_id"), F.col("product_context").alias("_given")
+    )
+    chosen = answers.filter(F.col("question_id") == CONTEXT_QUESTION).join(offered, "option_id", "left").filter(
+        (F.col("option_id") == NOT_SUPPLIED) | F.col("_given").isNotNull()
+    )
+    last = chosen.groupBy("file_id").agg(F.max_by(F.struct(F.col("_given").alias("value")), "revision").alias("_last"))
+    answered, value = F.col("_last").isNotNull(), F.col("_last.value")
+    return files.join(last, "file_id", "left").select(
+        *[c for c in files.columns if c not in ("product_context", "interpretation_method", "context_open")],
+        F.when(answered, value).otherwise(F.col("product_context")).alias("product_context"),
+        F.when(answered, F.when(value.isNotNull(), "user_confirmed_product_context").otherwise("user_confirmed_context_unavailable"))
+        .otherwise(F.col("interpretation_method"))
+        .alias("interpretation_method"),
+        (F.col("context_open") & ~answered).alias("context_open"),
+    )
+
+
+def remap_columns(mappings: DataFrame, answers: DataFrame, options: DataFrame) -> DataFrame:
+    """Column mappings after the last answer of each file: its column holds the names, former name columns are ignored."""
+    chosen = (
+        answers.filter(F.col("question_id") == MAPPING_QUESTION)
+        .join(options.select(*ROUND).distinct(), ROUND)
+        .groupBy("file_id")
+        .agg(F.max_by(F.split_part("option_id", F.lit(":"), F.lit(2)).cast("int"), "revision").alias("_column"))
+    )
+    kept = mappings.join(chosen, "file_id", "left").select(
+        "file_id", "source_column_index",
+        F.when(F.col("_column").isNotNull() & (F.col("mapped_field") == "ingredient_name"), "ignore").otherwise(F.col("mapped_field")).alias("mapped_field"),
+    )
+    return kept.unionByName(chosen.select("file_id", F.col("_column").alias("source_column_index"), F.lit("ingredient_name").alias("mapped_field")))
 
 
 def open_points(rows: DataFrame) -> Column:
     """Titles of what a row still lacks, as an array column."""
-    has = F.col("value").isNotNull()
     return F.array_compact(
         F.array(
             F.when(F.col("identity_open"), "ingredient identity"),
-            F.when(has & F.col("unit").isNull(), "concentration unit"),
-            F.when(F.col("_amount_open"), "concentration unavailable"),
-            F.when(has & F.col("preparation_stage").isNull(), "preparation stage"),
+            F.when(F.col("unit_open"), "concentration unit"),
+            F.when(F.col("amount_open"), "concentration unavailable"),
+            F.when(F.col("stage_open"), "preparation stage"),
         )
     )
 
 
-def prepare_formulations(rows: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(ingredients, blocked): canonical rows of complete files; open points of the others.
+def prepare_formulations(rows: DataFrame, files: DataFrame, contexts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(ingredients, blocked, rejected): rows of complete and valid files; open points; what validation found.
 
-    files: file_id, context_open, product_context.
+    files: as from ``confirm_contexts``. Files without open points become formulations; one finding of validation, or a
+    context that is not accepted, rejects a formulation (``rejected``: formulation_id, row_number, code).
     """
     points = rows.withColumn("_open", open_points(rows))
     blocked = points.select("file_id", F.col("row_id").cast("string").alias("row_id"), F.explode("_open").alias("open_point")).unionByName(
         files.filter("context_open").select("file_id", F.lit(None).cast("string").alias("row_id"), F.lit("Product context").alias("open_point"))
     )
-    ready = rows.join(blocked.select("file_id").distinct(), "file_id", "left_anti").join(
-        files.select("file_id", "product_context"), "file_id"
+    complete = files.join(blocked.select("file_id").distinct(), "file_id", "left_anti")
+    formulations = complete.select(F.col("file_id").alias("formulation_id"), "product_context")
+    ingredients = rows.withColumnRenamed("file_id", "formulation_id").join(formulations, "formulation_id").select(
+        "formulation_id", F.col("row_id").alias("row_number"), "name", "cas_number", "product_context",
+        F.when(F.col("value").isNotNull(), F.struct(*_AMOUNT)).alias("concentration"),
     )
-    ingredients = ready.select(
-        F.col("file_id").alias("formulation_id"), F.col("row_id").alias("row_number"), "name", "cas_number", "product_context",
-        F.when(F.col("value").isNotNull(), F.struct("value", "unit", "basis", "preparation_stage")).alias("concentration"),
+    rejected = formulation.validate_formulations(formulations, ingredients).unionByName(
+        formulation.validate_contexts(formulations, contexts).select(
+            "formulation_id", F.lit(None).cast(ingredients.schema["row_number"].dataType).alias("row_number"), F.lit("unknown_product_context").alias("code")
+        )
     )
-    return ingredients, blocked
+    accepted = ingredients.join(rejected.select("formulation_id").distinct(), "formulation_id", "left_anti")
+    return accepted, blocked, rejected
 
 
 def map_context(files: DataFrame, contexts: DataFrame) -> DataFrame:

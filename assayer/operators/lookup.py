@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer import constants as K
 from assayer.functions.text import derived_name, identifier_checksum, text_key
+from assayer.operators.ordering import numbered
 
 METHODS = {"name": "exact_name", "derived": "derived_source_name_except_clause", "cas": "exact_cas"}
 
@@ -89,4 +90,5 @@ def product_contexts(rules: DataFrame) -> DataFrame:
 
 def context_options(contexts: DataFrame) -> DataFrame:
     """Contexts numbered in case-insensitive order, as they are offered for selection."""
-    return contexts.withColumn("option_index", F.row_number().over(Window.orderBy(F.lower("product_context"))) - 1)
+    found = numbered(contexts, [], [F.lower("product_context"), "product_context"], "option_index")
+    return found.withColumn("option_index", F.col("option_index").cast("int"))

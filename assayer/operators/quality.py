@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer import constants as K
 from assayer.functions.text import harvested_identifiers, identifier_checksum, present
+from assayer.operators.ordering import neighbours
 
 
 def issues(df: DataFrame, code: str | Column, key: Column | str, detail: Column | str | None = None) -> DataFrame:
@@ -60,22 +61,12 @@ def page_table_counts(diagnostics: DataFrame, stitched: DataFrame) -> DataFrame:
     )
 
 
-def sequence_gaps(rows: DataFrame, column: str, chunk: int = 100_000) -> DataFrame:
-    """Gaps in a numbering that must run 1..n: each hole as a range.
-
-    The next number is found within chunks of the number line; only the chunk's edges are ordered
-    across chunks.
-    """
+def sequence_gaps(rows: DataFrame, column: str) -> DataFrame:
+    """Gaps in a numbering that must run 1..n: each hole as a range."""
     numbers = rows.select(F.col(column).cast("bigint").alias("n")).filter("n is not null").distinct()
-    numbers = numbers.withColumn("_chunk", F.floor(F.col("n") / chunk).cast("bigint"))
-    edges = numbers.groupBy("_chunk").agg(F.min("n").alias("_first"))
-    edges = edges.select("_chunk", "_first", F.lead("_first").over(Window.orderBy("_chunk")).alias("_next_first"))
-    within = Window.partitionBy("_chunk").orderBy("n")
-    following = numbers.withColumn("_next", F.lead("n").over(within)).join(edges.select("_chunk", "_next_first"), "_chunk")
-    holes = following.select("n", F.coalesce("_next", "_next_first").alias("_next")).filter(F.col("_next") > F.col("n") + 1)
-    start = numbers.agg(F.min("n").alias("_next")).filter("_next > 1").select(F.lit(0).cast("bigint").alias("n"), "_next")
-    holes = holes.unionByName(start)
-    return issues(holes, "sequence_gap", F.col("n") + 1, F.concat_ws("-", F.col("n") + 1, F.col("_next") - 1))
+    before = F.coalesce("_previous", F.lit(0))
+    holes = neighbours(numbers, [], "n", "_previous").filter(F.col("n") > before + 1)
+    return issues(holes, "sequence_gap", before + 1, F.concat_ws("-", before + 1, F.col("n") - 1))
 
 
 def missing_provenance(df: DataFrame, key: str, required: list[str], code: str) -> DataFrame:

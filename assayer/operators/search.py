@@ -1,14 +1,14 @@
 """Ranked name search of many queries at once.
 
-Exact hits are an equi-join. Prefix and substring hits are equi-joins too: the pieces of every key
-that have the length of some open query are matched with the queries by equality. So no key meets a
-query it does not contain, and nothing is compared pairwise. Pieces are cut only for the lengths in
-use, and substrings only for queries that still lack results.
+Exact and prefix hits are an equi-join of the beginnings of every key that have the length of some query.
+Substring hits use an index of three-character grams, one row per gram of a key: a query meets only the keys that
+hold its rarest gram, and is then looked up in them. Queries of two characters use grams of two. So rows per key
+grow with its length, and nothing is compared pairwise. Only queries that still lack results are looked up.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer import constants as K
@@ -38,20 +38,47 @@ def _prefixes(entries: DataFrame, keys: DataFrame) -> DataFrame:
     return _with_lengths(entries, keys).withColumn("query_key", F.explode(pieces)).drop("_lengths")
 
 
-def _pieces(entries: DataFrame, keys: DataFrame) -> DataFrame:
-    pieces = F.array_distinct(
-        F.flatten(
-            F.transform(
-                "_lengths",
-                lambda n: F.transform(F.sequence(F.lit(1), F.length("key") - n + 1), lambda i: F.substr("key", i, n)),
-            )
-        )
-    )
-    return _with_lengths(entries, keys).withColumn("query_key", F.explode(pieces)).drop("_lengths")
-
-
+GRAM = 3
 #: Hits of one query that one task may order; an entry is a hit of a query once at most per key.
 HITS_PER_TASK = 250_000
+#: At most so many grams hold more than their part of all rows of the index.
+HEAVY = 1000
+
+
+def _grams(key: Column, size: Column) -> Column:
+    """The distinct runs of ``size`` characters of a key."""
+    at = F.when(F.length(key) >= size, F.sequence(F.lit(1), F.length(key) - size + 1))
+    return F.array_distinct(F.transform(F.coalesce(at, F.array().cast("array<int>")), lambda i: F.substr(key, i, size)))
+
+
+def _candidates(entries: DataFrame, keys: DataFrame) -> DataFrame:
+    """Entries that hold the rarest gram of a query, with ``query_key`` and ``_salt``.
+
+    Grams are counted over all entries first. The rows of a heavy gram are dealt over several tasks by a salt, and its
+    queries are copied once per salt; there are at most HEAVY such grams, so their table is broadcast.
+    """
+    short = F.least(F.length("query_key"), F.lit(GRAM))
+    asked = keys.select("query_key", F.explode(_grams(F.col("query_key"), short)).alias("gram"))
+    sizes = [F.lit(n) for n in (GRAM - 1, GRAM) if n == GRAM or not keys.filter(F.length("query_key") < GRAM).isEmpty()]
+    grams = F.flatten(F.array(*(_grams(F.col("key"), n) for n in sizes)))
+    index = entries.withColumn("gram", F.explode(grams))
+    wanted = asked.select("gram").distinct()
+    counts = materialize(index.join(wanted, "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n")), "gram-counts")
+    part = max(HITS_PER_TASK, (counts.agg(F.sum("n")).first()[0] or 0) // HEAVY)
+    salts = F.ceil(F.col("n") / part).cast("int")
+    rarest = asked.join(counts, "gram", "left").groupBy("query_key").agg(
+        F.min_by(F.struct("gram", "n"), F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("r")
+    )
+    # a gram that no entry holds leaves nothing to find
+    dealt = rarest.select("query_key", "r.*").filter("n is not null").select(
+        "query_key", "gram", F.explode(F.sequence(F.lit(0), salts - 1)).alias("_salt")
+    )
+    heavy = F.broadcast(counts.filter(F.col("n") > part).select("gram", salts.alias("_parts")))
+    salted = index.join(heavy, "gram", "left").withColumn(
+        "_salt", F.pmod(F.xxhash64(entries.columns[0]), F.coalesce("_parts", F.lit(1))).cast("int")
+    )
+    found = salted.drop("_parts").join(dealt, ["gram", "_salt"]).drop("gram")
+    return found.filter(F.contains("key", "query_key"))
 
 
 def _salts(entries: DataFrame) -> int:
@@ -83,20 +110,19 @@ def ranked_hits(keys: DataFrame, entries: DataFrame, order: list[str], k: int) -
     kept = [c for c in entries.columns if c != "key"]
     salts = _salts(entries)
     salt = F.pmod(F.xxhash64(kept[0]), F.lit(salts)).cast("int")
-    entries = entries.withColumn("_salt", salt)
 
-    def best(pieces: DataFrame, queries: DataFrame, rank) -> DataFrame:
-        hits = pieces.join(_salted(queries, salts), ["query_key", "_salt"]).withColumn("rank", rank)
-        hits = hits.groupBy("query_key", "_salt", *kept).agg(F.min("rank").alias("rank"))
-        return _top(hits, ["rank", *order], k)
+    def best(hits: DataFrame, rank) -> DataFrame:
+        ranked = hits.withColumn("rank", rank).groupBy("query_key", "_salt", *kept).agg(F.min("rank").alias("rank"))
+        return _top(ranked, ["rank", *order], k)
 
     exact = F.col("key") == F.col("query_key")
-    top = materialize(best(_prefixes(entries, keys), keys, F.when(exact, 0).otherwise(1)), "prefix-hits")
+    beginnings = _prefixes(entries.withColumn("_salt", salt), keys).join(_salted(keys, salts), ["query_key", "_salt"])
+    top = materialize(best(beginnings, F.when(exact, 0).otherwise(1)), "prefix-hits")
     # queries that are already full need no substring step
     full = top.groupBy("query_key").agg(F.count("*").alias("_n")).filter(F.col("_n") >= k).select("query_key")
     open_keys = materialize(keys.join(full, "query_key", "left_anti"), "open-queries")
     rank = F.when(exact, 0).when(F.startswith("key", "query_key"), 1).otherwise(2)
-    return top.join(full, "query_key", "left_semi").unionByName(best(_pieces(entries, open_keys), open_keys, rank))
+    return top.join(full, "query_key", "left_semi").unionByName(best(_candidates(entries, open_keys), rank))
 
 
 def prefix_search(queries: DataFrame, catalogue: DataFrame) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer import constants as K
-from assayer.session import materialize
 
 
 def session_expiry(events: DataFrame, gap_seconds: int = K.SESSION_GAP_SECONDS) -> DataFrame:
@@ -41,29 +40,45 @@ def recent_sessions(sessions: DataFrame, n: int = K.MAX_SESSIONS) -> DataFrame:
     return sessions.orderBy(F.desc("touched_at"), "session_key", "session_number").limit(n)
 
 
-def revision_conflicts(updates: DataFrame) -> DataFrame:
+def revision_conflicts(updates: DataFrame, ttl_seconds: int = K.SESSION_GAP_SECONDS) -> DataFrame:
     """Which updates were accepted: those that name the session's current revision.
 
-    updates: session_key, update_id, ts, revision (starting at 0). An accepted update raises the
-    revision by one, so revision r is accepted at most once: at its first use after r-1 was accepted.
-    First uses come from a grouped minimum. Uses that came too early are dropped and the minimum is
-    taken again until nothing is dropped, so no session is replayed in one task.
+    updates: session_key, update_id, ts, revision. A session starts at revision 0 and an accepted update raises it by one;
+    every update, accepted or not, keeps the session alive. After more than ``ttl_seconds`` without one the session is
+    gone: the next update of its key belongs to a new one. Updates of equal time are ordered by id.
+
+    One sorted pass: sessions are dealt over tasks, and a task walks over its rows with two numbers of state.
     """
-    at = F.struct("ts", "update_id")
-    open_updates = materialize(updates.select("session_key", "revision", at.alias("at")).filter("revision >= 0"), "updates")
-    while True:
-        firsts = open_updates.groupBy("session_key", "revision").agg(F.min("at").alias("first"))
-        previous = firsts.select("session_key", (F.col("revision") + 1).alias("revision"), F.col("first").alias("_after"))
-        checked = open_updates.join(previous, ["session_key", "revision"], "left").withColumn(
-            "_early", (F.col("revision") > 0) & F.coalesce(F.col("at") <= F.col("_after"), F.lit(True))
-        )
-        if checked.filter("_early").isEmpty():
-            break
-        open_updates = materialize(checked.filter("not _early").select("session_key", "revision", "at"), "updates")
-    accepted = firsts.select("session_key", F.col("first.update_id").alias("update_id"), F.lit(True).alias("_accepted"))
-    return updates.join(accepted, ["session_key", "update_id"], "left").select(
-        "session_key", "update_id", "ts", "revision", F.coalesce("_accepted", F.lit(False)).alias("accepted")
+    key = updates.schema["session_key"].dataType.simpleString()
+    ident = updates.schema["update_id"].dataType.simpleString()
+    ttl = ttl_seconds * 1_000_000
+
+    def follow(batches):
+        import pyarrow as pa
+
+        session, current, touched, begun = None, 0, 0, False
+        for batch in batches:
+            accepted = []
+            columns = (batch.column(c).to_pylist() for c in ("session_key", "_t", "revision"))
+            for owner, at, revision in zip(*columns):
+                if not begun or owner != session or at - touched > ttl:
+                    session, current, begun = owner, 0, True
+                touched = at
+                accepted.append(revision == current)
+                current += accepted[-1]
+            arrays = [batch.column(c) for c in ("session_key", "update_id", "_t", "revision")]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(accepted, pa.bool_())], ["session_key", "update_id", "_t", "revision", "accepted"])
+
+    kind = updates.schema["ts"].dataType
+    rows = updates.select(
+        "session_key", "update_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("_t"), F.col("revision").cast("bigint").alias("revision")
+    )
+    decided = (
+        rows.repartition("session_key")
+        .sortWithinPartitions("session_key", "_t", "update_id")
+        .mapInArrow(follow, f"session_key {key}, update_id {ident}, _t bigint, revision bigint, accepted boolean")
     )
+    return decided.select("session_key", "update_id", F.timestamp_micros("_t").cast(kind).alias("ts"), "revision", "accepted")
 
 
 def attempt_outcomes(attempts: DataFrame) -> DataFrame:

@@ -1,9 +1,9 @@
 """Comparison of the advisory and the controlling rule snapshot.
 
 Rules of both sides meet in one aggregation instead of a join: every rule is tagged with its mapping
-and side, then grouped by (mapping, reference, case label). All aggregates combine map-side, so one
-very common reference does not pile up in a task. After that step a reference has at most one row
-per case label, and labels are single letters or ``parent``.
+and side and numbered within its case by rule id, then grouped by (mapping, reference, case label, number). So
+each group holds at most one rule of a side, also where a snapshot repeats a case, and no group grows with
+a reference. Numbers come from sorted range partitions, so a very common case is spread over tasks.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from assayer import constants as K
 from assayer.functions.text import text_key
+from assayer.operators.ordering import numbered
 from assayer.session import materialize
 
 PROHIBITED_FIELDS = ("substance_name",)
@@ -76,46 +77,41 @@ def group_rules_by_reference(
     fields: tuple[str, ...] = RESTRICTED_FIELDS,
     mappings: dict[str, tuple[str, str]] | None = None,
 ) -> DataFrame:
-    """One row per (mapping, reference, case label) with both sides' count, first rule and fields.
+    """One row per (mapping, reference, case label, case number) with both sides' rule and fields.
 
-    The first rule by id stands for a side. Where a broken snapshot repeats a case, the summed row
-    hashes still compare the whole groups.
+    The rules of a case are numbered by id on each side; the n-th of one side is compared with the n-th of the other.
     """
     tagged = sides(rules, mappings)
     texts = _field_texts(tagged, fields)
+    case = ["regulatory_mapping", "reference_key", "_label"]
     keyed = tagged.select(
-        "regulatory_mapping", "_side", "reference_key", "reference_number", "_label", "rule_id",
+        *case, "_side", "reference_number", "rule_id",
         *[text.alias(f"_v_{name}") for name, text in texts],
         *[text_key(text).alias(f"_k_{name}") for name, text in texts],
     )
+    keyed = numbered(keyed, [*case, "_side"], ["rule_id"], "case_number")
     payload = F.struct(
         "rule_id", "reference_number",
         *[F.col(f"_v_{name}") for name, _ in texts], *[F.col(f"_k_{name}") for name, _ in texts],
     )
-    row_hash = F.xxhash64(*[F.col(f"_k_{name}") for name, _ in texts]).cast("decimal(20,0)")
     aggregates = []
     for side in ("acd", "singapore"):
         here = F.col("_side") == side
-        aggregates += [
-            F.count_if(here).alias(f"{side}_count"),
-            F.min(F.when(here, payload)).alias(f"{side}_first"),
-            F.sum(F.when(here, row_hash)).alias(f"{side}_hash"),
-        ]
-    grouped = keyed.groupBy("regulatory_mapping", "reference_key", "_label").agg(*aggregates)
+        aggregates += [F.count_if(here).alias(f"{side}_count"), F.min(F.when(here, payload)).alias(f"{side}_rule")]
+    grouped = keyed.groupBy(*case, "case_number").agg(*aggregates)
     both = (F.col("acd_count") > 0) & (F.col("singapore_count") > 0)
-    single = (F.col("acd_count") == 1) & (F.col("singapore_count") == 1)
     restricted = F.col("regulatory_mapping").startswith("annex-iii")
     differences = []
     for name, _ in texts:
         compared = F.lit(True) if name in PROHIBITED_FIELDS else restricted
-        unequal = F.col(f"acd_first._k_{name}") != F.col(f"singapore_first._k_{name}")
+        unequal = F.col(f"acd_rule._k_{name}") != F.col(f"singapore_rule._k_{name}")
         differences.append(
             F.when(
                 both & compared & unequal,
                 F.struct(
                     F.lit(name).alias("field"),
-                    F.col(f"acd_first._v_{name}").alias("acd"),
-                    F.col(f"singapore_first._v_{name}").alias("singapore"),
+                    F.col(f"acd_rule._v_{name}").alias("acd"),
+                    F.col(f"singapore_rule._v_{name}").alias("singapore"),
                 ),
             )
         )
@@ -123,15 +119,15 @@ def group_rules_by_reference(
         "regulatory_mapping",
         "reference_key",
         F.col("_label").alias("case_label"),
+        "case_number",
         "acd_count",
         "singapore_count",
-        F.col("acd_first.rule_id").alias("acd_rule_id"),
-        F.col("singapore_first.rule_id").alias("singapore_rule_id"),
-        F.coalesce("acd_first.reference_number", "singapore_first.reference_number").alias("reference_number"),
+        F.col("acd_rule.rule_id").alias("acd_rule_id"),
+        F.col("singapore_rule.rule_id").alias("singapore_rule_id"),
+        F.coalesce("acd_rule.reference_number", "singapore_rule.reference_number").alias("reference_number"),
         F.array_compact(F.array(*differences)).alias("differences"),
-        (both & ~single & (F.col("acd_hash") != F.col("singapore_hash"))).alias("repeated_case_differs"),
-        F.struct(*[F.col(f"acd_first._v_{n}").alias(n) for n, _ in texts]).alias("acd_values"),
-        F.struct(*[F.col(f"singapore_first._v_{n}").alias(n) for n, _ in texts]).alias("singapore_values"),
+        F.struct(*[F.col(f"acd_rule._v_{n}").alias(n) for n, _ in texts]).alias("acd_values"),
+        F.struct(*[F.col(f"singapore_rule._v_{n}").alias(n) for n, _ in texts]).alias("singapore_values"),
     )
 
 
@@ -149,7 +145,7 @@ def compare_snapshots(
         F.sum("acd_count").alias("acd_rules"),
         F.sum("singapore_count").alias("singapore_rules"),
         F.bool_or(F.col("acd_count") != F.col("singapore_count")).alias("_cases_differ"),
-        F.bool_or((F.size("differences") > 0) | F.col("repeated_case_differs")).alias("_fields_differ"),
+        F.bool_or(F.size("differences") > 0).alias("_fields_differ"),
         *[
             F.bool_or(F.array_contains(F.transform("differences", lambda d: d["field"]), name)).alias(f"_differs_{name}")
             for name in fields
@@ -211,16 +207,15 @@ def compare_snapshots(
     )
 
 
-def field_differences(
+def case_differences(
     rules: DataFrame,
     cross_references: DataFrame,
     fields: tuple[str, ...] = RESTRICTED_FIELDS,
     mappings: dict[str, tuple[str, str]] | None = None,
 ) -> DataFrame:
-    """Both originals of every field that makes a reference ``changed``.
+    """Both originals of each case, for every field that makes a reference ``changed``: one row per case and field.
 
-    A side's value lists its cases as ``[label] value``. The list is built from at most one row per
-    label, so it stays short whatever the reference's size.
+    cross_reference_id, field, case_label, case_number, acd_rule_id, singapore_rule_id, acd, singapore, differs.
     """
     cases = group_rules_by_reference(rules, fields, mappings)
     keys = ["regulatory_mapping", "reference_key"]
@@ -232,19 +227,34 @@ def field_differences(
         side: F.coalesce(*[F.when(F.col("field") == n, F.col(f"{side}_values.{n}")) for n in names])
         for side in ("acd", "singapore")
     }
+    return changed.join(cases, keys).select(
+        "cross_reference_id", "field", "case_label", "case_number", "acd_rule_id", "singapore_rule_id",
+        value["acd"].alias("acd"), value["singapore"].alias("singapore"),
+        F.exists("differences", lambda d: d["field"] == F.col("field")).alias("differs"),
+    )
+
+
+def field_differences(
+    rules: DataFrame,
+    cross_references: DataFrame,
+    fields: tuple[str, ...] = RESTRICTED_FIELDS,
+    mappings: dict[str, tuple[str, str]] | None = None,
+) -> DataFrame:
+    """Both originals of every field that makes a reference ``changed``, each as one text for display.
+
+    A side's text lists its cases as ``[label] value``: the rows of ``case_differences``, which stay apart where
+    a reference has very many.
+    """
+    rows = case_differences(rules, cross_references, fields, mappings)
     # the parent entry sorts before lettered cases
     rank = F.when(F.col("case_label") == "parent", "").otherwise(F.col("case_label"))
 
     def listed(side: str) -> Column:
-        line = F.concat(F.lit("["), "case_label", F.lit("] "), value[side])
-        ordered = F.array_sort(F.collect_list(F.struct(rank.alias("rank"), line.alias("line"))))
-        return F.array_join(F.transform(ordered, lambda s: s["line"]), "\n---\n")
+        line = F.concat(F.lit("["), "case_label", F.lit("] "), side)
+        ordered = F.array_sort(F.collect_list(F.struct(rank.alias("rank"), "case_number", line.alias("line"))))
+        return F.array_join(F.transform(ordered, lambda s: s["line"]), "\n---\n").alias(side)
 
-    return (
-        changed.join(cases, keys)
-        .groupBy("cross_reference_id", "field")
-        .agg(listed("acd").alias("acd"), listed("singapore").alias("singapore"))
-    )
+    return rows.groupBy("cross_reference_id", "field").agg(listed("acd"), listed("singapore"))
 
 
 def rename_candidates(
@@ -282,6 +292,23 @@ def rename_candidates(
     )
 
 
+def rename_candidate_rows(
+    headers: DataFrame, rules: DataFrame, mappings: dict[str, tuple[str, str]] | None = None
+) -> DataFrame:
+    """Every candidate of every one-sided reference: (mapping, reference, name, candidate), ``side:reference`` as candidate.
+
+    The full list for reading; its size is that of the answer. ``rename_candidates`` with ``name_references`` holds the
+    same without pairing the references of a very common name.
+    """
+    found = rename_candidates(headers, rules, mappings).select(
+        "regulatory_mapping", "reference_key", "name_key", F.substring_index("first_candidate", ":", 1).alias("_side")
+    )
+    other = name_references(rules, mappings).withColumnRenamed("reference_key", "_other")
+    return found.join(other, ["regulatory_mapping", "_side", "name_key"]).select(
+        "regulatory_mapping", "reference_key", "name_key", F.concat("_side", F.lit(":"), "_other").alias("candidate")
+    )
+
+
 def name_references(rules: DataFrame, mappings: dict[str, tuple[str, str]] | None = None) -> DataFrame:
     """Distinct references of each active name, by mapping and side."""
     return (

@@ -68,15 +68,15 @@ def results(spark, d):
     "group_rules_by_reference",
     oracle(
         "o_sides",
-        """SELECT mapping AS regulatory_mapping, ref AS reference_key, label AS case_label,
-                  count(*) FILTER (WHERE adv) AS acd_count, count(*) FILTER (WHERE NOT adv) AS singapore_count,
+        """n AS (SELECT *, row_number() OVER (PARTITION BY mapping, ref, label, adv ORDER BY rule_id) - 1 AS case_number FROM o_sides)
+           SELECT mapping AS regulatory_mapping, ref AS reference_key, label AS case_label, case_number,
                   min(rule_id) FILTER (WHERE adv) AS acd_rule_id, min(rule_id) FILTER (WHERE NOT adv) AS singapore_rule_id
-           FROM o_sides GROUP BY ALL""",
+           FROM n GROUP BY ALL""",
     ),
 )
 def _(spark, d):
     return xref.group_rules_by_reference(rules(spark, d)).select(
-        "regulatory_mapping", "reference_key", "case_label", "acd_count", "singapore_count", "acd_rule_id", "singapore_rule_id"
+        "regulatory_mapping", "reference_key", "case_label", "case_number", "acd_rule_id", "singapore_rule_id"
     )
 
 
@@ -135,6 +135,58 @@ def _(spark, d):
     return xref.rename_candidates(xref.compare_snapshots(r), r)
 
 
+@register(
+    "rename_candidate_rows",
+    oracle(
+        "o_status",
+        f"""SELECT DISTINCT s.mapping AS regulatory_mapping, s.ref AS reference_key, {fold('n.substance_name')} AS name_key, CASE s.status WHEN 'acd_only' THEN 'singapore:' ELSE 'acd:' END || o.ref AS candidate
+            FROM o_status s JOIN o_sides n ON n.mapping = s.mapping AND n.ref = s.ref
+            JOIN o_sides o ON o.mapping = s.mapping AND {fold('o.substance_name')} = {fold('n.substance_name')} AND o.active AND o.adv = (s.status = 'singapore_only')
+            WHERE s.status IN ('acd_only', 'singapore_only')""",
+    ),
+)
+def _(spark, d):
+    r = rules(spark, d)
+    return xref.rename_candidate_rows(xref.compare_snapshots(r), r)
+
+
+_CASES = f"""n AS (SELECT *, row_number() OVER (PARTITION BY mapping, ref, label, adv, field ORDER BY rule_id) - 1 AS case_number FROM o_values),
+    c AS (SELECT DISTINCT s.xref_id, s.mapping, s.ref, x.field FROM o_status s JOIN o_texts x ON x.mapping = s.mapping AND x.ref = s.ref AND x.adv
+          JOIN o_texts y ON y.mapping = s.mapping AND y.ref = s.ref AND NOT y.adv AND y.field = x.field WHERE s.status = 'changed' AND {fold('x.text')} <> {fold('y.text')})
+    SELECT c.xref_id AS cross_reference_id, c.field, a.label AS case_label, a.case_number, a.rule_id AS acd_rule_id, b.rule_id AS singapore_rule_id, a.value AS acd, b.value AS singapore,
+      {fold('a.value')} <> {fold('b.value')} AS differs
+    FROM c JOIN n a ON a.mapping = c.mapping AND a.ref = c.ref AND a.field = c.field AND a.adv
+    JOIN n b ON b.mapping = c.mapping AND b.ref = c.ref AND b.field = c.field AND NOT b.adv AND b.label = a.label AND b.case_number = a.case_number"""
+
+
+@register("case_differences", oracle("o_status", _CASES))
+def _(spark, d):
+    r = rules(spark, d)
+    return xref.case_differences(r, xref.compare_snapshots(r))
+
+
+def _without_labels(sql: str) -> str:
+    """The SQL over rules whose cases carry no label, so that a reference repeats its parent case."""
+    return sql.replace("coalesce(case_label, 'parent') AS label", "'parent' AS label")
+
+
+def unlabelled(spark, d):
+    return rules(spark, d).withColumn("case_label", F.lit(None).cast("string"))
+
+
+@register("compare_repeated_cases", _without_labels(oracle("o_status", "SELECT xref_id AS cross_reference_id, n_acd AS acd_rules, n_sg AS singapore_rules, status AS comparison_status, CASE WHEN status = 'changed' THEN changed ELSE '' END AS changed_fields FROM o_status")))
+def _(spark, d):
+    return xref.compare_snapshots(unlabelled(spark, d)).select(
+        "cross_reference_id", "acd_rules", "singapore_rules", "comparison_status", F.array_join("changed_fields", ",").alias("changed_fields")
+    )
+
+
+@register("repeated_case_differences", _without_labels(oracle("o_status", _CASES)))
+def _(spark, d):
+    r = unlabelled(spark, d)
+    return xref.case_differences(r, xref.compare_snapshots(r))
+
+
 @register(
     "snapshot_bridge",
     oracle("o_bridge", "SELECT adv_id AS advisory_substance_id, ctl_id AS controlling_substance_id, status AS comparison_status FROM o_bridge"),

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assayer.operators import explain as X
+from assayer.operators import formulation
 from assayer.operators import grid as G
 from assayer.operators import lookup
 from assayer.operators import sessions as T
 from assayer.plans.adapters import ENTITIES, entity, oracle, stage, table
-from assayer.plans.oracle_parts import fold
-from assayer.plans.q_screening import results, rules, snapshot
+from assayer.plans.oracle_parts import cas_ok, fold
+from assayer.plans.q_screening import results, rules, short_ingredients, snapshot
 from assayer.session import materialize, shared_folder
 from assayer.streaming import jobs as W
 
@@ -279,113 +280,297 @@ _QUESTIONS = f"""{_UNCERTAIN}, {_FILES},
         CASE uncertainty_code WHEN 'ingredient_identity' THEN 'identity' WHEN 'missing_concentration_unit' THEN 'unit' ELSE 'non_numeric_concentration' END AS question_type, CAST(row_id AS VARCHAR) AS row_id, 1 AS affected_rows
       FROM u WHERE uncertainty_code <> 'preparation_stage'
       UNION ALL SELECT file_id, 'global:preparation_stage', 'preparation_stage', NULL, count(*) FROM u WHERE uncertainty_code = 'preparation_stage' GROUP BY 1
-      UNION ALL SELECT file_id, 'formulation:product_context', 'product_context', NULL, 0 FROM fc WHERE context_open)"""
+      UNION ALL SELECT file_id, 'formulation:product_context', 'product_context', NULL, 0 FROM fc WHERE context_open
+      UNION ALL SELECT file_id, 'formulation:column_mapping', 'mapping', NULL, 0 FROM fc WHERE file_id % 9 = 0)"""
+
+
+def asked_files(spark, d):
+    """Files with their context; some have no column of names as yet."""
+    return contextual_files(spark, d).withColumn("mapping_open", F.col("file_id") % 9 == 0)
+
+
+def questions(spark, d):
+    return G.open_questions(logical_rows(spark, d)[1], asked_files(spark, d))
 
 
 @register("open_questions", oracle("grid_rows catalogue o_contexts", _QUESTIONS + " SELECT * FROM qs"))
 def _(spark, d):
-    return G.open_questions(logical_rows(spark, d)[1], contextual_files(spark, d))
+    return questions(spark, d)
+
+
+@register(
+    "question_rows",
+    oracle(
+        "grid_rows catalogue",
+        _UNCERTAIN + """ SELECT file_id, CASE uncertainty_code WHEN 'ingredient_identity' THEN 'identity:' || CAST(row_id AS VARCHAR) WHEN 'missing_concentration_unit' THEN 'unit:' || CAST(row_id AS VARCHAR)
+                           WHEN 'concentration_unavailable' THEN 'nonnumeric:' || CAST(row_id AS VARCHAR) ELSE 'global:preparation_stage' END AS question_id, row_id FROM u""",
+    ),
+)
+def _(spark, d):
+    return G.question_rows(logical_rows(spark, d)[1])
+
+
+_FIXED_OPTIONS = """(VALUES ('unit', 0, 'percent', 'percent'), ('unit', 1, 'ppm', 'ppm'), ('unit', 2, 'mg/kg', 'mg/kg'), ('unit', 3, 'leave_unavailable', 'leave_unavailable'),
+      ('non_numeric_concentration', 0, 'leave_unavailable', NULL), ('non_numeric_concentration', 1, 'enter_manually', NULL), ('preparation_stage', 0, 'finished_product', 'finished_product'),
+      ('preparation_stage', 1, 'after_mixing', 'after_mixing'), ('preparation_stage', 2, 'ready_for_use', 'ready_for_use'), ('product_context', 0, 'not_supplied', NULL)) t(question_type, position, option_id, value)"""
+
+
+def column_ids(spark, d):
+    return cells(spark, d).select("file_id", "source_column_index").distinct()
+
+
+@register(
+    "question_options",
+    oracle(
+        "grid_rows catalogue o_contexts",
+        _QUESTIONS + f""" SELECT file_id, question_id, CAST(position AS INT) AS position, option_id, value FROM qs JOIN {_FIXED_OPTIONS} USING (question_type)
+          UNION ALL SELECT file_id, question_id, CAST(c AS INT), 'column:' || c, CAST(c AS VARCHAR) FROM qs, range(0, 5) r(c) WHERE question_type = 'mapping'
+          UNION ALL SELECT file_id, 'identity:' || CAST(row_id AS VARCHAR), 0, 'confirm_candidate', proposed_value FROM u WHERE uncertainty_code = 'ingredient_identity' AND proposed_value IS NOT NULL
+          UNION ALL SELECT file_id, 'identity:' || CAST(row_id AS VARCHAR), CASE WHEN proposed_value IS NULL THEN 0 ELSE 1 END, 'keep_source', source_value FROM u WHERE uncertainty_code = 'ingredient_identity'""",
+    ),
+)
+def _(spark, d):
+    return G.question_options(questions(spark, d), logical_rows(spark, d)[1], column_ids(spark, d))
 
 
 def answers(questions):
-    """Every question gets an answer; a few do not exist or are not offered."""
-    kind = F.col("question_type")
+    """First round: every question gets an answer; some do not exist or are not offered."""
+    kind, file = F.col("question_type"), F.col("file_id")
     option = (
-        F.when(kind == "identity", "keep_source")
-        .when(kind == "unit", F.when(F.col("file_id") > 700, "percent").otherwise("leave_unavailable"))
-        .when(kind == "non_numeric_concentration", F.when(F.col("file_id") > 900, "leave_unavailable").otherwise("enter_manually"))
+        F.when(kind == "identity", F.when(file % 4 == 0, "confirm_candidate").otherwise("keep_source"))
+        .when(kind == "unit", F.when(file > 700, "percent").otherwise("leave_unavailable"))
+        .when(kind == "non_numeric_concentration", F.when(file > 900, "leave_unavailable").otherwise("enter_manually"))
         .when(kind == "preparation_stage", F.when(F.col("affected_rows") > 3, "rinse_off").otherwise("finished_product"))
-        .otherwise(F.when(F.col("file_id") > 500, "not_supplied").otherwise("context:1"))
+        .when(kind == "mapping", "column:4")
+        .otherwise(F.when(file > 500, "not_supplied").otherwise("context:1"))
     )
     given = questions.select("file_id", F.when(F.col("affected_rows") == 2, "global:unknown").otherwise(F.col("question_id")).alias("question_id"), option.alias("option_id"))
     manual = F.col("option_id") == "enter_manually"
     return given.select(
-        "*", F.when(manual, 0.5).alias("value"), F.when(manual, "percent").alias("unit"), F.when(manual, "ready_for_use").alias("stage")
+        "*", F.lit(1).alias("revision"), F.when(manual, 0.5).alias("value"), F.when(manual, "percent").alias("unit"),
+        F.when(manual, F.when(file % 7 == 0, "tin").otherwise("zinc")).alias("basis"), F.when(manual, "ready_for_use").alias("stage"),
     )
 
 
 _ANSWERS = f"""{_QUESTIONS},
-    an AS (SELECT file_id, CASE WHEN affected_rows = 2 THEN 'global:unknown' ELSE question_id END AS question_id, question_type, affected_rows,
-        CASE question_type WHEN 'identity' THEN 'keep_source' WHEN 'unit' THEN CASE WHEN file_id > 700 THEN 'percent' ELSE 'leave_unavailable' END
+    an AS (SELECT file_id, CASE WHEN affected_rows = 2 THEN 'global:unknown' ELSE question_id END AS question_id, question_type, affected_rows, row_id,
+        CASE question_type WHEN 'identity' THEN CASE WHEN file_id % 4 = 0 THEN 'confirm_candidate' ELSE 'keep_source' END
+          WHEN 'unit' THEN CASE WHEN file_id > 700 THEN 'percent' ELSE 'leave_unavailable' END
           WHEN 'non_numeric_concentration' THEN CASE WHEN file_id > 900 THEN 'leave_unavailable' ELSE 'enter_manually' END
           WHEN 'preparation_stage' THEN CASE WHEN affected_rows > 3 THEN 'rinse_off' ELSE 'finished_product' END
+          WHEN 'mapping' THEN 'column:4'
           ELSE CASE WHEN file_id > 500 THEN 'not_supplied' ELSE 'context:1' END END AS option_id FROM qs)"""
 
 
-def confirmation(spark, d):
-    uncertainties = logical_rows(spark, d)[1]
-    contexts = lookup.context_options(lookup.product_contexts(rules(spark, d)))
-    questions = G.open_questions(uncertainties, contextual_files(spark, d))
-    return questions, answers(questions), G.question_options(questions, uncertainties, contexts), contexts
-
-
 @register(
     "reject_answers",
     oracle(
         "grid_rows catalogue o_contexts",
-        _ANSWERS + """ SELECT file_id, question_id, option_id, CASE WHEN question_id = 'global:unknown' THEN 'unknown_question' ELSE 'unsupported_option' END AS code FROM an
-                       WHERE question_id = 'global:unknown' OR option_id = 'rinse_off'""",
+        _ANSWERS + """ SELECT an.file_id, an.question_id, an.option_id, CASE WHEN an.question_id = 'global:unknown' THEN 'unknown_question' ELSE 'unsupported_option' END AS code
+                       FROM an LEFT JOIN u ON u.file_id = an.file_id AND CAST(u.row_id AS VARCHAR) = an.row_id AND u.uncertainty_code = 'ingredient_identity'
+                       WHERE an.question_id = 'global:unknown' OR an.option_id = 'rinse_off' OR (an.option_id = 'confirm_candidate' AND u.proposed_value IS NULL)""",
     ),
 )
 def _(spark, d):
-    questions, given, options, contexts = confirmation(spark, d)
-    return G.reject_answers(given, questions, options, contexts)
+    asked = questions(spark, d)
+    options = G.question_options(asked, logical_rows(spark, d)[1], column_ids(spark, d))
+    return G.reject_answers(answers(asked), asked, options, context_options(spark, d))
+
+
+def context_options(spark, d):
+    return lookup.context_options(lookup.product_contexts(rules(spark, d)))
 
 
 def edits(spark, d):
-    """Two edits of every row called blue; the later one counts."""
-    rows = grid_rows(spark, d).filter(F.trim("name_cell").startswith("blue"))
-    numbered = rows.select("file_id", "row_id", "source_row", F.explode(F.array(F.lit(1), F.lit(2))).alias("edit_number"))
-    later = F.col("edit_number") == 2
+    """Edits before (0) and after (2, 3) the answers of round 1, naming and dosing in different ones."""
+    rows = grid_rows(spark, d)
+    blue, old = F.trim("name_cell").startswith("blue"), F.trim("name_cell").startswith("old")
+    numbered = rows.filter(blue | old).select(
+        "file_id", "row_id", "source_row", blue.alias("blue"), F.explode(F.array(F.lit(0), F.lit(2), F.lit(3))).alias("edit_number")
+    ).filter("blue or edit_number = 0")
+    at, line = F.col("edit_number"), F.col("source_row")
+    dosed = (at == 2) & (line > 3)
     return numbered.select(
-        "file_id", "row_id", "edit_number", F.when(later, " AQUA ").otherwise("WATER").alias("name"),
-        F.when(later & (F.col("source_row") > 3), 2.5).alias("value"), F.when(later & (F.col("source_row") > 3), "ppm").alias("unit"),
-        F.lit(None).cast("string").alias("preparation_stage"),
+        "file_id", "row_id", "edit_number",
+        F.when(at == 0, "WATER").when((at == 3) & (line > 4), " AQUA ").alias("name"),
+        F.when((at == 2) & (line == 2), "").when((at == 2) & (line == 4), "7732-18-5").alias("cas_number"),
+        F.when(dosed, 2.5).alias("value"), F.when(dosed & (line != 5), "ppm").alias("unit"), F.when(dosed, "zinc").alias("basis"),
+        F.lit(None).cast("string").alias("preparation_stage"), ((at == 2) & (line == 3)).alias("remove_amount"),
     )
 
 
-_APPLIED = f"""{_ANSWERS},
-    ok AS (SELECT * FROM an WHERE question_id <> 'global:unknown' AND option_id <> 'rinse_off'),
-    w AS (SELECT n.*, m.* EXCLUDE (file_id, row_id), g.source_row, starts_with(trim(g.name_cell), 'blue') AS blue, starts_with(trim(g.name_cell), 'blue') AND g.source_row > 3 AS amt,
-        EXISTS (SELECT 1 FROM ok o WHERE o.file_id = n.file_id AND o.question_id = 'identity:' || CAST(n.row_id AS VARCHAR)) AS kept,
-        (SELECT option_id FROM ok o WHERE o.file_id = n.file_id AND o.question_id = 'unit:' || CAST(n.row_id AS VARCHAR)) AS ua,
-        (SELECT option_id FROM ok o WHERE o.file_id = n.file_id AND o.question_id = 'nonnumeric:' || CAST(n.row_id AS VARCHAR)) AS aa,
-        (SELECT option_id FROM ok o WHERE o.file_id = n.file_id AND o.question_id = 'global:preparation_stage') AS sa
-      FROM n JOIN m ON m.file_id = n.file_id AND m.row_id = n.row_id JOIN grid_rows g ON g.file_id = n.file_id AND g.row_id = n.row_id),
-    v AS (SELECT *, coalesce(ua = 'leave_unavailable', false) OR coalesce(aa = 'leave_unavailable', false) AS dropped, coalesce(aa = 'enter_manually', false) AS manual,
-        CASE WHEN blue THEN 'AQUA' WHEN kept THEN source_name ELSE name END AS new_name FROM w),
-    z AS (SELECT v.file_id, v.row_id, new_name AS name,
-        CASE WHEN amt THEN 2.5 WHEN manual THEN 0.5 WHEN NOT dropped THEN value END AS value,
-        CASE WHEN amt THEN 'ppm' WHEN manual THEN 'percent' WHEN NOT dropped THEN coalesce(ua, unit) END AS unit,
-        CASE WHEN amt THEN NULL WHEN manual THEN 'ready_for_use' WHEN NOT dropped AND value IS NOT NULL THEN coalesce(preparation_stage, sa) END AS preparation_stage,
-        CASE WHEN blue OR kept THEN CASE WHEN c.ingredient_id IS NOT NULL THEN 'confirmed' ELSE 'unresolved' END ELSE identity_status END AS identity_status,
-        CASE WHEN blue THEN c.ingredient_id IS NULL WHEN kept THEN false ELSE identity_status = 'needs_confirmation' END AS identity_open,
-        unavailable_text IS NOT NULL AND aa IS NULL AND NOT amt AS amount_open
-      FROM v LEFT JOIN catalogue c ON c.search_name = lower(regexp_replace(new_name, '\\s+', ' ', 'g')))"""
+def rounds(spark, d):
+    """(answers, options, files) of two rounds; the second asks what the first and the edits left open."""
+
+    def build():
+        rows, uncertainties = logical_rows(spark, d)
+        asked = materialize(questions(spark, d), "questions-1")
+        options = materialize(G.question_options(asked, uncertainties, column_ids(spark, d)).withColumn("revision", F.lit(1)), "options-1")
+        given = answers(asked)
+        files = materialize(G.confirm_contexts(contextual_files(spark, d), given, context_options(spark, d)), "confirmed-files")
+        after = replayed(spark, d, given, options)
+        points = materialize(G.remaining_points(after), "remaining-points")
+        again = materialize(G.open_questions(points, files), "questions-2")
+        more = materialize(G.question_options(again, points).withColumn("revision", F.lit(4)), "options-2")
+        kind, file = F.col("question_type"), F.col("file_id")
+        option = (
+            F.when((kind == "preparation_stage") & (file % 3 == 0), "ready_for_use")
+            .when((kind == "identity") & (file % 2 == 0), "confirm_entered")
+            .when((kind == "unit") & (file % 5 == 0), "percent")
+        )
+        text = F.lit(None).cast("string")
+        second = again.select(
+            "file_id", "question_id", option.alias("option_id"), F.lit(4).alias("revision"), F.lit(None).cast("double").alias("value"),
+            text.alias("unit"), text.alias("basis"), text.alias("stage"),
+        ).filter("option_id is not null")
+        return given.unionByName(second), options.unionByName(more), files, again, more, points
+
+    return stage(spark, d, "answer-rounds", build)
+
+
+def replayed(spark, d, given, options):
+    rows = logical_rows(spark, d)[0]
+    return G.apply_answers(rows, given, options, edits(spark, d), entity(spark, d, "catalogue"), cells(spark, d), row_sources(spark, d))
+
+
+# The SQL follows the rounds one after the other; the operator takes the last value of each field.
+def _found(name: str) -> str:
+    return f"lower(regexp_replace({name}, '\\s+', ' ', 'g'))"
+
+
+_S_FIRST = f"""{_ANSWERS},
+    g0 AS (SELECT file_id, row_id, source_row, note_cell, starts_with(trim(name_cell), 'blue') AS blue, starts_with(trim(name_cell), 'old') AS old FROM grid_rows),
+    stg AS (SELECT file_id, affected_rows AS stage_rows FROM qs WHERE question_type = 'preparation_stage'),
+    s0 AS (SELECT n.*, m.* EXCLUDE (file_id, row_id), g0.* EXCLUDE (file_id, row_id), stage_rows, candidate_name AS cand0, source_name AS src0,
+        identity_status = 'needs_confirmation' AS q_name, coalesce(unit_method = 'unit_unresolved', false) AS q_unit, unavailable_text IS NOT NULL AS q_amount, value IS NOT NULL AND preparation_stage IS NULL AS q_stage
+      FROM n JOIN m ON m.file_id = n.file_id AND m.row_id = n.row_id JOIN g0 ON g0.file_id = n.file_id AND g0.row_id = n.row_id LEFT JOIN stg ON stg.file_id = n.file_id),
+    e0 AS (SELECT s0.* REPLACE (CASE WHEN blue OR old THEN 'WATER' ELSE name END AS name, CASE WHEN blue OR old THEN 'user_edited' ELSE interpretation_method END AS interpretation_method,
+        CASE WHEN blue OR old THEN NULL ELSE candidate_name END AS candidate_name, CASE WHEN blue OR old THEN c.ingredient_id ELSE catalogue_ingredient_id END AS catalogue_ingredient_id,
+        CASE WHEN blue OR old THEN CASE WHEN c.ingredient_id IS NULL THEN 'unresolved' ELSE 'confirmed' END ELSE identity_status END AS identity_status), q_unit AS unit_open, q_amount AS amount_open, q_stage AS stage_open,
+        CASE WHEN blue OR old THEN c.ingredient_id IS NULL ELSE q_name END AS identity_open, src0 AS identity_source
+      FROM s0 LEFT JOIN catalogue c ON c.search_name = 'water'),
+    a1m AS (SELECT e0.* REPLACE (CASE WHEN file_id % 9 = 0 THEN note_cell ELSE source_name END AS source_name, CASE WHEN file_id % 9 = 0 THEN coalesce(c.canonical_name, note_cell) ELSE name END AS name,
+        CASE WHEN file_id % 9 = 0 THEN 'user_confirmed_mapping' ELSE interpretation_method END AS interpretation_method, CASE WHEN file_id % 9 = 0 THEN c.ingredient_id ELSE catalogue_ingredient_id END AS catalogue_ingredient_id,
+        CASE WHEN file_id % 9 = 0 THEN CASE WHEN c.ingredient_id IS NULL THEN 'unresolved' ELSE 'confirmed' END ELSE identity_status END AS identity_status,
+        identity_open AS identity_open)
+      FROM e0 LEFT JOIN catalogue c ON c.search_name = {_found("note_cell")}),
+    a1n AS (SELECT *, q_name AND (file_id % 4 <> 0 OR cand0 IS NOT NULL) AS named, CASE WHEN file_id % 4 = 0 THEN cand0 ELSE src0 END AS chosen,
+        q_unit AND file_id <= 700 AS unit_left, q_amount AND file_id <= 900 AS manual, q_amount AND file_id > 900 AS amount_left FROM a1m),
+    a1u AS (SELECT a1n.* REPLACE (CASE WHEN named THEN chosen ELSE name END AS name, CASE WHEN named THEN CASE WHEN file_id % 4 = 0 THEN 'user_confirmed_identity' ELSE 'user_kept_source_value' END ELSE interpretation_method END AS interpretation_method,
+        CASE WHEN named THEN c.ingredient_id ELSE catalogue_ingredient_id END AS catalogue_ingredient_id, CASE WHEN named THEN CASE WHEN c.ingredient_id IS NULL THEN 'unresolved' ELSE 'confirmed' END ELSE identity_status END AS identity_status,
+        identity_open AND NOT named AS identity_open, CASE WHEN manual THEN 0.5 WHEN NOT unit_left AND NOT amount_left THEN value END AS value,
+        CASE WHEN manual THEN 'percent' WHEN NOT unit_left AND NOT amount_left THEN CASE WHEN q_unit THEN 'percent' ELSE unit END END AS unit,
+        CASE WHEN manual THEN CASE WHEN file_id % 7 = 0 THEN 'tin' ELSE 'zinc' END WHEN NOT unit_left AND NOT amount_left THEN basis END AS basis,
+        CASE WHEN manual THEN 'ready_for_use' WHEN NOT unit_left AND NOT amount_left THEN preparation_stage END AS preparation_stage,
+        false AS unit_open, false AS amount_open, stage_open AND NOT unit_left AS stage_open)
+      FROM a1n LEFT JOIN catalogue c ON c.search_name = {_found("chosen")}),
+    a1 AS (SELECT a1u.* REPLACE (CASE WHEN staged AND value IS NOT NULL THEN coalesce(preparation_stage, 'finished_product') ELSE preparation_stage END AS preparation_stage,
+        stage_open AND NOT (staged AND value IS NOT NULL) AS stage_open) FROM (SELECT *, coalesce(stage_rows <= 3 AND stage_rows <> 2, false) AS staged FROM a1u) a1u),
+    e2 AS (SELECT a1.* REPLACE (CASE WHEN dosed THEN 2.5 WHEN NOT removed THEN value END AS value, CASE WHEN dosed THEN CASE WHEN source_row <> 5 THEN 'ppm' END WHEN NOT removed THEN unit END AS unit,
+        CASE WHEN dosed THEN 'zinc' WHEN NOT removed THEN basis END AS basis, CASE WHEN NOT dosed AND NOT removed THEN preparation_stage END AS preparation_stage,
+        CASE WHEN dosed THEN source_row = 5 ELSE unit_open END AS unit_open, NOT dosed AND amount_open AS amount_open, dosed OR stage_open AS stage_open,
+        CASE WHEN dosed THEN '2.5' ELSE amount_text END AS amount_text,
+        CASE WHEN blue AND source_row = 2 THEN NULL WHEN blue AND source_row = 4 THEN '7732-18-5' ELSE cas_number END AS cas_number)
+      FROM (SELECT *, blue AND source_row > 3 AS dosed, blue AND source_row = 3 AS removed FROM a1) a1),
+    e3 AS (SELECT e2.* REPLACE (CASE WHEN named3 THEN 'AQUA' ELSE name END AS name, CASE WHEN named3 THEN 'user_edited' ELSE interpretation_method END AS interpretation_method,
+        CASE WHEN named3 THEN c.ingredient_id ELSE catalogue_ingredient_id END AS catalogue_ingredient_id, CASE WHEN named3 THEN CASE WHEN c.ingredient_id IS NULL THEN 'unresolved' ELSE 'confirmed' END ELSE identity_status END AS identity_status,
+        CASE WHEN named3 THEN c.ingredient_id IS NULL ELSE identity_open END AS identity_open, CASE WHEN named3 THEN source_name ELSE identity_source END AS identity_source)
+      FROM (SELECT *, blue AND source_row > 4 AS named3 FROM e2) e2 LEFT JOIN catalogue c ON c.search_name = 'aqua')"""
+
+_APPLIED = f"""{_S_FIRST},
+    a4n AS (SELECT *, identity_open AND file_id % 2 = 0 AND {_found("name")} <> {_found("identity_source")} AND {_found("name")} <> coalesce({_found("candidate_name")}, '') AS entered FROM e3),
+    z AS (SELECT a4n.file_id, a4n.row_id, source_name, CASE WHEN entered THEN trim(name) ELSE name END AS name, CASE WHEN entered THEN 'user_confirmed_entered_identity' ELSE interpretation_method END AS interpretation_method,
+        CASE WHEN entered THEN c.ingredient_id ELSE catalogue_ingredient_id END AS catalogue_ingredient_id,
+        CASE WHEN entered THEN CASE WHEN c.ingredient_id IS NULL THEN 'unresolved' ELSE 'confirmed' END ELSE identity_status END AS identity_status,
+        identity_open AND NOT entered AS identity_open, identity_source, candidate_name, cas_number, value,
+        CASE WHEN unit_open AND file_id % 5 = 0 AND value IS NOT NULL THEN 'percent' ELSE unit END AS unit, basis,
+        CASE WHEN stage_open AND file_id % 3 = 0 AND value IS NOT NULL THEN coalesce(preparation_stage, 'ready_for_use') ELSE preparation_stage END AS preparation_stage,
+        CASE WHEN unit_open AND file_id % 5 <> 0 THEN amount_text END AS amount_text, unit_open AND file_id % 5 <> 0 AS unit_open, amount_open,
+        stage_open AND NOT (file_id % 3 = 0 AND value IS NOT NULL) AS stage_open, unavailable_text
+      FROM a4n LEFT JOIN catalogue c ON c.search_name = {_found("name")})"""
+
+_CONFIRMED = """fz AS (SELECT fc.file_id, fc.context_text, CASE WHEN NOT context_open THEN fc.product_context WHEN fc.file_id <= 500 THEN o.product_context END AS product_context,
+        CASE WHEN NOT context_open THEN fc.interpretation_method WHEN fc.file_id <= 500 AND o.product_context IS NOT NULL THEN 'user_confirmed_product_context'
+             WHEN fc.file_id > 500 THEN 'user_confirmed_context_unavailable' ELSE fc.interpretation_method END AS interpretation_method,
+        context_open AND fc.file_id <= 500 AND o.product_context IS NULL AS context_open
+      FROM fc LEFT JOIN (SELECT product_context FROM o_contexts ORDER BY lower(product_context) LIMIT 1 OFFSET 1) o ON true)"""
+
+
+@register("confirm_contexts", oracle("grid_rows o_contexts", f"{_FILES}, {_CONFIRMED} SELECT * FROM fz"))
+def _(spark, d):
+    return rounds(spark, d)[2]
+
+
+@register(
+    "remap_columns",
+    oracle(
+        "grid_rows",
+        """f AS (SELECT DISTINCT file_id FROM grid_rows), t AS (SELECT * FROM (VALUES (0, 'ingredient_name'), (1, 'concentration'), (2, 'cas_number'), (3, 'preparation_stage')) t(c, mapped_field))
+           SELECT file_id, CAST(c AS INT) AS source_column_index, CASE WHEN file_id % 9 = 0 AND c = 0 THEN 'ignore' ELSE mapped_field END AS mapped_field FROM f, t
+           UNION ALL SELECT file_id, 4, 'ingredient_name' FROM f WHERE file_id % 9 = 0""",
+    ),
+)
+def _(spark, d):
+    given, options = rounds(spark, d)[:2]
+    return G.remap_columns(mappings(spark, d), given, options)
+
+
+_AGAIN = f"""{_S_FIRST}, {_CONFIRMED},
+    u2 AS (SELECT file_id, row_id, unnest(list_filter([CASE WHEN identity_open THEN 'ingredient_identity' END, CASE WHEN unit_open THEN 'missing_concentration_unit' END,
+        CASE WHEN amount_open THEN 'concentration_unavailable' END, CASE WHEN stage_open THEN 'preparation_stage' END], lambda x: x IS NOT NULL)) AS uncertainty_code,
+        identity_source, candidate_name, amount_text, name FROM e3),
+    q2 AS (SELECT file_id, CASE uncertainty_code WHEN 'ingredient_identity' THEN 'identity:' WHEN 'missing_concentration_unit' THEN 'unit:' ELSE 'nonnumeric:' END || CAST(row_id AS VARCHAR) AS question_id,
+        CASE uncertainty_code WHEN 'ingredient_identity' THEN 'identity' WHEN 'missing_concentration_unit' THEN 'unit' ELSE 'non_numeric_concentration' END AS question_type, CAST(row_id AS VARCHAR) AS row_id, 1 AS affected_rows
+      FROM u2 WHERE uncertainty_code <> 'preparation_stage'
+      UNION ALL SELECT file_id, 'global:preparation_stage', 'preparation_stage', NULL, count(*) FROM u2 WHERE uncertainty_code = 'preparation_stage' GROUP BY 1
+      UNION ALL SELECT file_id, 'formulation:product_context', 'product_context', NULL, 0 FROM fz WHERE context_open)"""
+
+
+@register("remaining_questions", oracle("grid_rows catalogue o_contexts", _AGAIN + " SELECT * FROM q2"))
+def _(spark, d):
+    return rounds(spark, d)[3]
+
+
+@register(
+    "remaining_options",
+    oracle(
+        "grid_rows catalogue o_contexts",
+        _AGAIN + f""", named AS (SELECT *, {_found("name")} <> {_found("identity_source")} AND {_found("name")} <> coalesce({_found("candidate_name")}, '') AS entered FROM u2 WHERE uncertainty_code = 'ingredient_identity'),
+          listed AS (SELECT file_id, row_id, list_filter([CASE WHEN entered THEN struct_pack(o := 'confirm_entered', v := trim(name)) END, CASE WHEN candidate_name IS NOT NULL THEN struct_pack(o := 'confirm_candidate', v := candidate_name) END,
+            struct_pack(o := 'keep_source', v := identity_source)], lambda x: x IS NOT NULL) AS options FROM named)
+          SELECT file_id, question_id, CAST(position AS INT) AS position, option_id, value FROM q2 JOIN {_FIXED_OPTIONS} USING (question_type)
+          UNION ALL SELECT file_id, 'identity:' || CAST(row_id AS VARCHAR), CAST(i - 1 AS INT), options[i].o, options[i].v FROM (SELECT *, unnest(range(1, len(options) + 1)) AS i FROM listed)""",
+    ),
+)
+def _(spark, d):
+    return rounds(spark, d)[4].drop("revision")
 
 
 def applied(spark, d):
-    _, given, options, _ = confirmation(spark, d)
-    return G.apply_answers(logical_rows(spark, d)[0], given, options, edits(spark, d), entity(spark, d, "catalogue"))
+    given, options = rounds(spark, d)[:2]
+    return replayed(spark, d, given, options)
 
 
-@register("apply_answers", oracle("grid_rows catalogue o_contexts", _APPLIED + " SELECT file_id, row_id, name, value, unit, preparation_stage, identity_status, identity_open FROM z"))
+@register("apply_answers", oracle("grid_rows catalogue o_contexts", _APPLIED + " SELECT * FROM z"))
 def _(spark, d):
-    return applied(spark, d).select("file_id", "row_id", "name", "value", "unit", "preparation_stage", "identity_status", "identity_open")
+    return applied(spark, d)
 
 
-_BLOCKED = f"""{_APPLIED},
-    bl AS (SELECT file_id, CAST(row_id AS VARCHAR) AS row_id, unnest(list_filter([CASE WHEN identity_open THEN 'ingredient identity' END, CASE WHEN value IS NOT NULL AND unit IS NULL THEN 'concentration unit' END,
-        CASE WHEN amount_open THEN 'concentration unavailable' END, CASE WHEN value IS NOT NULL AND preparation_stage IS NULL THEN 'preparation stage' END], lambda x: x IS NOT NULL)) AS open_point FROM z
-      UNION ALL SELECT file_id, NULL, 'Product context' FROM fc WHERE product_context IS NULL AND interpretation_method = 'product_context_requires_confirmation')"""
+_BLOCKED = f"""{_APPLIED}, {_CONFIRMED},
+    bl AS (SELECT file_id, CAST(row_id AS VARCHAR) AS row_id, unnest(list_filter([CASE WHEN identity_open THEN 'ingredient identity' END, CASE WHEN unit_open THEN 'concentration unit' END,
+        CASE WHEN amount_open THEN 'concentration unavailable' END, CASE WHEN stage_open THEN 'preparation stage' END], lambda x: x IS NOT NULL)) AS open_point FROM z
+      UNION ALL SELECT file_id, NULL, 'Product context' FROM fz WHERE context_open),
+    ready AS (SELECT z.*, fz.product_context FROM z JOIN fz ON fz.file_id = z.file_id WHERE z.file_id NOT IN (SELECT file_id FROM bl)),
+    rej AS (SELECT file_id AS formulation_id, row_id AS row_number, unnest(list_filter([CASE WHEN trim(coalesce(name, '')) = '' THEN 'blank_name' END,
+        CASE WHEN cas_number IS NOT NULL AND NOT (regexp_full_match(cas_number, '[0-9]{{2,7}}-[0-9]{{2}}-[0-9]') AND {cas_ok('cas_number')}) THEN 'invalid_cas_number' END, CASE WHEN value > 100 AND unit = 'percent' THEN 'percent_above_100' END,
+        CASE WHEN value IS NOT NULL AND coalesce(unit, '') NOT IN ('percent', 'mg/kg', 'ppm') THEN 'unknown_unit' END,
+        CASE WHEN value IS NOT NULL AND basis NOT IN ('NH3', 'free base', 'zinc', 'sulphate', 'hydrochloride', 'tetrahydrochloride') THEN 'unknown_basis' END,
+        CASE WHEN value IS NOT NULL AND coalesce(preparation_stage, '') NOT IN ('finished_product', 'after_mixing', 'ready_for_use') THEN 'unknown_preparation_stage' END], lambda x: x IS NOT NULL)) AS code FROM ready)"""
 
 
 def prepared(spark, d):
-    """Files whose source names no context go on without one."""
-    confirmed = contextual_files(spark, d).withColumn(
-        "context_open", F.col("interpretation_method") == "product_context_requires_confirmation"
-    )
-    return G.prepare_formulations(applied(spark, d), confirmed)
+    contexts = lookup.product_contexts(rules(spark, d))
+    return stage(spark, d, "prepared", lambda: G.prepare_formulations(materialize(applied(spark, d), "applied-rows"), rounds(spark, d)[2], contexts))
 
 
 @register("blocked_formulations", oracle("grid_rows catalogue o_contexts", _BLOCKED + " SELECT * FROM bl"))
@@ -397,13 +582,17 @@ def _(spark, d):
     "prepare_formulations",
     oracle(
         "grid_rows catalogue o_contexts",
-        _BLOCKED + """ SELECT z.file_id AS formulation_id, z.row_id AS row_number, z.name, fc.product_context, z.value, z.unit, z.preparation_stage
-                       FROM z JOIN fc ON fc.file_id = z.file_id WHERE z.file_id NOT IN (SELECT file_id FROM bl)""",
+        _BLOCKED + """ SELECT file_id AS formulation_id, row_id AS row_number, name, cas_number, product_context, value, unit, CASE WHEN value IS NOT NULL THEN basis END AS basis, preparation_stage
+                       FROM ready WHERE file_id NOT IN (SELECT formulation_id FROM rej)""",
     ),
 )
 def _(spark, d):
-    ready = prepared(spark, d)[0]
-    return ready.select("formulation_id", "row_number", "name", "product_context", "concentration.value", "concentration.unit", "concentration.preparation_stage")
+    return prepared(spark, d)[0].select("formulation_id", "row_number", "name", "cas_number", "product_context", "concentration.*")
+
+
+@register("prepared_rejects", oracle("grid_rows catalogue o_contexts", _BLOCKED + " SELECT * FROM rej"))
+def _(spark, d):
+    return prepared(spark, d)[2]
 
 
 def attempts(spark, d):
@@ -572,9 +761,11 @@ def updates(spark, d):
     )
 
 
-_REVISIONS = """WITH RECURSIVE u AS (SELECT user_id, event_id, ts, CAST(floor(value / 20) AS BIGINT) AS rev FROM events),
-    c AS (SELECT user_id, 0 AS rev, min((ts, event_id)) AS at_ FROM u WHERE rev = 0 GROUP BY 1
-      UNION ALL SELECT c.user_id, c.rev + 1, (SELECT min((u.ts, u.event_id)) FROM u WHERE u.user_id = c.user_id AND u.rev = c.rev + 1 AND (u.ts, u.event_id) > c.at_) FROM c
+_REVISIONS = """WITH RECURSIVE e AS (SELECT user_id, event_id, ts, CAST(floor(value / 20) AS BIGINT) AS rev,
+        CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 3600 SECOND THEN 0 ELSE 1 END AS fresh FROM events),
+    u AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM e),
+    c AS (SELECT user_id, n, 0 AS rev, min((ts, event_id)) AS at_ FROM u WHERE rev = 0 GROUP BY 1, 2
+      UNION ALL SELECT c.user_id, c.n, c.rev + 1, (SELECT min((u.ts, u.event_id)) FROM u WHERE u.user_id = c.user_id AND u.n = c.n AND u.rev = c.rev + 1 AND (u.ts, u.event_id) > c.at_) FROM c
         WHERE c.at_ IS NOT NULL AND c.rev < 40),
     k AS (SELECT user_id, at_[2] AS event_id FROM c WHERE at_ IS NOT NULL)"""
 
@@ -652,21 +843,59 @@ def _(spark, d):
     )
 
 
+def _in_batches(spark, rows, walk, parts: int = 4):
+    """Rows that arrive in ``parts`` deliveries by their time, each processed on its own; the state lives in the checkpoint."""
+    folder = shared_folder(spark, "stream")
+    low, high = rows.agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first()
+    part = F.floor((F.unix_micros("ts") - low) * parts / (high - low + 1))
+    rows.withColumn("delivery", part).write.partitionBy("delivery").parquet(f"{folder}/dealt")
+    for i in range(parts):
+        spark.read.schema(rows.schema).parquet(f"{folder}/dealt/delivery={i}").write.parquet(f"{folder}/in/b={i}")
+        stream = walk(spark.readStream.schema(rows.schema).parquet(f"{folder}/in/b=*"))
+        W.run_available(stream, f"{folder}/out", f"{folder}/checkpoint")
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+#: The last rows, which the watermark has not passed, are decided when later ones come.
+_PASSED = "ts <= date_trunc('milliseconds', (SELECT max(ts) FROM {})) - INTERVAL 10 MINUTE"
+
+
 @register(
     "stream_revisions",
-    f"{_REVISIONS} SELECT u.user_id AS session_key, u.event_id AS update_id, u.rev AS revision, k.event_id IS NOT NULL AS accepted FROM u LEFT JOIN k ON k.user_id = u.user_id AND k.event_id = u.event_id",
+    f"{_REVISIONS} SELECT u.user_id AS session_key, u.event_id AS update_id, u.rev AS revision, k.event_id IS NOT NULL AS accepted FROM u LEFT JOIN k ON k.user_id = u.user_id AND k.event_id = u.event_id WHERE {_PASSED.format('events')}",
 )
 def _(spark, d):
-    events = stream_of(spark, d, "events").select(
-        F.col("user_id").alias("session_key"), F.col("event_id").alias("update_id"), "ts", F.floor(F.col("value") / 20).cast("bigint").alias("revision")
-    )
-    return _streamed(spark, W.stream_revisions(events))
+    rows = updates(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    return stage(spark, d, "stream-revisions", lambda: _in_batches(spark, rows, W.stream_revisions))
 
 
-@register("stream_duplicates", "SELECT DISTINCT user_id, event_type FROM events")
+_REPEATS = """r AS (SELECT formulation_id, row_number, lower(regexp_extract(coalesce(name, ''), '(?i)(bolt|gear|ring|rod|widget|plate|anvil|gizmo)', 1)) AS k, value, unit, basis, preparation_stage,
+        TIMESTAMP '1995-01-01' + to_seconds(formulation_id * 60 + CAST(floor(row_number / 1000000000000) AS BIGINT) * 350) AS ts FROM ingredients),
+    s AS (SELECT *, dense_rank() OVER (ORDER BY formulation_id, k, value, unit, basis, preparation_stage) AS sig FROM r),
+    f AS (SELECT sig, min((ts, row_number)) AS at_ FROM s GROUP BY sig
+      UNION ALL SELECT f.sig, (SELECT min((s.ts, s.row_number)) FROM s WHERE s.sig = f.sig AND s.ts > f.at_[1] + INTERVAL 600 SECOND) FROM f WHERE f.at_ IS NOT NULL),
+    v AS (SELECT s.formulation_id, s.row_number, s.ts, NOT EXISTS (SELECT 1 FROM f WHERE f.sig = s.sig AND f.at_ = (s.ts, s.row_number)) AS repeated FROM s)"""
+
+
+def timed_rows(spark, d):
+    """Submitted rows by signature, the lines of a formulation 350 seconds apart."""
+    line = F.floor(F.col("row_number") / 1_000_000_000_000)
+    start = F.unix_seconds(F.lit("1995-01-01").cast("timestamp"))
+    at = F.timestamp_seconds(start + F.col("formulation_id") * 60 + line * 350)
+    return formulation.signature_rows(short_ingredients(spark, d).withColumn("ts", at), "ts")
+
+
+@register("repeats_within", oracle("ingredients", _REPEATS + " SELECT formulation_id, row_number, repeated FROM v", recursive=True))
+def _(spark, d):
+    return formulation.repeats_within(timed_rows(spark, d), 600).select("formulation_id", "row_number", "repeated")
+
+
+@register(
+    "stream_duplicates",
+    oracle("ingredients", _REPEATS + f" SELECT formulation_id, row_number, repeated FROM v WHERE {_PASSED.format('v')}", recursive=True),
+)
 def _(spark, d):
-    events = stream_of(spark, d, "events").select("user_id", "event_type", "ts")
-    return _streamed(spark, W.stream_duplicates(events, ["user_id", "event_type"])).select("user_id", "event_type")
+    return stage(spark, d, "stream-duplicates", lambda: _in_batches(spark, timed_rows(spark, d), W.stream_duplicates))
 
 
 assert "o_results" in ENTITIES  # the oracles above build on the screening parts

@@ -43,47 +43,108 @@ def stream_sessions(events: DataFrame, gap_seconds: int = K.SESSION_GAP_SECONDS,
     )
 
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 REVISION_OUTPUT = "session_key bigint, update_id bigint, revision bigint, accepted boolean"
 
 
+def _in_event_order(state_schema: str, row_columns: tuple[str, str], start, step, lifetime: int):
+    """A stateful processor that walks over each key's rows in the order of event time.
+
+    Rows wait in map state under (time, id) until the watermark has passed them, so what a row meets does not depend on
+    how the stream was cut into batches. ``step(state, at, value)`` gives the new state and the row's verdict;
+    the state goes away once event time has passed the key's last row by ``lifetime`` microseconds. All names are local:
+    executors need no copy of the package.
+    """
+    from pyspark.sql.streaming import StatefulProcessor
+
+    ident, number = row_columns
+
+    class InEventOrder(StatefulProcessor):
+        def init(self, handle):
+            self.handle = handle
+            self.waiting = handle.getMapState("waiting", "at bigint, id bigint", "value bigint")
+            self.state = handle.getValueState("state", state_schema)
+
+        def handleInputRows(self, key, rows, timerValues):
+            times = set()
+            for part in rows:
+                for at, row, given in zip(part["at"], part[ident], part[number]):
+                    self.waiting.updateValue((int(at), int(row)), (None if given is None or given != given else int(given),))
+                    times.add(-(-int(at) // 1000))
+            for millis in times:
+                self.handle.registerTimer(max(millis, timerValues.getCurrentWatermarkInMs() + 1))
+            return iter(())
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            import pandas as pd
+
+            passed = timerValues.getCurrentWatermarkInMs() * 1000
+            due = sorted((k, v) for k, v in self.waiting.iterator() if k[0] <= passed)
+            state = self.state.get() if self.state.exists() else None
+            out = []
+            for (at, row), (given,) in due:
+                state, verdict = step(start if state is None else tuple(state), at, given)
+                out.append((*key, row, given, verdict))
+                self.waiting.removeKey((at, row))
+            if due:
+                self.state.update(state)
+                self.handle.registerTimer(max(due[-1][0][0] + lifetime, passed) // 1000 + 1)
+            elif state is not None and state[-1] + lifetime < passed:
+                self.state.clear()
+            if out:
+                yield pd.DataFrame(out)
+
+        def close(self):
+            pass
+
+    return InEventOrder()
+
+
+def _walk(rows: DataFrame, keys: list[str], processor, schema: str) -> DataFrame:
+    """Rows of each key through a processor with timers in event time; its state is kept in RocksDB."""
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    return rows.groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime"
+    )
+
+
 def stream_revisions(updates: DataFrame, ttl_seconds: int = K.SESSION_GAP_SECONDS, delay: str = "10 minutes") -> DataFrame:
-    """Accept updates that name the session's current revision; state is that one number.
+    """Accept updates that name the session's current revision: the streaming form of ``revision_conflicts``.
 
-    Rows of a session are ordered within a micro-batch, whose size the trigger bounds. The state goes
-    away once event time has passed the session's last update by the time to live.
+    Decisions come once the watermark has passed an update; state is the session's revision and last time, and the
+    updates of the delay. After ``ttl_seconds`` without an update the next one starts a new session.
     """
+    ttl = ttl_seconds * 1_000_000
 
-    def follow(key, batches, state):
-        import pandas as pd
-
-        if state.hasTimedOut:
-            state.remove()
-            return
-        current = state.get[0] if state.exists else 0
-        rows = pd.concat(list(batches)).sort_values(["event_millis", "ts", "update_id"])
-        accepted = []
-        for revision in rows["revision"]:
-            accepted.append(revision == current)
-            current += int(revision == current)
-        state.update((current,))
-        expires = int(rows["event_millis"].max()) + ttl_seconds * 1000
-        state.setTimeoutTimestamp(max(expires, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(
-            {"session_key": rows["session_key"], "update_id": rows["update_id"], "revision": rows["revision"], "accepted": accepted}
-        )
-
-    timed = updates.withWatermark("ts", delay).withColumn("event_millis", F.unix_millis("ts"))
-    return timed.groupBy("session_key").applyInPandasWithState(
-        follow, REVISION_OUTPUT, "revision bigint", "append", "EventTimeTimeout"
-    )
+    def step(state, at, revision):
+        current, touched = state
+        if touched is None or at - touched > ttl:
+            current = 0
+        accepted = revision == current
+        return (current + int(accepted), at), accepted
+
+    processor = _in_event_order("revision bigint, touched bigint", ("update_id", "revision"), (0, None), step, ttl)
+    timed = updates.withWatermark("ts", delay).withColumn("at", F.unix_micros("ts"))
+    return _walk(timed, ["session_key"], processor, REVISION_OUTPUT)
 
 
-def stream_duplicates(rows: DataFrame, keys: list[str], delay: str = "10 minutes") -> DataFrame:
-    """First row of each signature; repeats that arrive within the delay are dropped.
+def stream_duplicates(rows: DataFrame, delay_seconds: int = 600, watermark: str = "10 minutes") -> DataFrame:
+    """Rows that repeat a signature kept at most ``delay_seconds`` before: the streaming form of ``repeats_within``.
 
-    ``rows`` carries ``ts`` and the signature's columns, for instance those of ``signature``.
+    rows: those of ``formulation.signature_rows`` with ts. Signatures are told apart within a formulation.
     """
-    return rows.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
+    delay = delay_seconds * 1_000_000
+
+    def step(state, at, formulation_id):
+        (kept,) = state
+        fresh = kept is None or at - kept > delay
+        return (at if fresh else kept,), not fresh
+
+    processor = _in_event_order("kept bigint", ("row_number", "formulation_id"), (None,), step, delay)
+    key = F.to_json(F.struct("formulation_id", *formulation.SIGNATURE), {"ignoreNullFields": "false"})
+    timed = rows.withWatermark("ts", watermark).withColumns({"at": F.unix_micros("ts"), "signature": F.sha2(key, 256)})
+    walked = _walk(timed, ["signature"], processor, "signature string, row_number bigint, formulation_id bigint, repeated boolean")
+    return walked.select("formulation_id", "row_number", "repeated")
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:

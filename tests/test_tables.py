@@ -117,10 +117,10 @@ def test_sessions_end_only_after_more_than_the_gap(spark):
     assert got == [(1, 3), (2, 2), (3, 1)]
 
 
-def test_sequence_gaps_across_chunks(spark):
+def test_sequence_gaps_across_partitions(spark):
     present = set(range(3, 50)) - {7, 8, 20, 21, 22, 41}
     df = spark.createDataFrame([(n,) for n in present], "n int")
-    got = sorted(r["detail"] for r in V.sequence_gaps(df, "n", chunk=10).collect())
+    got = sorted(r["detail"] for r in V.sequence_gaps(df.repartition(5), "n").collect())
     assert got == sorted(["1-2", "7-8", "20-22", "41-41"])
 
 
@@ -137,7 +137,7 @@ FILES = {
     "clean.csv": b"Ingredient,Concentration\nNIACINAMIDE,5%\nGLYCERIN,4%\n",
     "messy.txt": "﻿RM Name;INCI;Dosage\nB3;Niacinamide;5\nBase;\"Glycerin; pure\";4%\n".encode(),
     "wide.tsv": "a\tb\n1\t2\n".encode("utf-16"),
-    "rows.json": b'{"rows": [["a", null, true], [1, 2.5]]}',
+    "rows.json": b'{"rows": [["a", null, true], [1, 2.5], [1.0, [1, 2], 1e5, false, 1e-7]]}',
     "bad.json": b'{"rows": [1]}',
     "empty.csv": b"",
     "blank.csv": b" , \n , \n",
@@ -153,6 +153,7 @@ FILES = {
     "rows.txt": b"a,b\n" * 501,
     "columns.txt": b"a," * 50 + b"z\n",
     "cell.txt": b"a," + b"z" * 8193,
+    "wide.json": '[["a"]]'.encode("utf-16"),
     "shape.json": b"[" + b",".join([b"[1]"] * 501) + b"]",
     "text.json": b'{"rows": "x"}',
 }
@@ -165,7 +166,8 @@ def test_upload_reading_and_limits(spark):
         grid.setdefault(r["file_id"], {})[(r["source_row"], r["source_column_index"])] = r["source_value"]
     assert grid["clean.csv"][(2, 1)] == "5%" and grid["messy.txt"][(1, 0)] == "RM Name"
     assert grid["messy.txt"][(3, 1)] == "Glycerin; pure" and grid["wide.tsv"][(2, 1)] == "2"
-    assert grid["rows.json"] == {(1, 0): "a", (1, 1): "", (1, 2): "TRUE", (2, 0): "1", (2, 1): "2.5"}
+    assert grid["rows.json"] == {(1, 0): "a", (1, 1): "", (1, 2): "TRUE", (2, 0): "1", (2, 1): "2.5", (3, 0): "1.0", (3, 1): "[1, 2]",
+                                 (3, 2): "100000.0", (3, 3): "FALSE", (3, 4): "1e-07"}
     assert grid["lines.csv"] == {(1, 0): "a", (1, 1): "b", (2, 0): 'x; "y"\nz', (2, 1): "2", (4, 0): "3", (4, 1): '4 "q"'}
     codes = {r["file_id"]: r["code"] for r in U.grid_bounds_check(df).collect()}
     assert codes == {
@@ -174,7 +176,7 @@ def test_upload_reading_and_limits(spark):
         "notes.docx": "agent_csv_type_unsupported", "spaces.csv": "agent_csv_empty", "open.csv": "agent_csv_malformed",
         "after.csv": "agent_csv_malformed", "odd.tsv": "agent_csv_encoding_unsupported", "rows.txt": "agent_csv_too_many_rows",
         "columns.txt": "agent_csv_too_many_columns", "cell.txt": "agent_csv_cell_too_large", "shape.json": "agent_csv_shape_invalid",
-        "text.json": "agent_csv_malformed",
+        "text.json": "agent_csv_malformed", "wide.json": "agent_csv_malformed",
     }
     assert U.upload_cells(df.filter("file_id = 'clean.csv'"), U.Limits(file_bytes=10)).count() == 0
 
@@ -236,15 +238,3 @@ def test_a_changed_table_has_another_fingerprint(spark):
     other = df.withColumn("t", F.when(F.col("id") == 7, "x").otherwise(F.col("t")))
     prints = [S.row_fingerprint(x).first()["fingerprint"] for x in (df, shuffled, other)]
     assert prints[0] == prints[1] != prints[2]
-
-
-def test_stream_of_revisions_keeps_state_between_batches(spark):
-    folder = shared_folder(spark, "test-stream")
-    schema = "session_key bigint, update_id bigint, s bigint, revision bigint"
-    for i, rows in enumerate([[(1, 1, 10, 0), (1, 2, 11, 0), (2, 3, 12, 1)], [(1, 4, 20, 1), (2, 5, 21, 0), (1, 6, 22, 1)]]):
-        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/in/b={i}")
-        stream = spark.readStream.schema(schema).parquet(f"{folder}/in/b=*").select(
-            "session_key", "update_id", F.timestamp_seconds("s").alias("ts"), "revision")
-        W.run_available(W.stream_revisions(stream), f"{folder}/out", f"{folder}/checkpoint")
-    got = {r["update_id"] for r in spark.read.parquet(f"{folder}/out").collect() if r["accepted"]}
-    assert got == {1, 4, 5}
