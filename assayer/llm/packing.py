@@ -29,7 +29,7 @@ from assayer.session import materialize
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Distinct words a task remembers before it starts anew; bounds memory, not results.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 #: Characters that end a word without touching what stands before them: none is part of a contraction or of the
 #: marks of special tokens.
 TAIL = ",.;:!?%*$#&"
@@ -159,6 +159,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
                         out[name].append(value)
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.record_batch({k: pa.array(v, t) for (k, v), t in zip(out.items(), types, strict=True)})
+        del words
+        tokens.give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 

@@ -8,7 +8,6 @@ in one buffer; words are found and hashed there without a Python object per word
 from __future__ import annotations
 
 import ctypes
-import functools
 import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,7 +26,33 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-@functools.cache
+class Memo(dict):
+    """Results that a process computes once; a pickled copy is empty, so tasks carry none of them."""
+
+    def __reduce__(self):
+        return Memo, ()
+
+
+_MEMO = Memo()
+
+
+def remembered(function):
+    """``function`` of hashable arguments, computed once per process.
+
+    A plain function, as those of the standard library are pickled by their module's name, which executors need not know.
+    """
+    name = function.__name__
+
+    def recall(*arguments):
+        key = (name, *arguments)
+        if key not in _MEMO:
+            _MEMO[key] = function(*arguments)
+        return _MEMO[key]
+
+    return recall
+
+
+@remembered
 def _tables(lower: bool, breaks: bytes):
     """Which bytes end a word, and a fixed random number per byte (the same for a letter's cases if ``lower``)."""
     ends = np.zeros(256, bool)
@@ -38,7 +63,7 @@ def _tables(lower: bool, breaks: bytes):
     return ends, value
 
 
-@functools.cache
+@remembered
 def _powers(size: int):
     def ladder(x: int):
         out = np.full(size, _U(x))
@@ -57,7 +82,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-@functools.cache
+@remembered
 def constants(count: int, seed: int) -> np.ndarray:
     """Fixed odd 64-bit factors."""
     return np.random.default_rng(seed).integers(1, 1 << 63, count, dtype=np.uint64) * _U(2) + _U(1)
@@ -162,6 +187,21 @@ def texts_of(column) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), bounds
 
 
+def steady() -> None:
+    """Large arrays come from the system and go back when they are freed, in this process, whatever their number.
+
+    By default the C library raises the size from which it does so and keeps what was freed below it.
+    """
+    if "steady" in _MEMO:
+        return
+    _MEMO["steady"] = True
+    pa.set_memory_pool(pa.system_memory_pool())
+    mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
+    if mallopt:
+        for parameter, value in ((-3, 1 << 20), (-1, 1 << 20), (-8, 2)):  # mmap and trim thresholds, arenas
+            mallopt(parameter, value)
+
+
 def give_back() -> None:
     """Return freed memory to the system at the end of a task: Python workers stay for tasks of other stages."""
     gc.collect()
@@ -173,6 +213,7 @@ def give_back() -> None:
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Parts of batches with at most ``SLICE`` bytes of text (a single longer text comes alone)."""
+    steady()
     for batch in batches:
         data, bounds = texts_of(batch.column(column))
         at = 0
