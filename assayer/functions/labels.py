@@ -135,8 +135,11 @@ def comparator(value: Column) -> Column:
 
 
 def number(value: Column) -> Column:
-    """A number without a trailing ``.0``."""
-    return F.regexp_replace(value.cast("string"), r"\.0$", "")
+    """A number written out in full, without a trailing ``.0``: its shortest digits, never an exponent."""
+    shortest = value.cast("string")
+    written = value.cast("decimal(38,18)").cast("string")
+    full = F.regexp_replace(F.regexp_replace(written, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    return F.when(shortest.contains("E"), full).otherwise(F.regexp_replace(shortest, r"\.0$", ""))
 
 
 def amount(value: Column, unit: Column) -> Column:

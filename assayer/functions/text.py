@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assayer import constants as K
+from assayer.session import materialize
 
 _SPACES = r"[\t-\r\x1c-\x20]+"
 _NON_ASCII = r"[^\x00-\x7F]"
@@ -57,16 +58,29 @@ def text_key(value: Column, kind: str = "regulatory") -> Column:
     return F.coalesce(F.when(special, folded).otherwise(native_key(value)), F.lit(""))
 
 
+def _keyed(df: DataFrame, column: str, out: str, kind: str) -> DataFrame:
+    """``df`` with the key of a column. Each distinct value with other characters meets Python once; without any, none does."""
+    special = F.col(column).rlike(_NON_ASCII)
+    native = F.coalesce(native_key(F.col(column)), F.lit(""))
+    values = df.filter(special).select(F.col(column).alias("_value")).distinct()
+    if values.isEmpty():
+        return df.withColumn(out, native)
+    values = materialize(values.withColumn("_key", F.coalesce(_fold_udf(kind)("_value"), F.lit(""))), "folded-values")
+    plain = df.filter(~F.coalesce(special, F.lit(False))).withColumn(out, native)
+    others = df.filter(special).join(values, F.col(column) == F.col("_value")).withColumn(out, F.col("_key"))
+    return plain.unionByName(others.select(*plain.columns))
+
+
 def normalize_names(df: DataFrame, column: str, out: str) -> DataFrame:
-    return df.withColumn(out, text_key(F.col(column), "regulatory"))
+    return _keyed(df, column, out, "regulatory")
 
 
 def catalogue_keys(df: DataFrame, column: str, out: str) -> DataFrame:
-    return df.withColumn(out, text_key(F.col(column), "catalogue"))
+    return _keyed(df, column, out, "catalogue")
 
 
 def grid_keys(df: DataFrame, column: str, out: str) -> DataFrame:
-    return df.withColumn(out, text_key(F.col(column), "grid"))
+    return _keyed(df, column, out, "grid")
 
 
 def present(value: Column) -> Column:

@@ -91,6 +91,12 @@ def duplicate_rows(ingredients: DataFrame) -> DataFrame:
     )
 
 
+def duplicate_groups(ingredients: DataFrame) -> DataFrame:
+    """(formulation_id, duplicate_row_groups): how many signatures a formulation repeats. Two counts, no join."""
+    rows = signature_rows(ingredients).groupBy("formulation_id", *SIGNATURE).agg(F.count("*").alias("_rows"))
+    return rows.filter("_rows > 1").groupBy("formulation_id").agg(F.count("*").alias("duplicate_row_groups"))
+
+
 def signature_rows(ingredients: DataFrame, *extra: str) -> DataFrame:
     """formulation_id, row_number, the columns of SIGNATURE and ``extra`` ones: rows of equal signature repeat each other."""
     flat = [F.col("concentration")[c].alias(c) for c in SIGNATURE[3:]]
@@ -136,8 +142,8 @@ def repeats_within(rows: DataFrame, delay_seconds: int) -> DataFrame:
     return decided.select("_row.*", F.timestamp_micros("_t").alias("ts"), "repeated")
 
 
-def formulation_summary(results: DataFrame, duplicates: DataFrame | None = None) -> DataFrame:
-    """Counts per formulation; every finding has a column."""
+def formulation_summary(results: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """Counts per formulation; every finding has a column. groups: as from ``duplicate_groups``."""
     counts = results.groupBy("formulation_id").agg(
         F.count("*").alias("ingredients_submitted"),
         *[F.count_if(F.col("primary_finding") == f).alias(f) for f in K.FINDINGS],
@@ -145,11 +151,8 @@ def formulation_summary(results: DataFrame, duplicates: DataFrame | None = None)
         F.count_if(F.col("primary_finding") == K.UNRESOLVED).alias("total_unresolved_identities"),
         F.count_if(F.col("primary_finding").isin(*K.DETERMINISTIC_FINDINGS)).alias("deterministic_findings"),
     )
-    if duplicates is None:
+    if groups is None:
         return counts
-    groups = duplicates.filter("row_number = first_row").groupBy("formulation_id").agg(
-        F.count("*").alias("duplicate_row_groups")
-    )
     return counts.join(groups, "formulation_id", "left").fillna(0, ["duplicate_row_groups"])
 
 
@@ -199,21 +202,43 @@ def attention_list(results: DataFrame) -> DataFrame:
 
 
 def dataset_identity(
-    versions: DataFrame, sources: DataFrame, catalogue: DataFrame | None, error: str | None = None
+    versions: DataFrame,
+    sources: DataFrame,
+    catalogue: DataFrame | None,
+    error: str | None = None,
+    catalogue_source: DataFrame | None = None,
 ) -> DataFrame:
-    """One row: dataset version, source count, catalogue availability and size.
+    """One row: dataset version, source count, and the catalogue with its own version, fingerprint, name and role.
 
-    ``versions`` has one row (dataset_version, accepted_baseline_sha256); the counts are scalar
-    subqueries of it.
+    ``versions`` has one row (dataset_version, accepted_baseline_sha256); ``catalogue_source`` one of dataset_version,
+    accepted_baseline_sha256, source_name, source_role. Counts are scalar subqueries. The sources themselves are the rows of
+    ``dataset_sources``.
     """
+    known = catalogue is not None and catalogue_source is not None
+    own = {
+        f"catalogue_{c}": catalogue_source.select(c).scalar() if known else F.lit(None).cast("string")
+        for c in ("dataset_version", "accepted_baseline_sha256", "source_name", "source_role")
+    }
     count = F.lit(None).cast("bigint") if catalogue is None else catalogue.agg(F.count("*")).scalar()
     return versions.select(
         "dataset_version",
         "accepted_baseline_sha256",
         sources.agg(F.count("*")).scalar().alias("source_documents"),
         F.lit(catalogue is not None).alias("catalogue_available"),
+        *[c.alias(n) for n, c in own.items()],
         count.alias("ingredient_count"),
         F.lit(error if catalogue is None else None).cast("string").alias("catalogue_error"),
+        F.lit(False).alias("linkage_available"),
+    )
+
+
+SOURCE_FIELDS = ("source_document", "authority", "document_revision", "effective_date", "retrieval_date", "source_url", "sha256")
+
+
+def dataset_sources(versions: DataFrame, manifest: DataFrame) -> DataFrame:
+    """The sources of a dataset, one row each with its metadata and the dataset's version."""
+    return manifest.select(
+        versions.select("dataset_version").scalar().alias("dataset_version"), *[c for c in SOURCE_FIELDS if c in manifest.columns]
     )
 
 
@@ -248,11 +273,15 @@ def evaluated_requests(
 
 
 def admitted(ingredients: DataFrame, formulations: DataFrame, contexts: DataFrame) -> DataFrame:
-    """Rows of the formulations that validation accepts; one finding rejects a whole formulation."""
+    """Rows of the formulations that validation accepts; one finding rejects a whole formulation.
+
+    The rejected ids are written once, as the rows they leave are read several times.
+    """
     rejected = validate_formulations(formulations, ingredients).select("formulation_id")
     if "product_context" in formulations.columns:
         rejected = rejected.unionByName(validate_contexts(formulations, contexts).select("formulation_id"))
-    return ingredients.join(rejected.distinct(), "formulation_id", "left_anti")
+    rejected = materialize(rejected.distinct(), "rejected-formulations")
+    return ingredients if rejected.isEmpty() else ingredients.join(rejected, "formulation_id", "left_anti")
 
 
 def screen_formulations(

@@ -195,6 +195,33 @@ def ground_amounts(proposals: DataFrame, references: DataFrame) -> tuple[DataFra
     return rows, df.select(*ROW, F.explode(codes).alias("code"))
 
 
+def ground_metadata(metadata: DataFrame, citations: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(fields, errors): proposed metadata of files with the cell that bears it out, and proposals that no cited cell holds.
+
+    metadata: file_id, field, value (null: none proposed). citations: file_id, field, position and the coordinates and value of
+    the cited cell. A value must equal one of its cited cells, blanks and case apart; a null one must cite none. The first
+    citation is the source.
+    """
+    key = ["file_id", "field"]
+    evidence = citations.join(metadata.select(*key, X.text_key(F.col("value"), "grid").alias("_want")), key).groupBy(*key).agg(
+        F.min_by(F.struct("source_value", "source_row", "source_column_index"), "position").alias("_first"),
+        F.bool_or(X.text_key(F.col("source_value"), "grid") == F.col("_want")).alias("_held"),
+    )
+    df = metadata.join(evidence, key, "left")
+    value, cited = F.col("value"), F.col("_first").isNotNull()
+    code = (
+        F.when(value.isNull() & cited, "null_metadata_cites_cells")
+        .when(value.isNotNull() & ~cited, "metadata_without_source")
+        .when(value.isNotNull() & ~F.col("_held"), "metadata_not_in_cited_cells")
+    )
+    at = ["file_id", "source_column_index"]
+    rows = df.filter(value.isNotNull() & code.isNull()).select(*key, "value", "_first.*").join(labels.select(*at, "label"), at, "left")
+    return (
+        rows.select(*key, "value", "source_value", "source_row", "source_column_index", F.col("label").alias("source_column")),
+        df.select(*key, code.alias("code")).filter("code is not null"),
+    )
+
+
 def source_metadata(cells: DataFrame, row_sources: DataFrame, references: DataFrame, mappings: DataFrame, labels: DataFrame) -> DataFrame:
     """Non-empty cells of a row that no field of the row cites, with label and mapping."""
     own = cells.filter("source_value <> ''").join(row_sources.select(*ROW, "source_row").distinct(), ["file_id", "source_row"])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from assayer import constants as K
 from assayer.functions.text import harvested_identifiers, identifier_checksum, present
 from assayer.operators.ordering import neighbours
+from assayer.sources.snapshots import content_fingerprint
 
 
 def issues(df: DataFrame, code: str | Column, key: Column | str, detail: Column | str | None = None) -> DataFrame:
@@ -138,6 +139,17 @@ def required_keys_present(required: DataFrame, present_keys: DataFrame, code: st
     return issues(required.join(present_keys.select("key"), "key", "left_anti"), code, "key")
 
 
+def required_names(required: DataFrame, catalogue: DataFrame, sources: DataFrame) -> DataFrame:
+    """(canonical_name, present, entry_number, source_page): each required name with all entries that hold it.
+
+    catalogue: ingredient_id, canonical_name; sources: as from ``catalogue_sources``. An absent name has one row of nulls.
+    """
+    found = catalogue.select("canonical_name", "ingredient_id").join(sources.select("ingredient_id", "entry_number", "source_page"), "ingredient_id")
+    return required.select("canonical_name").distinct().join(found, "canonical_name", "left").select(
+        "canonical_name", F.col("ingredient_id").isNotNull().alias("present"), "entry_number", "source_page"
+    )
+
+
 def forbidden_terms(texts: DataFrame, term: str) -> DataFrame:
     """Files with an obsolete term (texts: file, text)."""
     hits = texts.filter(F.lower("text").contains(term.lower())).groupBy("file").agg(F.count("*").alias("_n"))
@@ -156,8 +168,13 @@ def spot_check_sample(samples: DataFrame, raw: DataFrame) -> DataFrame:
     )
 
 
-def spot_check_reconcile(expected: DataFrame, results: DataFrame) -> DataFrame:
-    """Result rows against the expected ids; failed or unproven checks; ids given twice."""
+def spot_check_reconcile(
+    expected: DataFrame, results: DataFrame, given: DataFrame | None = None, dataset_version: str = "", baseline_sha256: str | None = None
+) -> DataFrame:
+    """Result rows against the expected ids; failed or unproven checks; ids given twice; what the results were made for.
+
+    given: the result file's own dataset_version and accepted_baseline_sha256, one row.
+    """
     counts = results.groupBy("check_id").agg(
         F.count("*").alias("_n"),
         F.bool_or(
@@ -169,33 +186,107 @@ def spot_check_reconcile(expected: DataFrame, results: DataFrame) -> DataFrame:
         F.when(F.col("_n").isNull() | F.col("_want").isNull() | (F.col("_n") > 1), "spot_check_result_set_mismatch")
         .when(F.col("_bad"), "incomplete_or_failed_manual_spot_checks")
     )
-    return issues(both.withColumn("_code", code).filter("_code is not null"), F.col("_code"), "check_id")
+    found = issues(both.withColumn("_code", code).filter("_code is not null"), F.col("_code"), "check_id")
+    if given is None:
+        return found
+    version, hash_ = F.col("dataset_version"), F.lower(F.coalesce("accepted_baseline_sha256", F.lit("")))
+    return union_all(
+        [
+            found,
+            issues(given.filter(~version.eqNullSafe(dataset_version)), "spot_check_dataset_version_mismatch", F.lit("spot_checks"), version),
+            issues(given.filter(hash_ != (baseline_sha256 or "").lower()), "spot_check_baseline_hash_mismatch", F.lit("spot_checks"), F.col("accepted_baseline_sha256")),
+        ]
+    )
 
 
-def validation_report(errors: DataFrame, rules: DataFrame, cross_references: DataFrame) -> DataFrame:
-    """(metric, value) rows: status, error counts by code, rule and comparison counts by status."""
-    status = errors.agg(F.count("*").alias("_n")).select(
-        F.lit("validation_status").alias("metric"), F.when(F.col("_n") == 0, "passed").otherwise("failed").alias("value")
+def spot_check_counts(expected: DataFrame, results: DataFrame) -> DataFrame:
+    """One row: spot_checks (expected ones) and completed_spot_checks (results that passed)."""
+    passed = results.agg(F.count_if(F.col("result") == "PASS").alias("completed_spot_checks"))
+    return expected.agg(F.count("*").alias("spot_checks")).select(
+        "spot_checks", passed.select("completed_spot_checks").scalar().alias("completed_spot_checks")
     )
 
-    def counted(df: DataFrame, prefix: str, column: str) -> DataFrame:
+
+def baseline_issues(
+    outputs: DataFrame, accepted: DataFrame | None, dataset_version: str, accepted_version: str | None = None
+) -> DataFrame:
+    """Outputs (item, fingerprint) that differ from the accepted ones; a baseline of another version, or none at all."""
+    one = outputs.sparkSession.range(1)
+    if accepted is None:
+        return issues(one, "missing_accepted_output_baseline", F.lit("baseline"))
+    if accepted_version != dataset_version:
+        return issues(one, "accepted_baseline_dataset_version_mismatch", F.lit("baseline"), F.lit(accepted_version).cast("string"))
+    changed = content_fingerprint(outputs, accepted).filter("status <> 'same'")
+    return issues(changed, "accepted_output_baseline_mismatch", "item", F.col("status"))
+
+
+BASELINE_CODES = {
+    "missing_accepted_output_baseline": "missing",
+    "accepted_baseline_dataset_version_mismatch": "mismatched",
+    "accepted_output_baseline_mismatch": "mismatched",
+}
+
+
+def validation_report(
+    errors: DataFrame,
+    rules: DataFrame,
+    cross_references: DataFrame,
+    counted: dict[str, DataFrame] | None = None,
+    warnings: DataFrame | None = None,
+    outputs: DataFrame | None = None,
+    previous: DataFrame | None = None,
+) -> DataFrame:
+    """(metric, value) rows of a run: status, errors and warnings by code, counts, and how outputs compare.
+
+    errors: all issues, those of ``baseline_issues`` among them, which decide accepted_baseline_status. counted: further
+    tables whose rows are counted. outputs, previous: (item, fingerprint) of this run and of the last one; equal ones
+    make the run reproducible.
+    """
+
+    def metric(df: DataFrame, name: str, value: Column) -> DataFrame:
+        return df.select(F.lit(name).alias("metric"), value.cast("string").alias("value"))
+
+    def by(df: DataFrame, prefix: str, column: str) -> DataFrame:
         return df.groupBy(column).agg(F.count("*").alias("_n")).select(
             F.concat(F.lit(prefix), F.col(column)).alias("metric"), F.col("_n").cast("string").alias("value")
         )
 
-    return union_all(
-        [
-            status,
-            counted(errors, "errors:", "code"),
-            counted(rules, "rules:", "normalization_status"),
-            counted(cross_references, "cross_references:", "comparison_status"),
-        ]
-    )
+    baseline = F.create_map(*[F.lit(x) for pair in BASELINE_CODES.items() for x in pair])
+    states = errors.agg(F.count("*").alias("_n"), F.max(F.element_at(baseline, F.col("code"))).alias("_baseline"))
+    parts = [
+        metric(states, "validation_status", F.when(F.col("_n") == 0, "passed").otherwise("failed")),
+        by(errors, "errors:", "code"),
+        by(rules, "rules:", "normalization_status"),
+        by(cross_references, "cross_references:", "comparison_status"),
+    ]
+    if warnings is not None:
+        parts.append(by(warnings, "warnings:", "code"))
+    for name, table in (counted or {}).items():
+        parts.append(metric(table.agg(F.count("*").alias("_n")), f"count:{name}", F.col("_n")))
+    if outputs is not None:
+        parts.append(metric(states, "accepted_baseline_status", F.coalesce("_baseline", F.lit("matched"))))
+        changed = outputs.sparkSession.range(1).select(F.lit(1).cast("bigint").alias("_n"))
+        if previous is not None:
+            changed = content_fingerprint(outputs, previous).agg(F.count_if(F.col("status") != "same").alias("_n"))
+        same = F.when(F.col("_n") == 0, "matched_previous_run").otherwise("baseline_created_or_outputs_changed")
+        parts.append(metric(changed, "reproducibility_status", same))
+    return union_all(parts)
+
+
+METADATA_FIELDS = ("effective_date", "retrieval_date", "source_url", "sha256", "snapshot_generated_at")
 
 
 def source_metadata_check(manifest: DataFrame, expected: DataFrame) -> DataFrame:
-    """Hashes against the expected ones, and required metadata that is empty."""
-    joined = manifest.join(expected.select("source_document", F.col("sha256").alias("_want")), "source_document")
-    changed = issues(joined.filter("sha256 <> _want"), "source_hash_changed", "source_document", F.col("sha256"))
-    fields = [c for c in ("effective_date", "retrieval_date", "source_url", "sha256", "snapshot_generated_at") if c in manifest.columns]
-    return changed.unionByName(missing_provenance(manifest, "source_document", fields, "missing_snapshot_metadata"))
+    """Hashes against the expected ones, sources on one side only, and required metadata that is empty or absent."""
+    both = manifest.join(
+        expected.select("source_document", F.col("sha256").alias("_want"), F.lit(True).alias("_expected")), "source_document", "full_outer"
+    )
+    code = (
+        F.when(F.col("sha256").isNull() & F.col("_expected"), "source_missing")
+        .when(F.col("_want").isNull(), "source_without_expected_hash")
+        .when(F.col("sha256") != F.col("_want"), "source_hash_changed")
+    )
+    compared = issues(both.withColumn("_code", code).filter("_code is not null"), F.col("_code"), "source_document", F.col("sha256"))
+    absent = {c: F.lit(None).cast("string") for c in METADATA_FIELDS if c not in manifest.columns}
+    whole = manifest.withColumns(absent) if absent else manifest
+    return compared.unionByName(missing_provenance(whole, "source_document", list(METADATA_FIELDS), "missing_snapshot_metadata"))

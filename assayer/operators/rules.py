@@ -204,9 +204,13 @@ def contributing_pages(records: DataFrame, attached: DataFrame, supporting: Data
     return pages.distinct()
 
 
-def provision_snapshot(provisions: DataFrame, sources: DataFrame) -> DataFrame:
-    """Provisions stamped with the metadata of their source document."""
-    return provisions.join(
+def provision_snapshot(provisions: DataFrame, sources: DataFrame, mappings: DataFrame | None = None) -> DataFrame:
+    """Provisions stamped with the metadata of their source document, one row per structural mapping.
+
+    mappings: (provision_id, corresponds_to), which part of the other regulations a provision answers to in structure; a
+    provision without one has a null. Correspondence says nothing about single entries or versions.
+    """
+    stamped = provisions.join(
         sources.select(
             "source_document",
             F.col("document_revision").alias("source_version"),
@@ -215,6 +219,9 @@ def provision_snapshot(provisions: DataFrame, sources: DataFrame) -> DataFrame:
         ),
         "source_document",
     )
+    if mappings is None:
+        return stamped.withColumn("corresponds_to", F.lit(None).cast("string"))
+    return stamped.join(mappings.select("provision_id", "corresponds_to"), "provision_id", "left")
 
 
 # --- catalogue ----------------------------------------------------------------------------------

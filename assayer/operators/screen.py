@@ -406,3 +406,48 @@ def rule_evidence(rules: DataFrame, links: DataFrame, provisions: DataFrame) ->
         F.lit(None).cast("string").alias("status"),
     )
     return provision_rows.unionByName(xref_rows).unionByName(counterpart_rows.distinct())
+
+
+#: What stands for a raw record without fragments, as far as it has them: fixed names that must match.
+RAW_FIELDS = (
+    "raw_record_id", "page", "pages", "row_bbox", "cell_bboxes", "row_fragments", "original_cells", "source_text", "original_row_text",
+)
+EVIDENCE_FIELDS = (
+    "rule_id", "source_document", "source_version", "effective_date", "document_revision", "retrieval_date", "source_url", "regulatory_section",
+    "reference_number", "substance_name", "product_context", "concentration", "other_conditions", "required_warning", "source_text",
+    "source_pages", "normalization_status", "review_reasons", "raw_record_id",
+)
+
+
+def evidence_record(rules: DataFrame) -> DataFrame:
+    """The rule itself as evidence: its texts, sources and review state; fields that the table lacks are left out."""
+    return rules.select(*[c for c in EVIDENCE_FIELDS if c in rules.columns])
+
+
+def evidence_fragments(rules: DataFrame, raw: DataFrame) -> DataFrame:
+    """(rule_id, position, fragment): the raw source of each rule, as JSON objects.
+
+    A record's fragments in their order, each with the record's id; a record without fragments stands for itself
+    with those of RAW_FIELDS that it has. Rules of either side have fragments, so counterparts need no copy of their own.
+    """
+    own = [c for c in RAW_FIELDS if c in raw.columns]
+    whole = F.array(F.to_json(F.struct(*own)))
+    fragments = whole
+    if "fragments" in raw.columns:
+        names = raw.schema["fragments"].dataType.elementType.names
+        each = F.transform("fragments", lambda f: F.to_json(F.struct("raw_record_id", *[f[n].alias(n) for n in names])))
+        fragments = F.when(F.coalesce(F.size("fragments"), F.lit(0)) > 0, each).otherwise(whole)
+    shown = raw.select("raw_record_id", F.posexplode(fragments).alias("position", "fragment"))
+    return rules.select("rule_id", "raw_record_id").join(shown, "raw_record_id").select("rule_id", "position", "fragment")
+
+
+def evidence_provisions(rules: DataFrame, provisions: DataFrame) -> DataFrame:
+    """(rule_id, position, provision): the provisions that a rule's section cites, in their order, with their metadata.
+
+    provisions: as from ``provision_snapshot``; cited ones that are absent leave a gap.
+    """
+    cited = F.create_map(
+        *[x for s, ids in K.SECTION_PROVISIONS.items() for x in (F.lit(s), F.array(*[F.lit(i) for i in ids]))]
+    )
+    wanted = rules.select("rule_id", F.posexplode(F.element_at(cited, F.col("regulatory_section"))).alias("position", "provision_id"))
+    return wanted.join(provisions, "provision_id").select("rule_id", "position", *provisions.columns)

@@ -10,6 +10,7 @@ from assayer.operators import quality as V
 from assayer.operators import review as K_
 from assayer.operators import rules as R
 from assayer.operators import search as Q
+from assayer.sources import snapshots as S
 from assayer.plans.adapters import entity, oracle, stage, table
 from assayer.plans.oracle_parts import cas_ok
 from assayer.plans.q_screening import snapshot
@@ -255,6 +256,23 @@ def _(spark, d):
     return V.required_keys_present(required, table(spark, d, "part").filter("p_size > 5").select(F.col("p_partkey").alias("key")), "missing_regression_reference")
 
 
+@register(
+    "required_names",
+    oracle(
+        "glossary catalogue",
+        """q AS (SELECT DISTINCT upper(p_name) || ' ' || p_size AS canonical_name FROM part WHERE p_size < 6),
+           f AS (SELECT c.canonical_name, g.entry_number, g.source_page FROM catalogue c JOIN glossary g ON lower(replace(g.canonical_name, '  ', ' ')) = c.search_name)
+           SELECT q.canonical_name, f.canonical_name IS NOT NULL AS present, f.entry_number, f.source_page FROM q LEFT JOIN f ON f.canonical_name = q.canonical_name""",
+    ),
+)
+def _(spark, d):
+    """Names of small parts, of which some are spelled otherwise in the catalogue."""
+    part = table(spark, d, "part").filter("p_size < 6")
+    names = part.select(F.concat(F.upper("p_name"), F.lit(" "), F.col("p_size").cast("string")).alias("canonical_name"))
+    catalogue = entity(spark, d, "catalogue")
+    return V.required_names(names, catalogue, R.catalogue_sources(entity(spark, d, "glossary"), catalogue))
+
+
 @register(
     "forbidden_terms",
     "SELECT 'obsolete_regulation_terminology' AS code, source AS key, CAST(count(*) AS VARCHAR) AS detail FROM documents WHERE contains(lower(text), 'license') GROUP BY 2",
@@ -285,45 +303,97 @@ def _(spark, d):
     """WITH r AS (SELECT source || lang AS check_id, count(*) AS n, bool_or(quality <> 1) AS bad FROM documents JOIN labels USING (doc_id) GROUP BY 1),
             e AS (SELECT DISTINCT source || lang AS check_id FROM documents)
        SELECT CASE WHEN r.n IS NULL OR r.n > 1 THEN 'spot_check_result_set_mismatch' ELSE 'incomplete_or_failed_manual_spot_checks' END AS code, e.check_id AS key, CAST(NULL AS VARCHAR) AS detail
-       FROM e LEFT JOIN r USING (check_id) WHERE r.n IS NULL OR r.n > 1 OR r.bad""",
+       FROM e LEFT JOIN r USING (check_id) WHERE r.n IS NULL OR r.n > 1 OR r.bad
+       UNION ALL SELECT 'spot_check_dataset_version_mismatch', 'spot_checks', 'v0' FROM (SELECT count(*) AS n FROM documents) WHERE n > 0
+       UNION ALL SELECT 'spot_check_baseline_hash_mismatch', 'spot_checks', 'ABC' FROM (SELECT count(*) AS n FROM documents) WHERE n > 0""",
 )
 def _(spark, d):
+    docs, results = spot_checks(spark, d)
+    given = docs.limit(1).select(F.lit("v0").alias("dataset_version"), F.lit("ABC").alias("accepted_baseline_sha256"))
+    return V.spot_check_reconcile(docs.select("check_id").distinct(), results, given, "v1", "abd")
+
+
+def spot_checks(spark, d):
     docs = table(spark, d, "documents").withColumn("check_id", F.concat("source", "lang"))
     results = docs.join(table(spark, d, "labels"), "doc_id").select(
         "check_id", F.when(F.col("quality") == 1, "PASS").otherwise("FAIL").alias("result"), F.lit("page").alias("evidence_checked"), F.lit("ok").alias("notes")
     )
-    return V.spot_check_reconcile(docs.select("check_id").distinct(), results)
+    return docs, results
+
+
+@register(
+    "spot_check_counts",
+    """SELECT (SELECT count(DISTINCT source || lang) FROM documents) AS spot_checks, count(*) FILTER (quality = 1) AS completed_spot_checks FROM documents JOIN labels USING (doc_id)""",
+)
+def _(spark, d):
+    docs, results = spot_checks(spark, d)
+    return V.spot_check_counts(docs.select("check_id").distinct(), results)
+
+
+_OUTPUTS = """o AS (SELECT source AS item, sha256(string_agg(text, '' ORDER BY doc_id)) AS now, sha256(string_agg(text, '' ORDER BY doc_id) FILTER (doc_id % 7 <> 3 OR source <> 'src5')) AS before FROM documents GROUP BY 1)"""
+
+
+def outputs(spark, d):
+    """Fingerprints of this run's outputs, and of an accepted run in which one output had fewer rows."""
+    docs = table(spark, d, "documents")
+    prints = lambda df: S.row_fingerprint(df, ["source"]).select(F.col("source").alias("item"), "fingerprint")
+    return prints(docs), prints(docs.filter("doc_id % 7 <> 3 OR source <> 'src5'"))
+
+
+@register(
+    "baseline_issues",
+    f"""WITH {_OUTPUTS} SELECT 'accepted_output_baseline_mismatch' AS code, item AS key, CASE WHEN before IS NULL THEN 'extra' ELSE 'changed' END AS detail FROM o WHERE now IS DISTINCT FROM before""",
+)
+def _(spark, d):
+    now, accepted = outputs(spark, d)
+    return V.baseline_issues(now, accepted, "v1", "v1")
 
 
 @register(
     "validation_report",
     oracle(
         "rules o_status",
-        """e AS (SELECT raw_record_id FROM rules GROUP BY 1 HAVING count(*) > 1)
+        f"""{_OUTPUTS}, e AS (SELECT 'duplicate_raw_record_id' AS code, raw_record_id AS key FROM rules GROUP BY raw_record_id HAVING count(*) > 1
+              UNION ALL SELECT 'accepted_output_baseline_mismatch', item FROM o WHERE now IS DISTINCT FROM before)
            SELECT 'validation_status' AS metric, CASE WHEN count(*) = 0 THEN 'passed' ELSE 'failed' END AS value FROM e
-           UNION ALL SELECT 'errors:duplicate_raw_record_id', CAST(count(*) AS VARCHAR) FROM e HAVING count(*) > 0
+           UNION ALL SELECT 'errors:' || code, CAST(count(*) AS VARCHAR) FROM e GROUP BY code
            UNION ALL SELECT 'rules:' || normalization_status, CAST(count(*) AS VARCHAR) FROM rules GROUP BY normalization_status
-           UNION ALL SELECT 'cross_references:' || status, CAST(count(*) AS VARCHAR) FROM o_status GROUP BY status""",
+           UNION ALL SELECT 'cross_references:' || status, CAST(count(*) AS VARCHAR) FROM o_status GROUP BY status
+           UNION ALL SELECT 'warnings:' || 'unlabelled_document', CAST(count(*) AS VARCHAR) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) HAVING count(*) > 0
+           UNION ALL SELECT 'count:normalized_rules', CAST(count(*) AS VARCHAR) FROM rules
+           UNION ALL SELECT 'count:cross_references', CAST(count(*) AS VARCHAR) FROM o_status
+           UNION ALL SELECT 'accepted_baseline_status', CASE WHEN count(*) > 0 THEN 'mismatched' ELSE 'matched' END FROM o WHERE now IS DISTINCT FROM before
+           UNION ALL SELECT 'reproducibility_status', 'matched_previous_run'""",
     ),
 )
 def _(spark, d):
-    errors = V.duplicate_keys({"duplicate_raw_record_id": (rules(spark, d), "raw_record_id")})
-    return V.validation_report(errors, rules(spark, d), snapshot(spark, d)["cross_references"])
+    now, accepted = outputs(spark, d)
+    errors = V.duplicate_keys({"duplicate_raw_record_id": (rules(spark, d), "raw_record_id")}).unionByName(V.baseline_issues(now, accepted, "v1", "v1"))
+    unlabelled = table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")
+    warnings = V.issues(unlabelled, "unlabelled_document", "doc_id")
+    references = snapshot(spark, d)["cross_references"]
+    counted = {"normalized_rules": rules(spark, d), "cross_references": references}
+    return V.validation_report(errors, rules(spark, d), references, counted, warnings, now, outputs(spark, d)[0])
 
 
 @register(
     "source_metadata_check",
-    """SELECT 'source_hash_changed' AS code, CAST(page_id AS VARCHAR) AS key, sha256(html) AS detail FROM pages WHERE length(html) > 2000
-       UNION ALL SELECT 'missing_snapshot_metadata', CAST(page_id AS VARCHAR), 'effective_date' FROM pages WHERE url LIKE '%?%'""",
+    """SELECT CASE WHEN page_id % 11 = 0 THEN 'source_without_expected_hash' ELSE 'source_hash_changed' END AS code, CAST(page_id AS VARCHAR) AS key, sha256(html) AS detail FROM pages WHERE length(html) > 2000 OR page_id % 11 = 0
+       UNION ALL SELECT 'source_missing', CAST(-1 - page_id AS VARCHAR), NULL FROM pages WHERE page_id % 13 = 0
+       UNION ALL SELECT 'missing_snapshot_metadata', CAST(page_id AS VARCHAR), CASE WHEN url LIKE '%?%' THEN 'effective_date,' ELSE '' END || 'retrieval_date,snapshot_generated_at' FROM pages""",
 )
 def _(spark, d):
+    """Some sources have no expected hash, some expected ones are gone, and two fields are absent as columns."""
     pages = table(spark, d, "pages").withColumnRenamed("page_id", "source_document")
     manifest = pages.select(
         "source_document", F.sha2("html", 256).alias("sha256"), F.col("url").alias("source_url"),
         F.when(~F.col("url").contains("?"), "2025-12-01").alias("effective_date"), "html",
     )
-    expected = manifest.select("source_document", F.when(F.length("html") > 2000, "old").otherwise(F.col("sha256")).alias("sha256"))
-    return V.source_metadata_check(manifest.drop("html"), expected)
+    expected = manifest.filter("source_document % 11 <> 0").select(
+        "source_document", F.when(F.length("html") > 2000, "old").otherwise(F.col("sha256")).alias("sha256")
+    )
+    gone = pages.filter("source_document % 13 = 0").select((-1 - F.col("source_document")).alias("source_document"), F.lit("gone").alias("sha256"))
+    return V.source_metadata_check(manifest.drop("html"), expected.unionByName(gone))
 
 
 # --- review ---------------------------------------------------------------------------------------
@@ -387,15 +457,23 @@ def _(spark, d):
 @register(
     "review_cases",
     oracle(
-        "o_sides o_status",
-        _PACK + """ SELECT 'review-' || p.category || '-' || p.rule_id AS case_id, p.p AS priority, p.category, k.reference_number, k.substance_name, k.normalization_status, k.xref_id AS cross_reference_id, k.status AS cross_reference_status
-                    FROM pack p JOIN k ON k.rule_id = p.rule_id""",
+        "o_sides o_status o_candidates",
+        _PACK + f""", rr AS (SELECT o.rule_id, list_filter(string_split(o.reason_list, ','), lambda x: x <> '') || list_sort(list_filter([
+                        CASE WHEN s.status = 'changed' THEN 'source_wording_or_regulatory_field_differs' END, CASE WHEN s.status = 'acd_only' THEN 'no_current_singapore_reference_number_match' END,
+                        CASE WHEN s.status = 'singapore_only' THEN 'no_acd_2026_1_reference_number_match' END,
+                        CASE WHEN EXISTS (SELECT 1 FROM o_candidates c WHERE c.mapping = s.mapping AND c.ref = s.ref) THEN 'same_normalized_substance_name_found_under_different_reference' END,
+                        CASE WHEN s.status = 'ambiguous' AND regexp_full_match(s.reference_number, '(?i)A?[0-9]+[a-z]?\\s*(?:-|to)\\s*A?[0-9]+[a-z]?') THEN 'ranged_reference_prevents_unique_entry_correspondence'
+                             WHEN s.status = 'ambiguous' THEN 'normalized_case_structure_differs_between_sources' END], lambda x: x IS NOT NULL)) AS l FROM o_sides o JOIN o_status s ON s.mapping = o.mapping AND s.ref = o.ref)
+                    SELECT 'review-' || p.category || '-' || p.rule_id AS case_id, p.p AS priority, p.category, k.reference_number, k.substance_name, k.normalization_status, k.xref_id AS cross_reference_id, k.status AS cross_reference_status,
+                      array_to_string(list_filter(rr.l, lambda x, i: list_position(rr.l, x) = i), '|') AS review_reasons, CASE p.category {" ".join(f"WHEN '{c}' THEN '{q.replace(chr(39), chr(39) * 2)}'" for c, q in K.REVIEW_QUESTIONS.items())} END AS reviewer_question
+                    FROM pack p JOIN k ON k.rule_id = p.rule_id JOIN rr ON rr.rule_id = p.rule_id""",
     ),
 )
 def _(spark, d):
     views = snapshot(spark, d)
     return K_.review_cases(pack(spark, d), rules(spark, d), views["cross_references"], views["links"]).select(
-        "case_id", "priority", "category", "reference_number", "substance_name", "normalization_status", "cross_reference_id", "cross_reference_status"
+        "case_id", "priority", "category", "reference_number", "substance_name", "normalization_status", "cross_reference_id", "cross_reference_status",
+        F.array_join("review_reasons", "|").alias("review_reasons"), "reviewer_question",
     )
 
 

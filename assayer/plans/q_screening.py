@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from assayer import constants as K
 from assayer.functions import labels
+from assayer.operators import rules as R
 from assayer.operators import formulation, lookup, resolve, screen, xref
 from assayer.plans.adapters import entity, oracle, stage, table
 from assayer.plans.oracle_parts import cas_ok, fold
@@ -474,6 +475,81 @@ def _(spark, d):
     return screen.rule_evidence(r, snapshot(spark, d)["links"], provisions)
 
 
+@register("evidence_record", oracle("rules", "SELECT rule_id, source_document, regulatory_section, reference_number, substance_name, product_context, other_conditions, required_warning, source_text, normalization_status, raw_record_id FROM rules"))
+def _(spark, d):
+    shown = screen.evidence_record(rules(spark, d))
+    return shown.select("rule_id", "source_document", "regulatory_section", "reference_number", "substance_name", "product_context", "other_conditions", "required_warning", "source_text", "normalization_status", "raw_record_id")
+
+
+def raw_rows(spark, d):
+    """Raw records; those of restricted sections have a fragment per line of their text, the others stand for themselves."""
+    lines = F.split("source_text", "\n")
+    pieces = F.transform(lines, lambda line, i: F.struct((F.col("source_page") + i).alias("source_page"), line.alias("original_row_text")))
+    restricted = F.col("section").isin("Annex III Part 1", "Third Schedule Part II")
+    return entity(spark, d, "records").select(
+        "raw_record_id", "source_text", F.array("source_page").alias("pages"), F.when(restricted, pieces).alias("fragments")
+    )
+
+
+@register(
+    "evidence_fragments",
+    oracle(
+        "rules records",
+        """l AS (SELECT raw_record_id, section, source_text, source_page, string_split(source_text, chr(10)) AS lines FROM records),
+           f AS (SELECT raw_record_id, CAST(i - 1 AS INT) AS position, CAST(json_object('raw_record_id', raw_record_id, 'source_page', source_page + i - 1, 'original_row_text', lines[i]) AS VARCHAR) AS fragment
+             FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM l WHERE section IN ('Annex III Part 1', 'Third Schedule Part II'))
+             UNION ALL SELECT raw_record_id, 0, CAST(json_object('raw_record_id', raw_record_id, 'pages', [source_page], 'source_text', source_text) AS VARCHAR)
+             FROM l WHERE section NOT IN ('Annex III Part 1', 'Third Schedule Part II'))
+           SELECT rule_id, position, fragment FROM rules JOIN f USING (raw_record_id)""",
+    ),
+)
+def _(spark, d):
+    return screen.evidence_fragments(rules(spark, d), raw_rows(spark, d))
+
+
+_PROVISIONS = """v AS (SELECT * FROM (VALUES ('sg-regulation-6-1', 'doc-1', 'first'), ('sg-regulation-6-2', 'doc-2', 'second'), ('sg-regulation-6-7', 'doc-1', 'third')) t(provision_id, source_document, source_text)),
+    h AS (SELECT 'doc-' || (1 + CAST(starts_with(p_type, 'PROMO') AS INT)) AS source_document, md5(CAST(sum(p_partkey) AS VARCHAR)) AS source_hash, CAST(max(p_size) AS VARCHAR) AS source_version FROM part GROUP BY 1),
+    m AS (SELECT * FROM (VALUES ('sg-regulation-6-1', 'Annex II Part 1'), ('sg-regulation-6-2', 'Annex III Part 1'), ('sg-regulation-6-2', 'Appendix I')) t(provision_id, corresponds_to)),
+    ps AS (SELECT provision_id, source_document, source_text, source_version, source_hash, 'https://x.example/' || source_document AS source_url, '2025-12-01' AS effective_date, '2026-01-01' AS retrieval_date, corresponds_to
+      FROM v JOIN h USING (source_document) LEFT JOIN m USING (provision_id))"""
+
+
+def provisions(spark, d):
+    """Provisions of two documents whose hash and revision come from the parts, and what they answer to in structure."""
+    text = spark.createDataFrame(
+        [("sg-regulation-6-1", "doc-1", "first"), ("sg-regulation-6-2", "doc-2", "second"), ("sg-regulation-6-7", "doc-1", "third")],
+        "provision_id string, source_document string, source_text string",
+    )
+    document = F.concat(F.lit("doc-"), (1 + F.col("p_type").startswith("PROMO").cast("int")).cast("string"))
+    sources = table(spark, d, "part").groupBy(document.alias("source_document")).agg(
+        F.md5(F.sum("p_partkey").cast("string")).alias("sha256"), F.max("p_size").cast("string").alias("document_revision")
+    ).select(
+        "*", F.concat(F.lit("https://x.example/"), "source_document").alias("source_url"), F.lit("2025-12-01").alias("effective_date"), F.lit("2026-01-01").alias("retrieval_date")
+    )
+    mappings = spark.createDataFrame(
+        [("sg-regulation-6-1", "Annex II Part 1"), ("sg-regulation-6-2", "Annex III Part 1"), ("sg-regulation-6-2", "Appendix I")], "provision_id string, corresponds_to string"
+    )
+    return R.provision_snapshot(text, sources, mappings)
+
+
+@register("provision_snapshot", f"WITH {_PROVISIONS} SELECT * FROM ps")
+def _(spark, d):
+    return provisions(spark, d)
+
+
+@register(
+    "evidence_provisions",
+    oracle(
+        "rules",
+        _PROVISIONS + """, c AS (SELECT * FROM (VALUES ('Third Schedule Part I', 'sg-regulation-6-1', 0), ('Third Schedule Part I', 'sg-regulation-6-7', 1),
+                ('Third Schedule Part II', 'sg-regulation-6-2', 0), ('Third Schedule Part II', 'sg-regulation-6-7', 1)) t(section, provision_id, position))
+           SELECT rule_id, position, ps.* FROM rules JOIN c ON section = regulatory_section JOIN ps USING (provision_id)""",
+    ),
+)
+def _(spark, d):
+    return screen.evidence_provisions(rules(spark, d), provisions(spark, d))
+
+
 @register(
     "inactive_evidence",
     oracle("o_evaluations", "SELECT formulation_id, row_number, rule_id, branch = 'inactive_open' AS needs_review FROM o_evaluations WHERE branch LIKE 'inactive%'"),
@@ -600,7 +676,7 @@ _SUMMARY = """count(*) AS ingredients_submitted,
     ),
 )
 def _(spark, d):
-    return formulation.formulation_summary(results(spark, d), formulation.duplicate_rows(short_ingredients(spark, d)))
+    return formulation.formulation_summary(results(spark, d), formulation.duplicate_groups(short_ingredients(spark, d)))
 
 
 def screened(spark, d):
@@ -634,17 +710,35 @@ def _(spark, d):
     oracle(
         "catalogue",
         """SELECT 'v-' || max(p_partkey) AS dataset_version, md5(CAST(sum(p_size) AS VARCHAR)) AS accepted_baseline_sha256,
-                  (SELECT count(DISTINCT source) FROM documents) AS source_documents, true AS catalogue_available,
-                  (SELECT count(*) FROM catalogue) AS ingredient_count, CAST(NULL AS VARCHAR) AS catalogue_error FROM part""",
+                  (SELECT count(DISTINCT source) FROM documents) AS source_documents, true AS catalogue_available, 'c-' || max(p_size) AS catalogue_dataset_version,
+                  md5(CAST(sum(p_partkey) AS VARCHAR)) AS catalogue_accepted_baseline_sha256, 'Glossary' AS catalogue_source_name, 'identity_only' AS catalogue_source_role,
+                  (SELECT count(*) FROM catalogue) AS ingredient_count, CAST(NULL AS VARCHAR) AS catalogue_error, false AS linkage_available FROM part""",
     ),
 )
 def _(spark, d):
-    versions = table(spark, d, "part").agg(
+    sources = table(spark, d, "documents").select("source").distinct()
+    own = table(spark, d, "part").agg(
+        F.concat(F.lit("c-"), F.max("p_size").cast("string")).alias("dataset_version"), F.md5(F.sum("p_partkey").cast("string")).alias("accepted_baseline_sha256")
+    ).select("*", F.lit("Glossary").alias("source_name"), F.lit("identity_only").alias("source_role"))
+    return formulation.dataset_identity(versions(spark, d), sources, entity(spark, d, "catalogue"), None, own)
+
+
+def versions(spark, d):
+    return table(spark, d, "part").agg(
         F.concat(F.lit("v-"), F.max("p_partkey").cast("string")).alias("dataset_version"),
         F.md5(F.sum("p_size").cast("string")).alias("accepted_baseline_sha256"),
     )
-    sources = table(spark, d, "documents").select("source").distinct()
-    return formulation.dataset_identity(versions, sources, entity(spark, d, "catalogue"))
+
+
+@register(
+    "dataset_sources",
+    """SELECT (SELECT 'v-' || max(p_partkey) FROM part) AS dataset_version, page_id AS source_document, regexp_extract(url, '^https?://([^/]+)/', 1) AS authority, url AS source_url, sha256(html) AS sha256 FROM pages""",
+)
+def _(spark, d):
+    manifest = table(spark, d, "pages").select(
+        F.col("page_id").alias("source_document"), F.regexp_extract("url", "^https?://([^/]+)/", 1).alias("authority"), F.col("url").alias("source_url"), F.sha2("html", 256).alias("sha256")
+    )
+    return formulation.dataset_sources(versions(spark, d), manifest)
 
 
 def _label_sql(expr: str) -> str:

@@ -66,17 +66,22 @@ def _(spark, d):
     f"""WITH {_ROWS}, g AS (SELECT source_document, section, island, min_by(ref, (source_page, row_index)) AS reference_number, min((source_page, row_index)) AS pos_,
             md5(regexp_replace(string_agg(line, chr(10) ORDER BY source_page, row_index) FILTER (WHERE line <> ''), '^\\s+|\\s+$', '', 'g')) AS text_md5,
             array_to_string(list_sort(list(DISTINCT source_page)), '|') AS source_pages, count(*) AS fragments,
-            bool_or(NOT opens AND ref <> '') AS odd, count(DISTINCT source_page) > 1 AS spans
+            bool_or(NOT opens AND ref <> '') AS odd, count(DISTINCT source_page) > 1 AS spans,
+            array_to_string(list_sort(list(DISTINCT source_page % 13) FILTER (row_index % 3 = 1)), '|') AS footnote_references
           FROM s WHERE island > 0 GROUP BY source_document, section, island)
         SELECT 'raw-' || source_document || '-' || lower(section) || '-' || lower(reference_number) AS raw_record_id, pos_[1] AS island_page, text_md5, source_pages, fragments,
-          concat_ws('|', CASE WHEN spans THEN 'entry_spans_multiple_pages' END, CASE WHEN odd THEN 'nonstandard_reference_fragment:see above' END) AS extraction_flags FROM g""",
+          concat_ws('|', CASE WHEN spans THEN 'entry_spans_multiple_pages' END, CASE WHEN odd THEN 'nonstandard_reference_fragment:see above' END) AS extraction_flags, coalesce(footnote_references, '') AS footnote_references FROM g""",
 )
 def _(spark, d):
-    stitched = E.stitch_continuation_rows(table_rows(spark, d))
-    df = E.finalize_raw_record(stitched, ["reference_raw", "text"])
+    rows = table_rows(spark, d)
+    stitched = E.stitch_continuation_rows(rows)
+    references = rows.filter("row_index % 3 = 1").select(
+        "source_document", "section", "source_page", "row_index", (F.col("source_page") % 13).cast("string").alias("footnote_number")
+    )
+    df = E.finalize_raw_record(stitched, ["reference_raw", "text"], references)
     return df.select(
         "raw_record_id", "island_page", F.md5("text").alias("text_md5"), pipe("source_pages").alias("source_pages"), "fragments",
-        pipe("extraction_flags").alias("extraction_flags"),
+        pipe("extraction_flags").alias("extraction_flags"), pipe("footnote_references").alias("footnote_references"),
     )
 
 
@@ -236,41 +241,77 @@ def _(spark, d):
     return E.page_diagnostics(E.words_to_glossary_rows(words(spark, d)).select("page", "entry_number", "marker_top").distinct())
 
 
+@register(
+    "table_diagnostics",
+    """SELECT l_orderkey AS source_document, l_linenumber % 3 AS source_page, count(*) FILTER (l_suppkey % 4 = 2) AS table_count,
+              array_to_string(list(l_suppkey % 4 ORDER BY l_linenumber, l_partkey), ',') AS column_counts FROM lineitem GROUP BY ALL""",
+)
+def _(spark, d):
+    tables = table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("source_document"), (F.col("l_linenumber") % 3).alias("source_page"), F.struct("l_linenumber", "l_partkey").alias("table_index"),
+        (F.col("l_suppkey") % 4).alias("column_count"),
+    )
+    found = E.table_diagnostics(tables, 2)
+    return found.withColumn("column_counts", F.array_join(F.col("column_counts").cast("array<string>"), ","))
+
+
 # --- snapshots ------------------------------------------------------------------------------------
 
 
+# Raw documents: up to 1,000 consecutive orders each, a JSON object per file in a folder named by the document.
+_RAW_DOCUMENTS = """r AS (SELECT CAST(floor(o_orderkey / 1000) AS BIGINT) AS k, o_orderkey, o_orderpriority, o_orderstatus FROM orders),
+    t AS (SELECT 'doc-' || k AS doc, '{"dataset_version":"v1","source_document":"doc-' || k || '","section":"Part ' || k % 3 || '","records":['
+        || string_agg('{"raw_record_id":"' || o_orderkey || '","reference_number":"' || o_orderpriority || '","source_text":"' || o_orderstatus || '"}', ',' ORDER BY o_orderkey) || ']}' || chr(10) AS content
+      FROM r GROUP BY k)"""
+
+
+def raw_documents(spark, d):
+    """Folder of raw documents, written from the orders; a document holds the orders of one range of keys."""
+
+    def build():
+        folder = shared_folder(spark, "raw-documents")
+        k = F.floor(F.col("o_orderkey") / 1000).cast("bigint")
+        text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+        record = text('{"raw_record_id":"', F.col("o_orderkey"), '","reference_number":"', F.col("o_orderpriority"), '","source_text":"', F.col("o_orderstatus"), '"}')
+        grouped = table(spark, d, "orders").groupBy(k.alias("k")).agg(
+            F.array_sort(F.collect_list(F.struct("o_orderkey", record.alias("record")))).alias("records")  # 1,000 at most
+        )
+        head = text('{"dataset_version":"v1","source_document":"doc-', F.col("k"), '","section":"Part ', F.col("k") % 3, '","records":[')
+        body = F.array_join(F.transform("records", lambda r: r["record"]), ",")
+        grouped.select(text("doc-", F.col("k")).alias("document"), F.concat(head, body, F.lit("]}")).alias("value")).write.partitionBy("document").text(folder)
+        return folder
+
+    return stage(spark, d, "raw-documents", build)
+
+
 @register(
     "source_manifest",
-    """SELECT page_id AS source_document, sha256(html) AS sha256, CAST(octet_length(encode(html)) AS BIGINT) AS content_bytes, regexp_extract(url, '^https?://([^/]+)/', 1) AS authority,
-              url AS source_url FROM pages""",
+    f"""WITH {_RAW_DOCUMENTS}, p AS (SELECT 'doc-' || CAST(floor(o_orderkey / 1000) AS BIGINT) AS doc, count(DISTINCT o_custkey % 50) AS pages FROM orders GROUP BY 1)
+        SELECT doc AS source_document, sha256(content) AS sha256, CAST(octet_length(encode(content)) AS BIGINT) AS content_bytes, pages AS page_count, 'authority of ' || doc AS authority,
+          'rev-1' AS document_revision, 'en' AS language FROM t JOIN p USING (doc)""",
 )
 def _(spark, d):
-    pages = table(spark, d, "pages")
-    files = pages.select(F.col("page_id").alias("source_document"), U.content_of(F.col("html")).alias("content"))
-    definitions = pages.select(
-        F.col("page_id").alias("source_document"), F.regexp_extract("url", "^https?://([^/]+)/", 1).alias("authority"),
-        F.col("url").alias("source_url"),
+    files = S.read_source_files(spark, f"{raw_documents(spark, d)}/*/*", "document=([^/]+)/")
+    document = F.concat(F.lit("doc-"), F.floor(F.col("o_orderkey") / 1000).cast("string"))
+    orders = table(spark, d, "orders").select(document.alias("source_document"), (F.col("o_custkey") % 50).alias("source_page"))
+    definitions = files.select(
+        "source_document", F.concat(F.lit("authority of "), "source_document").alias("authority"), F.lit("rev-1").alias("document_revision"), F.lit("en").alias("language")
     )
-    return S.source_manifest(files, definitions)
+    manifest = S.source_manifest(files, definitions, orders)
+    return manifest.select("*", F.element_at("metadata", "language").alias("language")).drop("metadata")
 
 
 @register(
     "load_raw_records",
-    """SELECT o_orderkey || '-' || k AS raw_record_id, 'v1' AS dataset_version, 'order-' || o_orderkey AS source_document, o_orderstatus AS section,
-              CASE k WHEN 1 THEN o_orderpriority ELSE CAST(o_custkey AS VARCHAR) END AS reference_number FROM orders, (VALUES (1), (2)) t(k)""",
+    """SELECT CAST(o_orderkey AS VARCHAR) AS raw_record_id, 'v1' AS dataset_version, 'doc-' || CAST(floor(o_orderkey / 1000) AS BIGINT) AS source_document,
+              'Part ' || CAST(floor(o_orderkey / 1000) AS BIGINT) % 3 AS section, o_orderpriority AS reference_number, o_orderstatus AS source_text, 'rev-1' AS document_revision FROM orders""",
 )
 def _(spark, d):
-    def record(k, reference):
-        return F.struct(
-            F.concat(F.col("o_orderkey").cast("string"), F.lit(f"-{k}")).alias("raw_record_id"), reference.alias("reference_number")
-        )
-
-    documents = table(spark, d, "orders").select(
-        F.lit("v1").alias("dataset_version"), F.concat(F.lit("order-"), F.col("o_orderkey").cast("string")).alias("source_document"),
-        F.col("o_orderstatus").alias("section"),
-        F.array(record(1, F.col("o_orderpriority")), record(2, F.col("o_custkey").cast("string"))).alias("records"),
-    )
-    return S.tag_records(documents)
+    folder = raw_documents(spark, d)
+    files = S.read_source_files(spark, f"{folder}/*/*", "document=([^/]+)/")
+    manifest = files.select("source_document", F.lit("rev-1").alias("document_revision"))
+    records = S.load_raw_records(spark, f"{folder}/*/*", manifest)
+    return records.select("raw_record_id", "dataset_version", "source_document", "section", "reference_number", "source_text", "document_revision")
 
 
 @register(
@@ -287,28 +328,32 @@ def _(spark, d):
     return written.groupBy("dataset_version", "regulatory_section").agg(F.count("*").alias("rules"), F.min("rule_id").alias("first_rule"))
 
 
+def _digests(text: str, where: str = "true") -> str:
+    """SQL of the fingerprints of documents by source."""
+    columns = ("doc_id", "lang", "n_chars", "source", text)
+    shown = " || ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in columns)
+    parts = " || '-' || ".join(f"CAST(sum(CAST(CAST('0x' || substr(h, {at}, 16) AS UBIGINT) AS HUGEINT)) AS VARCHAR)" for at in (1, 17, 33, 49))
+    return f"SELECT source AS item, count(*) AS row_count, {parts} AS fingerprint FROM (SELECT source, sha256({shown}) AS h FROM documents WHERE {where}) GROUP BY 1"
+
+
 @register(
     "content_fingerprint",
-    """WITH c AS (SELECT source AS item, count(*) || ':' || sum(n_chars) AS f FROM documents GROUP BY 1),
-            a AS (SELECT source AS item, count(*) || ':' || sum(n_chars) AS f FROM documents WHERE lang <> 'de' GROUP BY 1 UNION ALL SELECT 'retired', '0:0')
-       SELECT coalesce(a.item, c.item) AS item, CASE WHEN c.f IS NULL THEN 'missing' WHEN a.f IS NULL THEN 'extra' WHEN c.f <> a.f THEN 'changed' ELSE 'same' END AS status
+    f"""WITH c AS ({_digests('text')}), a AS (SELECT * FROM ({_digests("CASE WHEN lang = 'de' THEN translate(text, 'en', 'ne') ELSE text END", "source <> 'src3'")}) UNION ALL SELECT 'retired', 0, '0-0-0-0')
+       SELECT coalesce(a.item, c.item) AS item, CASE WHEN c.fingerprint IS NULL THEN 'missing' WHEN a.fingerprint IS NULL THEN 'extra' WHEN c.fingerprint <> a.fingerprint THEN 'changed' ELSE 'same' END AS status
        FROM a FULL OUTER JOIN c ON a.item = c.item""",
 )
 def _(spark, d):
+    """The accepted side has some texts changed without a change of length."""
     docs = table(spark, d, "documents")
-
-    def prints(df):
-        return df.groupBy(F.col("source").alias("item")).agg(
-            F.concat_ws(":", F.count("*").cast("string"), F.sum("n_chars").cast("string")).alias("fingerprint")
-        )
-
-    retired = spark.range(1).select(F.lit("retired").alias("item"), F.lit("0:0").alias("fingerprint"))
-    return S.content_fingerprint(prints(docs), prints(docs.filter("lang <> 'de'")).unionByName(retired))
+    older = docs.filter("source <> 'src3'").withColumn("text", F.when(F.col("lang") == "de", F.translate("text", "en", "ne")).otherwise(F.col("text")))
+    prints = lambda df: S.row_fingerprint(df, ["source"]).select(F.col("source").alias("item"), "fingerprint")
+    retired = spark.range(1).select(F.lit("retired").alias("item"), F.lit("0-0-0-0").alias("fingerprint"))
+    return S.content_fingerprint(prints(docs), prints(older).unionByName(retired))
 
 
-@register("row_fingerprint", "SELECT count(*) AS row_count FROM lineitem")
+@register("row_fingerprint", _digests("text"))
 def _(spark, d):
-    return S.row_fingerprint(table(spark, d, "lineitem")).select("row_count")
+    return S.row_fingerprint(table(spark, d, "documents"), ["source"]).withColumnRenamed("source", "item")
 
 
 @register(

@@ -232,6 +232,51 @@ def _(spark, d):
     return G.source_metadata(c, row_sources(spark, d), references(spark, d), mappings(spark, d), G.column_labels(c, header))
 
 
+METADATA = ("formulation_id", "formulation_name", "product_context")
+_METADATA = """b AS (SELECT DISTINCT ON (file_id) file_id, name_cell, amount_cell, note_cell FROM grid_rows WHERE source_row = 2),
+    md AS (SELECT file_id, 'formulation_id' AS field, CASE WHEN file_id % 5 = 0 THEN NULL ELSE ' ' || upper(note_cell) END AS value, 4 AS col, note_cell AS cell FROM b
+      UNION ALL SELECT file_id, 'formulation_name', CASE WHEN file_id % 3 = 0 THEN 'invented' ELSE name_cell END, 0, name_cell FROM b
+      UNION ALL SELECT file_id, 'product_context', CASE WHEN file_id % 2 = 0 THEN 'Gel' END, NULL, NULL FROM b)"""
+
+
+def metadata(spark, d):
+    """(metadata, citations): some proposals are invented, cite nothing, or cite a cell for a null."""
+    first = grid_rows(spark, d).filter("source_row = 2")
+    file = F.col("file_id")
+    fields = F.array(
+        F.struct(F.lit("formulation_id").alias("field"), F.when(file % 5 != 0, F.concat(F.lit(" "), F.upper("note_cell"))).alias("value"), F.lit(4).alias("source_column_index"), F.col("note_cell").alias("source_value")),
+        F.struct(F.lit("formulation_name").alias("field"), F.when(file % 3 == 0, "invented").otherwise(F.col("name_cell")).alias("value"), F.lit(0).alias("source_column_index"), F.col("name_cell").alias("source_value")),
+        F.struct(F.lit("product_context").alias("field"), F.when(file % 2 == 0, "Gel").alias("value"), F.lit(None).cast("int").alias("source_column_index"), F.lit(None).cast("string").alias("source_value")),
+    )
+    rows = first.select("file_id", "source_row", F.explode(fields).alias("f")).select("file_id", "source_row", "f.*")
+    cited = rows.filter("source_value is not null").withColumn("position", F.lit(0))
+    return rows.select("file_id", "field", "value"), cited.drop("value")
+
+
+def grounded_metadata(spark, d):
+    c = cells(spark, d)
+    header = c.filter("source_row = 1").select("file_id", "source_row").distinct()
+    return G.ground_metadata(*metadata(spark, d), G.column_labels(c, header))
+
+
+@register(
+    "ground_metadata",
+    oracle("grid_rows", _METADATA + """ SELECT file_id, field, value, cell AS source_value, 2 AS source_row, CAST(col AS INT) AS source_column_index, CASE col WHEN 4 THEN 'Column 5' ELSE 'Ingredient' END AS source_column
+           FROM md WHERE value IS NOT NULL AND cell IS NOT NULL AND lower(trim(regexp_replace(value, '\\s+', ' ', 'g'))) = lower(trim(regexp_replace(cell, '\\s+', ' ', 'g')))"""),
+)
+def _(spark, d):
+    return grounded_metadata(spark, d)[0]
+
+
+@register(
+    "ground_metadata_errors",
+    oracle("grid_rows", _METADATA + """ SELECT file_id, field, CASE WHEN value IS NULL THEN 'null_metadata_cites_cells' WHEN cell IS NULL THEN 'metadata_without_source' ELSE 'metadata_not_in_cited_cells' END AS code
+           FROM md WHERE (value IS NULL AND cell IS NOT NULL) OR (value IS NOT NULL AND (cell IS NULL OR lower(trim(regexp_replace(value, '\\s+', ' ', 'g'))) <> lower(trim(regexp_replace(cell, '\\s+', ' ', 'g')))))"""),
+)
+def _(spark, d):
+    return grounded_metadata(spark, d)[1]
+
+
 _UNCERTAIN = f"""{_NAMED}, {_AMOUNTS},
     u AS (SELECT file_id, row_id, 'ingredient_identity' AS uncertainty_code, source_name AS source_value, candidate_name AS proposed_value FROM n WHERE identity_status = 'needs_confirmation'
       UNION ALL SELECT file_id, row_id, 'missing_concentration_unit', amount_text, NULL FROM m WHERE unit_method = 'unit_unresolved'

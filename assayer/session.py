@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,6 +43,23 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+_SCRATCH = threading.local()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Stages that this thread writes inside are removed at the end, so only results that are written elsewhere may leave it."""
+    outer, _SCRATCH.folders = getattr(_SCRATCH, "folders", None), []
+    try:
+        yield
+    finally:
+        configuration = spark._jsc.hadoopConfiguration()
+        for folder in _SCRATCH.folders:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(configuration).delete(path, True)
+        _SCRATCH.folders = outer
+
+
 def materialize(df: DataFrame, purpose: str) -> DataFrame:
     """Write a stage to the shared folder and read it back.
 
@@ -48,5 +68,7 @@ def materialize(df: DataFrame, purpose: str) -> DataFrame:
     what decides whether a join may broadcast them.
     """
     path = shared_folder(df.sparkSession, purpose)
+    if getattr(_SCRATCH, "folders", None) is not None:
+        _SCRATCH.folders.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -103,11 +103,19 @@ def texts_by_group(df: DataFrame, keys: list[str], aggregates: list[Column]) ->
     return df.groupBy(*keys).agg(F.count("*").alias("fragments"), *aggregates)
 
 
-def finalize_raw_record(stitched: DataFrame, columns: list[str]) -> DataFrame:
-    """One row per record: cell texts joined per column, row texts joined, distinct pages and flags.
+def finalize_raw_record(stitched: DataFrame, columns: list[str], references: DataFrame | None = None) -> DataFrame:
+    """One row per record: cell texts joined per column, row texts joined, distinct pages, flags and footnote references.
 
-    ``columns`` names the table's cells.
+    ``columns`` names the table's cells. references: (source_document, section, source_page, row_index, footnote_number) of
+    markers inside table rows; a record has those of all its rows, each once, in the order of their numbers.
     """
+    place = ["source_document", "section", "source_page", "row_index"]
+    if references is None:
+        stitched = stitched.withColumn("_notes", F.array().cast("array<string>"))
+    else:
+        # a row holds a few markers
+        notes = references.groupBy(*place).agg(F.collect_set("footnote_number").alias("_notes"))
+        stitched = stitched.join(notes, place, "left")
     row_text = F.array_join("cells", " | ")
     order = F.struct("source_page", "row_index")
 
@@ -123,6 +131,7 @@ def finalize_raw_record(stitched: DataFrame, columns: list[str]) -> DataFrame:
         joined(row_text).alias("source_text"),
         F.array_sort(F.collect_set("source_page")).alias("source_pages"),
         F.array_sort(F.collect_set("flag")).alias("_flags"),
+        F.array_distinct(F.flatten(F.collect_set("_notes"))).alias("_notes"),
     ]
     out = texts_by_group(stitched.filter("kind <> 'unassigned'"), keys, aggregates)
     spans = F.when(F.size("source_pages") > 1, F.array(F.lit("entry_spans_multiple_pages"))).otherwise(
@@ -133,8 +142,9 @@ def finalize_raw_record(stitched: DataFrame, columns: list[str]) -> DataFrame:
         F.lower("reference_number"),
     )
     return out.select(
-        record_id.alias("raw_record_id"), "*", F.array_sort(F.array_distinct(F.concat("_flags", spans))).alias("extraction_flags")
-    ).drop("_flags")
+        record_id.alias("raw_record_id"), "*", F.array_sort(F.array_distinct(F.concat("_flags", spans))).alias("extraction_flags"),
+        F.transform(F.array_sort(F.transform("_notes", lambda n: F.struct(F.try_to_number(n, F.lit("999999999")).alias("at"), n.alias("n")))), lambda s: s["n"]).alias("footnote_references"),
+    ).drop("_flags", "_notes")
 
 
 def note_lines(text: Column) -> Column:
@@ -420,3 +430,16 @@ def page_diagnostics(rows: DataFrame) -> DataFrame:
         F.min_by("entry_number", "marker_top").alias("first_entry"),
         F.max_by("entry_number", "marker_top").alias("last_entry"),
     )
+
+
+def table_diagnostics(tables: DataFrame, columns: int) -> DataFrame:
+    """(source_document, source_page, table_count, column_counts): tables of the expected width, and the widths of all.
+
+    tables: source_document, source_page, table_index, column_count; a page without tables has one row with nulls. A
+    page has few tables, so their widths are one array.
+    """
+    width = F.col("column_count")
+    ordered = F.array_sort(F.collect_list(F.when(width.isNotNull(), F.struct("table_index", "column_count"))))
+    return tables.groupBy("source_document", "source_page").agg(
+        F.count_if(width == columns).alias("table_count"), F.transform(ordered, lambda t: t["column_count"]).alias("column_counts")
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer import constants as K
@@ -19,20 +19,40 @@ RAW_RECORD = (
 RAW_DOCUMENT = f"dataset_version string, source_document string, section string, records array<struct<{RAW_RECORD.replace(' string', ':string').replace(' array', ':array')}>>"
 
 
-def read_source_files(spark: SparkSession, path: str) -> DataFrame:
-    """(source_document, content) of files; the name without its suffix identifies the document."""
+def read_source_files(spark: SparkSession, path: str, name: str = r"([^/]+?)(?:\.[^./]*)?$") -> DataFrame:
+    """(source_document, content) of files; the first group of ``name`` in the path identifies the document."""
     return spark.read.format("binaryFile").load(path).select(
-        F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("source_document"), "content"
+        F.regexp_extract("path", name, 1).alias("source_document"), "content"
     )
 
 
-def source_manifest(documents: DataFrame, definitions: DataFrame) -> DataFrame:
-    """One row per source document: content hash and size, joined to its definition."""
-    return documents.select(
+MANIFEST_FIELDS = ("authority", "source_url", "document_revision", "effective_date", "retrieval_date")
+
+
+def source_manifest(documents: DataFrame, definitions: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """One row per source document: content hash, size and page count, joined to its definition.
+
+    definitions: source_document, some of MANIFEST_FIELDS, and any others, which become the map ``metadata``. pages:
+    (source_document, source_page) of the documents that have pages.
+    """
+    known = [c for c in MANIFEST_FIELDS if c in definitions.columns]
+    others = [c for c in definitions.columns if c not in known and c != "source_document"]
+    rows = documents.select(
         "source_document",
         F.sha2(F.col("content"), 256).alias("sha256"),
         F.length("content").cast("bigint").alias("content_bytes"),
     ).join(definitions, "source_document")
+    counted = F.lit(None).cast("bigint")
+    if pages is not None:
+        # pages once each, counted map-side
+        counts = pages.select("source_document", "source_page").distinct().groupBy("source_document").agg(F.count("*").alias("_pages"))
+        rows = rows.join(counts, "source_document", "left")
+        counted = F.col("_pages")
+    entries = F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).cast("string").alias("value")) for c in sorted(others)])
+    metadata = F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull())) if others else F.create_map().cast("map<string,string>")
+    return rows.select(
+        "source_document", "sha256", "content_bytes", counted.alias("page_count"), *known, metadata.alias("metadata")
+    )
 
 
 def load_raw_records(spark: SparkSession, path: str, manifest: DataFrame | None = None) -> DataFrame:
@@ -60,11 +80,22 @@ def snapshot_sink(df: DataFrame, path: str, dataset_version: str, order: list[st
     )
 
 
-def row_fingerprint(df: DataFrame) -> DataFrame:
-    """Order-free fingerprint of a table: row count and sum of row hashes."""
-    digest = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in sorted(df.columns)])
-    return df.agg(
-        F.count("*").alias("row_count"), F.coalesce(F.sum(digest.cast("decimal(20,0)")), F.lit(0)).cast("string").alias("fingerprint")
+def content_digest(columns: list[str]) -> Column:
+    """SHA-256 of a row: every column in the given order, with its length, null apart from ''."""
+    shown = [F.col(c).cast("string") for c in columns]
+    return F.sha2(F.concat(*[F.coalesce(F.concat(F.length(v).cast("string"), F.lit(":"), v), F.lit("-")) for v in shown]), 256)
+
+
+def row_fingerprint(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Order-free content hash of a table, or of each group ``by``: row_count and fingerprint.
+
+    The four quarters of the rows' SHA-256 are summed, so it combines map-side and depends on every value and on how
+    often a row occurs, but not on the order; up to 1e18 rows.
+    """
+    rows = df.select(*(by or []), content_digest(sorted(df.columns)).alias("_digest"))
+    quarters = [F.sum(F.conv(F.substring("_digest", at, 16), 16, 10).cast("decimal(38,0)")).cast("string") for at in (1, 17, 33, 49)]
+    return rows.groupBy(*(by or [])).agg(
+        F.count("*").alias("row_count"), F.concat_ws("-", *[F.coalesce(q, F.lit("0")) for q in quarters]).alias("fingerprint")
     )
 
 
@@ -83,8 +114,7 @@ def content_fingerprint(current: DataFrame, accepted: DataFrame) -> DataFrame:
 def version_consistency(versions: DataFrame, accepted: str | None = None) -> DataFrame:
     """(source_table, dataset_version, row_count) that differ from the accepted version.
 
-    ``versions`` has one row per table row or document. Without an accepted version the largest
-    group's version is expected.
+    ``versions`` has one row per table row or document. Without an accepted version all groups are listed.
     """
     counts = versions.groupBy("source_table", "dataset_version").agg(F.count("*").alias("row_count"))
     if accepted is None:

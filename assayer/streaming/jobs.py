@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from assayer import constants as K
 from assayer.operators import formulation
+from assayer.session import scratch
 
 
 def stream_screening(
@@ -19,12 +20,13 @@ def stream_screening(
     """Screen submissions as they arrive; the snapshot's views are the static side.
 
     Every micro-batch is a batch screening of its rows. Its result goes to a folder named by the
-    batch id, so a repeated batch replaces itself.
+    batch id, so a repeated batch replaces itself; the stages on the way are removed with the batch.
     """
 
     def screen_batch(batch: DataFrame, batch_id: int) -> None:
-        evaluated = formulation.evaluated_requests(batch, views, catalogue)
-        formulation.screen.screen_ingredients(batch, evaluated).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        with scratch(batch.sparkSession):
+            evaluated = formulation.evaluated_requests(batch, views, catalogue)
+            formulation.screen.screen_ingredients(batch, evaluated).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return ingredients.writeStream.foreachBatch(screen_batch).option("checkpointLocation", checkpoint)
 
