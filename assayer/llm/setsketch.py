@@ -156,6 +156,7 @@ def _cell_links(threshold: float):
     """Links of a spanning forest of one cell, given what is linked already."""
 
     def run(cell: pa.Table) -> pa.Table:
+        tokens.steady()
         node, at = np.unique(cell.column("node").to_numpy(), return_index=True)
         cell = cell.take(pa.array(at))
         label = cell.column("label").to_numpy().copy()

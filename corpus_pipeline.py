@@ -5,6 +5,9 @@ Each stage applies one operator to all that its predecessor kept, is written as
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,9 +47,29 @@ STAGES = [
 ORACLE_SQL = None
 
 
+#: Rows that cross to Python at once. Whole texts make wide rows: Spark's default of 10,000 holds tens of MB on either side.
+BATCH_ROWS = 1_000
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def narrow_batches(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(BATCH_SETTING)
+    spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``.
+
+    Null texts are empty, repeated rows and ties are treated as each stage's operator says, other columns are carried up to
+    packing, and an empty table gives no piece.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name.replace('_', '-')}")
+    with narrow_batches(spark):
+        for name, stage in STAGES:
+            docs = materialize(stage(spark, docs, sf_dir), f"stage-{name.replace('_', '-')}")
     return docs
