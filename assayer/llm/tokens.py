@@ -188,9 +188,9 @@ def texts_of(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 def steady() -> None:
-    """Large arrays come from the system and go back when they are freed, in this process, whatever their number.
+    """Arrays of 8 MB and more come from the system and go back when they are freed, whatever their number.
 
-    By default the C library raises the size from which it does so and keeps what was freed below it.
+    By default the C library raises the size from which it does so up to 32 MB and keeps what was freed below it.
     """
     if "steady" in _MEMO:
         return
@@ -198,7 +198,7 @@ def steady() -> None:
     pa.set_memory_pool(pa.system_memory_pool())
     mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
     if mallopt:
-        for parameter, value in ((-3, 1 << 20), (-1, 1 << 20), (-8, 2)):  # mmap and trim thresholds, arenas
+        for parameter, value in ((-3, 8 << 20), (-1, 64 << 20), (-8, 2)):  # mmap and trim thresholds, arenas
             mallopt(parameter, value)
 
 
