@@ -89,7 +89,12 @@ def group_rules_by_reference(
         *[text.alias(f"_v_{name}") for name, text in texts],
         *[text_key(text).alias(f"_k_{name}") for name, text in texts],
     )
-    keyed = numbered(keyed, [*case, "_side"], ["rule_id"], "case_number")
+    # An accepted snapshot repeats no case: then every number is 0 and nothing needs to be sorted.
+    repeated = keyed.groupBy(*case, "_side").agg(F.count("*").alias("_n")).filter("_n > 1")
+    if repeated.isEmpty():
+        keyed = keyed.withColumn("case_number", F.lit(0).cast("bigint"))
+    else:
+        keyed = numbered(keyed, [*case, "_side"], ["rule_id"], "case_number")
     payload = F.struct(
         "rule_id", "reference_number",
         *[F.col(f"_v_{name}") for name, _ in texts], *[F.col(f"_k_{name}") for name, _ in texts],
