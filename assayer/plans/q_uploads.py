@@ -596,8 +596,24 @@ def applied(spark, d):
     return replayed(spark, d, given, options)
 
 
-@register("apply_answers", oracle("grid_rows catalogue o_contexts", _APPLIED + " SELECT * FROM z"))
+@register(
+    "apply_answers",
+    oracle(
+        "grid_rows catalogue o_contexts",
+        _S_FIRST + """ SELECT file_id, row_id, source_name, name, interpretation_method, catalogue_ingredient_id, identity_status, identity_open, identity_source, candidate_name, cas_number,
+                         value, unit, basis, preparation_stage, CASE WHEN unit_open THEN amount_text END AS amount_text, unit_open, amount_open, stage_open, unavailable_text FROM e3""",
+    ),
+)
+def _(spark, d):
+    """The first round of answers with all edits."""
+    asked = questions(spark, d)
+    options = G.question_options(asked, logical_rows(spark, d)[1], column_ids(spark, d)).withColumn("revision", F.lit(1))
+    return replayed(spark, d, answers(asked), options)
+
+
+@register("apply_rounds", oracle("grid_rows catalogue o_contexts", _APPLIED + " SELECT * FROM z"))
 def _(spark, d):
+    """Both rounds of answers with all edits."""
     return applied(spark, d)
 
 
