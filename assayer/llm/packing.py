@@ -29,7 +29,7 @@ from assayer.session import materialize
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Distinct words a task remembers before it starts anew; bounds memory, not results.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 #: Characters that end a word without touching what stands before them: none is part of a contraction or of the
 #: marks of special tokens.
 TAIL = ",.;:!?%*$#&"
