@@ -244,7 +244,7 @@ def _(spark, d):
 @register(
     "table_diagnostics",
     """SELECT l_orderkey AS source_document, l_linenumber % 3 AS source_page, count(*) FILTER (l_suppkey % 4 = 2) AS table_count,
-              array_to_string(list(l_suppkey % 4 ORDER BY l_linenumber, l_partkey), ',') AS column_counts FROM lineitem GROUP BY ALL""",
+              array_to_string(list(l_suppkey % 4 ORDER BY l_linenumber, l_partkey, l_suppkey % 4), ',') AS column_counts FROM lineitem GROUP BY ALL""",
 )
 def _(spark, d):
     tables = table(spark, d, "lineitem").select(
