@@ -50,4 +50,4 @@ def test_run_packs_every_kept_document(spark, kept):
 def test_queries_are_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()) == list(range(1, 14))
